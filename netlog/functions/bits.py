@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def u_be(data: Column | str, offset: Column | int, size: int) -> Column:
-    """Big-endian unsigned integer of ``size`` bytes; NULL when the bytes lie past the end."""
-    col = F.col(data) if isinstance(data, str) else data
-    at = offset if isinstance(offset, Column) else F.lit(offset)
-    return F.conv(F.hex(F.substring(col, at + F.lit(1), F.lit(size))), 16, 10).cast("bigint")
+def be_sql(data: str, offset: str | int, size: int) -> str:
+    """SQL text of a big-endian read of up to 8 bytes; an 8-byte read keeps its 64 bits as a signed BIGINT."""
+    return f"cast(conv(hex(substring({data}, {offset} + 1, {size})), 16, -10) as bigint)"
 
 
-def u_le(data: Column | str, offset: int, size: int) -> Column:
+def u_be(data: str, offset: str | int, size: int) -> Column:
+    """Big-endian unsigned integer of up to 7 bytes; NULL when the bytes lie past the end."""
+    return F.expr(be_sql(data, offset, size))
+
+
+def u_le(data: str, offset: int, size: int) -> Column:
     """Little-endian unsigned integer. A 64-bit value above the signed range gives NULL."""
-    col = F.col(data) if isinstance(data, str) else data
-    pairs = F.hex(F.substring(col, offset + 1, size))
-    swapped = F.concat(*[F.substring(pairs, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(swapped, 16, 10).try_cast("bigint")
+    pairs = f"hex(substring({data}, {offset + 1}, {size}))"
+    swapped = ", ".join(f"substring({pairs}, {2 * i + 1}, 2)" for i in reversed(range(size)))
+    return F.expr(f"try_cast(conv(concat({swapped}), 16, 10) as bigint)")
 
 
 def clamp(value: Column | str, upper: int) -> Column:

@@ -9,6 +9,7 @@ from ..schemas import (
     INLINE_MAX, LOOPBACK_IP, PROTO_TCP, PROTO_UDP, RATE_THRESHOLD, RATE_WINDOW_NS, SSH_PORT,
 )
 from .ratelimit import rate_check
+from .sizes import BROADCAST_ROWS, broadcast_if_small
 from .skew import CHUNK_ROWS, HOT_ROWS
 
 _STRIDES = (8, 16, 24, 32)
@@ -39,14 +40,16 @@ def flag_interest(flows: DataFrame, interest: DataFrame, *, flag: str = "of_inte
 
 
 def flag_allowlist(
-    flows: DataFrame, allowlist: DataFrame, *, ip: str = "src_ip", match: str = "allow_plen"
+    flows: DataFrame, allowlist: DataFrame, *, ip: str = "src_ip", match: str = "allow_plen",
+    max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Longest matching prefix length of ``allowlist(plen, net)``, NULL where none matches. One row in, one row out.
 
     Prefixes are expanded to the next length of 8, 16, 24 or 32 (at most 256 keys each), keeping the longest per key.
     Each length is then one equality join with unique keys, so nothing is exploded on the flow side. The /8 and /16
-    tables cannot exceed 256 and 65,536 rows and are broadcast; for the other two Spark compares their size with its
-    broadcast threshold and otherwise shuffles, where adaptive skew handling splits a hot address.
+    tables cannot exceed 256 and 65,536 rows and are broadcast. The other two are counted first (two small jobs) and
+    broadcast up to ``max_broadcast`` keys; beyond that they are joined by shuffle, where adaptive skew handling
+    splits a hot address.
     """
     prefixes = allowlist.where(F.col("plen").between(0, 32)).select(
         F.col("plen").cast("int").alias("plen"), F.col("net").cast("bigint").alias("net")
@@ -64,7 +67,7 @@ def flag_allowlist(
             .select("plen", F.explode(F.sequence(base, base + n_keys - 1)).alias(f"_key{stride}"))
             .groupBy(f"_key{stride}").agg(F.max("plen").alias(f"_plen{stride}"))
         )
-        side = F.broadcast(keys) if stride <= 16 else keys
+        side = F.broadcast(keys) if stride <= 16 else broadcast_if_small(keys, max_broadcast)
         joined = joined.withColumn(f"_ip{stride}", F.shiftright(F.col(ip), host_bits))
         joined = joined.join(side, joined[f"_ip{stride}"] == side[f"_key{stride}"], "left")
         found.append(f"_plen{stride}")

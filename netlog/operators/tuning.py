@@ -7,20 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schemas import TUNING_DEFAULTS
+from .sizes import BROADCAST_ROWS, broadcast_if_small
 
 DAY_NS = 86_400_000_000_000
 
 
 def tuning_in_force(
     df: DataFrame, tuning: DataFrame, *, ts: str = "ts_ns", order: Sequence[str] = ("effective_ns", "version"),
-    bucket_ns: int = DAY_NS,
+    bucket_ns: int = DAY_NS, max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``version, max_rate_pps, sampling_num, sampling_den`` of the latest record at or before ``ts``.
 
     Before the first record the defaults apply. Each interval between two records is listed under the time buckets it
     touches, so this is an equality join on the bucket with a range test, and every row meets exactly one interval;
-    the last record has no end and is read as a scalar. Spark broadcasts the intervals if they are small. ``tuning``
-    is an operator's change log, so ordering it is one small task.
+    the last record has no end and is read as a scalar. The listed intervals are counted and broadcast up to
+    ``max_broadcast`` rows, else joined by shuffle. ``tuning`` is an operator's change log, so ordering it is one
+    small task.
     """
     names = list(TUNING_DEFAULTS)
     in_order = Window.orderBy(*order)
@@ -40,7 +42,7 @@ def tuning_in_force(
     in_interval = (
         (F.col("_at") == F.col("_bucket")) & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_until"))
     )
-    joined = rows.join(listed, in_interval, "left")
+    joined = rows.join(broadcast_if_small(listed, max_broadcast), in_interval, "left")
     is_last = F.col(ts) >= F.col("_last.effective_ns")
     return joined.select(*df.columns, *[
         F.coalesce(F.when(is_last, F.col(f"_last.{name}")), F.col(f"_set.{name}"), F.lit(default))

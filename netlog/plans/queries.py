@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import operators as op
 from ..functions import cidr_net, cidr_plen, ip_text, ip_value, monotonic_to_timestamp, split_pid_tid
 from ..schemas import ALLOWLIST, INTEREST, SLOT_BYTES, TUNING
-from ..session import configure
+from ..session import as_table, configure, ensure_checkpoint_dir
 from ..sources.interest import accepted_loads, effective_interest, normalize_interest
 from ..sources.tuning import decode_tuning, latest_tuning
 from .frames import build_frames
@@ -117,7 +118,8 @@ def allowlist_members(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    flows = op.decode_frames(frames(spark, sf_dir)).drop("frame")
+    ensure_checkpoint_dir(spark, tempfile.gettempdir())
+    flows = as_table(op.decode_frames(frames(spark, sf_dir)).drop("frame"), "flows")
     return op.edge_verdict(flows, interest(spark), allowlist(spark), window_ns=RATE_WINDOW, threshold=RATE_LIMIT)
 
 

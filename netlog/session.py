@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Every setting here is a runtime SQL setting, so it can be applied to a session that a cluster handed out.
 REQUIRED_SETTINGS = {
@@ -11,6 +13,8 @@ REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the JVM never compiles a method above 8,000 bytes of bytecode; beyond it, unfused operators are faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -21,10 +25,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder for intermediate tables, as the session names it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The cluster's shared checkpoint folder, or ``fallback`` where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder; on a local master that names none, ``fallback``."""
+    folder = checkpoint_dir(spark)
     if folder is None:
-        folder = fallback
-        spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(fallback)
+        folder = checkpoint_dir(spark)
     return folder
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and return it as a Parquet table.
+
+    For a result that several steps read: they share one computation, read only their columns, and an executor lost
+    later costs no recomputation of what came before. Each call writes a folder of its own; remove it after the job.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
