@@ -5,7 +5,7 @@ from .logs import candidates, field, flatten, parse_logs, to_line, with_fields
 from .metrics import drop_total, observe_rejects, reason_counts, stage_counts
 from .payloads import (
     capture_inline, clamp_messages, decode_records, merge_sources, message_events, message_payloads, record_reject,
-    resolve_payloads, retain_latest, size_route,
+    resolve_payloads, retain_latest, size_route, with_payload,
 )
 from .policy import (
     allowlist_join, capture_verdict, edge_verdict, flag_allowlist, flag_interest, interest_join, interest_set,
@@ -19,5 +19,5 @@ __all__ = [
     "flag_interest", "flatten", "interest_join", "interest_set", "merge_sources", "message_events",
     "message_payloads", "observe_rejects", "pair_calls", "parse_logs", "rate_check", "reason_counts",
     "record_reject", "registered_messages", "resolve_payloads", "retain_latest", "sample", "size_route",
-    "stage_counts", "to_line", "tuning_in_force", "with_fields",
+    "stage_counts", "to_line", "tuning_in_force", "with_fields", "with_payload",
 ]

@@ -36,9 +36,14 @@ def parse_logs(df: DataFrame, col: str = "data", *, max_bytes: int = MAX_JSON_BY
 
 
 def field(name: str, data_type: str = "string", *, doc: str = "doc") -> Column:
-    """Top-level field of the document as ``data_type``; NULL when absent or of another type."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(doc, f"$['{quoted}']", data_type)
+    """Top-level field of the document as ``data_type``; NULL when absent or of another type.
+
+    A variant path cannot name an empty key or one with both kinds of quotes; read those through ``flatten``.
+    """
+    if not name or ("'" in name and '"' in name):
+        raise ValueError(f"no variant path names the key {name!r}; use flatten")
+    quote = '"' if "'" in name else "'"
+    return F.try_variant_get(doc, f"$[{quote}{name}{quote}]", data_type)
 
 
 def with_fields(df: DataFrame, fields: dict[str, str], *, doc: str = "doc") -> DataFrame:

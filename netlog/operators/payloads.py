@@ -21,22 +21,34 @@ def size_route(payload_len: Column, *, inline_max: int = INLINE_MAX) -> Column:
     return F.when(payload_len <= 0, F.lit(None)).when(payload_len <= inline_max, "inline").otherwise("large")
 
 
+def with_payload(flows: DataFrame, *, frame: str = "frame", inline_max: int = INLINE_MAX) -> DataFrame:
+    """Replace the frame by ``payload``: its 1 to ``inline_max`` payload bytes, NULL if the frame has fewer.
+
+    The result is a table to keep: verdicts read its narrow columns, capture its ``payload``, neither the frames.
+    """
+    there = F.col("payload_len").between(1, inline_max) & (
+        F.octet_length(frame) >= F.col("payload_off") + F.col("payload_len")
+    )
+    data = F.substring(F.col(frame), F.col("payload_off") + 1, F.col("payload_len"))
+    return flows.withColumn("payload", F.when(there, data)).drop(frame)
+
+
 def capture_inline(
-    flows: DataFrame, interest: DataFrame, *, frame: str = "frame", inline_max: int = INLINE_MAX,
-    keep: Sequence[str] = (),
+    flows: DataFrame, interest: DataFrame, *, inline_max: int = INLINE_MAX, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Capture events of the decodable flows of interest that carry 1 to ``inline_max`` payload bytes.
 
-    ``keep`` names flow columns to carry along. A frame shorter than its header claims is kept with ``reject_reason`` ``short_payload`` and no data.
+    ``flows`` has ``frame`` or, from ``with_payload``, ``payload``; ``keep`` names flow columns to carry along. A
+    frame shorter than its header claims is kept with ``reject_reason`` ``short_payload`` and no data.
     """
+    if "payload" not in flows.columns:
+        flows = with_payload(flows, inline_max=inline_max)
     wanted = interest_join(
         flows.where((F.col("decode_status") == "ok") & F.col("payload_len").between(1, inline_max)), interest
     )
-    complete = F.octet_length(frame) >= F.col("payload_off") + F.col("payload_len")
-    data = F.substring(F.col(frame), F.col("payload_off") + 1, F.col("payload_len"))
     return wanted.select(
         "seq", "ts_ns", *keep, F.lit(False).alias("is_ref"), F.col("payload_len").cast("bigint").alias("data_len"),
-        F.when(complete, data).alias("data"), F.when(~complete, "short_payload").alias("reject_reason"),
+        F.col("payload").alias("data"), F.when(F.col("payload").isNull(), "short_payload").alias("reject_reason"),
     )
 
 

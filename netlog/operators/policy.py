@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.barrier import compute_once
@@ -10,7 +12,6 @@ from ..schemas import (
 )
 from .ratelimit import rate_check
 from .sizes import BROADCAST_ROWS, broadcast_if_small
-from .skew import CHUNK_ROWS, HOT_ROWS
 
 _STRIDES = (8, 16, 24, 32)
 
@@ -100,12 +101,13 @@ def _edge_reason(has_allowlist: bool) -> Column:
 
 def edge_verdict(
     flows: DataFrame, interest: DataFrame, allowlist: DataFrame | None, *, window_ns: int = RATE_WINDOW_NS,
-    threshold: int | Column = RATE_THRESHOLD, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
+    threshold: int | Column = RATE_THRESHOLD, check: Callable[..., DataFrame] = rate_check, **check_options,
 ) -> DataFrame:
     """Add ``edge_reason``, ``rate_window_start``, ``rate_count`` and ``rate_limited``. Nothing is dropped.
 
     The rate check counts only flows that reach it. ``allowlist=None`` skips the allowlist step; an empty allowlist
-    sends every flow that gets there to ``not_allowlisted``. ``flows`` is read more than once, so give a table.
+    sends every flow that gets there to ``not_allowlisted``. ``flows`` is read more than once, so give a table. On a
+    stream, pass ``check=netlog.streaming.rate_stream``. ``check_options`` go to the check.
     """
     flagged = flag_interest(flows, interest, flag="_wanted")
     if allowlist is not None:
@@ -118,9 +120,9 @@ def edge_verdict(
         "rate_count": F.lit(None).cast("bigint"),
         "rate_limited": F.lit(False),
     })
-    checked = rate_check(
+    checked = check(
         decided.where(F.col("edge_reason").isNull()).drop("edge_reason"), ["src_ip", "dst_port"], "ts_ns", ["seq"],
-        window_ns=window_ns, threshold=threshold, hot_rows=hot_rows, chunk_rows=chunk_rows,
+        window_ns=window_ns, threshold=threshold, **check_options,
     ).select(
         *flows.columns, F.when(F.col("limited"), "rate_limited").otherwise("pass").alias("edge_reason"),
         F.col("window_start").alias("rate_window_start"), F.col("n").alias("rate_count"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.network import protocol_number
@@ -79,11 +80,12 @@ def append_interest(spark: SparkSession, config_path: str, table_path: str) -> D
 
 def read_loads(spark: SparkSession, table_path: str) -> DataFrame | None:
     """The table of loads, or None if nothing was written yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return None
-    return spark.read.schema(INTEREST_LOADS).parquet(table_path)
+    try:
+        return spark.read.schema(INTEREST_LOADS).parquet(table_path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _load_columns() -> list[str]:
