@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def be_sql(data: str, offset: str | int, size: int) -> str:
@@ -22,6 +22,23 @@ def u_le(data: str, offset: int, size: int) -> Column:
     return F.expr(f"try_cast(conv(concat({swapped}), 16, 10) as bigint)")
 
 
+def le_words(df: DataFrame, data: str, offsets: dict[str, int]) -> DataFrame:
+    """Add 8-byte little-endian words as signed BIGINTs, one read each; narrower fields are shifts of them.
+
+    The bytes are read in big-endian order and then swapped: neighbours, pairs, halves.
+    """
+    even_bytes, even_pairs = 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF
+    steps = (
+        f"(shiftrightunsigned({{w}}, 8) & {even_bytes}) | shiftleft({{w}} & {even_bytes}, 8)",
+        f"(shiftrightunsigned({{w}}, 16) & {even_pairs}) | shiftleft({{w}} & {even_pairs}, 16)",
+        "shiftrightunsigned({w}, 32) | shiftleft({w}, 32)",
+    )
+    read = df.withColumns({name: F.expr(be_sql(data, at, 8)) for name, at in offsets.items()})
+    for step in steps:
+        read = read.withColumns({name: F.expr(step.format(w=name)) for name in offsets})
+    return read
+
+
 def clamp(value: Column | str, upper: int) -> Column:
     return F.least(value if isinstance(value, Column) else F.col(value), F.lit(upper))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.barrier import compute_once
-from ..functions.bits import u_le
+from ..functions.bits import le_words
 from ..schemas import INLINE_MAX, MAX_JSON_BYTES, RECORD_BYTES, SLOT_BYTES
 from .policy import interest_join
 
@@ -87,27 +87,30 @@ def decode_records(records: DataFrame, *, record: str = "record") -> DataFrame:
     Layout: conn_id u32@0, pid u32@4, tid u32@8, ts_ns u64@16, is_ref u8@24, payload_ref u32@28, data_len u32@32,
     data@36. A record under 1,064 bytes gets ``reject_reason`` ``short_record`` and no fields.
     """
-    whole = F.octet_length(record) >= RECORD_BYTES
     others = [c for c in records.columns if c != record]
-    fields = records.select(*others, record, whole.alias("_whole")).withColumns({
-        "conn_id": F.when(F.col("_whole"), u_le(record, 0, 4)),
-        "pid": F.when(F.col("_whole"), u_le(record, 4, 4)),
-        "tid": F.when(F.col("_whole"), u_le(record, 8, 4)),
-        "ts_ns": F.when(F.col("_whole"), u_le(record, 16, 8)),
-        "is_ref": F.when(F.col("_whole"), F.substring(record, 25, 1) == F.lit(b"\x01")),
-        "payload_ref": F.when(F.col("_whole"), u_le(record, 28, 4)),
-        "data_len": F.when(F.col("_whole"), u_le(record, 32, 4)),
+    whole = F.octet_length(record) >= RECORD_BYTES
+    readable = records.select(*others, record, F.coalesce(whole, F.lit(False)).alias("_whole"))
+    words = le_words(readable, record, {"_w0": 0, "_w8": 8, "_w16": 16, "_w24": 24, "_w32": 32})
+    low = 0xFFFFFFFF
+    fields = words.withColumns({
+        "_is_ref": F.expr("(_w24 & 255) = 1"),
+        "_data_len": F.expr(f"_w32 & {low}"),
     })
-    inline = F.col("_whole") & ~F.col("is_ref")
-    length = F.least(F.col("data_len"), F.lit(INLINE_MAX)).cast("int")
-    made = {name: F.col(name) for name in ("conn_id", "pid", "tid", "ts_ns", "is_ref")}
-    made |= {
-        "payload_ref": F.when(F.col("is_ref"), F.col("payload_ref")),
-        "data_len": F.col("data_len"),
-        "data": F.when(inline, F.substring(F.col(record), F.lit(37), length)),
-        "reject_reason": F.when(~F.coalesce("_whole", F.lit(False)), "short_record"),
+    made = {
+        "conn_id": f"_w0 & {low}",
+        "pid": "shiftrightunsigned(_w0, 32)",
+        "tid": f"_w8 & {low}",
+        "ts_ns": "if(_w16 >= 0, _w16, null)",
+        "is_ref": "_is_ref",
+        "payload_ref": "if(_is_ref, shiftrightunsigned(_w24, 32), null)",
+        "data_len": "_data_len",
+        "data": f"if(_is_ref, null, substring({record}, 37, cast(least(_data_len, {INLINE_MAX}) as int)))",
     }
-    return compute_once(fields, made).select(*others, *made)
+    once = compute_once(fields, {
+        **{name: F.when(F.col("_whole"), F.expr(text)) for name, text in made.items()},
+        "reject_reason": F.when(~F.col("_whole"), "short_record"),
+    })
+    return once.select(*others, *made, "reject_reason")
 
 
 def record_reject(*, inline_max: int = INLINE_MAX, max_bytes: int = MAX_JSON_BYTES, max_ref: int | None = None):

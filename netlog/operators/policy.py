@@ -11,9 +11,7 @@ from ..schemas import (
     INLINE_MAX, LOOPBACK_IP, PROTO_TCP, PROTO_UDP, RATE_THRESHOLD, RATE_WINDOW_NS, SSH_PORT,
 )
 from .ratelimit import rate_check
-from .sizes import BROADCAST_ROWS, broadcast_if_small
-
-_STRIDES = (8, 16, 24, 32)
+from .sizes import BROADCAST_ROWS
 
 
 def interest_set(interest: DataFrame) -> DataFrame:
@@ -47,32 +45,31 @@ def flag_allowlist(
     """Longest matching prefix length of ``allowlist(plen, net)``, NULL where none matches. One row in, one row out.
 
     Prefixes are expanded to the next length of 8, 16, 24 or 32 (at most 256 keys each), keeping the longest per key.
-    Each length is then one equality join with unique keys, so nothing is exploded on the flow side. The /8 and /16
-    tables cannot exceed 256 and 65,536 rows and are broadcast. The other two are counted first (two small jobs) and
-    broadcast up to ``max_broadcast`` keys; beyond that they are joined by shuffle, where adaptive skew handling
-    splits a hot address.
+    Each length in use is then one equality join with unique keys, so nothing is exploded on the flow side. One small
+    job first counts the keys of each length: up to ``max_broadcast`` they are broadcast, beyond that joined by
+    shuffle, where adaptive skew handling splits a hot address.
     """
-    prefixes = allowlist.where(F.col("plen").between(0, 32)).select(
-        F.col("plen").cast("int").alias("plen"), F.col("net").cast("bigint").alias("net")
+    stride = F.expr("case when plen = 0 then 8 else cast(ceil(plen / 8) * 8 as int) end")
+    # the range of keys starts on the prefix's own boundary even if the address has host bits set
+    prefixes = (
+        allowlist.where("plen between 0 and 32")
+        .select(F.col("plen").cast("int").alias("plen"), F.col("net").cast("bigint").alias("net"))
+        .withColumn("stride", stride)
+        .withColumn("n_keys", F.expr("shiftleft(1L, stride - plen)"))
+        .withColumn("first", F.expr("shiftright(net, 32 - stride) - pmod(shiftright(net, 32 - stride), n_keys)"))
     )
+    in_use = {r.stride: r.total for r in prefixes.groupBy("stride").agg(F.sum("n_keys").alias("total")).collect()}
     joined, found = flows, []
-    for stride in _STRIDES:
-        host_bits = 32 - stride
-        mine = F.col("plen").between(stride - 7 if stride > 8 else 0, stride)
-        first = F.shiftright("net", host_bits)
-        n_keys = F.pow(F.lit(2), F.lit(stride) - F.col("plen")).cast("bigint")
-        # the range starts on the prefix's own boundary even if the address has host bits set
-        base = first - F.pmod(first, n_keys)
+    for bits, total in sorted(in_use.items(), reverse=True):
         keys = (
-            prefixes.where(mine)
-            .select("plen", F.explode(F.sequence(base, base + n_keys - 1)).alias(f"_key{stride}"))
-            .groupBy(f"_key{stride}").agg(F.max("plen").alias(f"_plen{stride}"))
+            prefixes.where(F.col("stride") == bits)
+            .select("plen", F.expr(f"explode(sequence(first, first + n_keys - 1)) as _key{bits}"))
+            .groupBy(f"_key{bits}").agg(F.max("plen").alias(f"_plen{bits}"))
         )
-        side = F.broadcast(keys) if stride <= 16 else broadcast_if_small(keys, max_broadcast)
-        joined = joined.withColumn(f"_ip{stride}", F.shiftright(F.col(ip), host_bits))
-        joined = joined.join(side, joined[f"_ip{stride}"] == side[f"_key{stride}"], "left")
-        found.append(f"_plen{stride}")
-    return joined.select(*flows.columns, F.coalesce(*reversed(found)).alias(match))
+        side = F.broadcast(keys) if total <= max_broadcast else keys
+        joined = joined.join(side, F.expr(f"shiftright({ip}, {32 - bits}) = _key{bits}"), "left")
+        found.append(F.col(f"_plen{bits}"))
+    return joined.select(*flows.columns, F.coalesce(*found, F.lit(None).cast("int")).alias(match))
 
 
 def allowlist_join(flows: DataFrame, allowlist: DataFrame, *, ip: str = "src_ip") -> DataFrame:

@@ -9,7 +9,7 @@ chunks which are scanned in parallel:
 
 1. each chunk is summarised as a step function from the window it may be entered with to the window it leaves with;
 2. the summaries of a key, not its rows, are walked in order, which gives every chunk its entry window;
-3. the entry windows join the rows as one leading row per chunk in the main shuffle.
+3. the entry windows join the rows as one leading row per chunk, without a time, in the main shuffle.
 
 A chunk lasts at least ``CHUNK_WINDOWS`` windows, and a summary has at most as many steps as one window has rows, so
 step 2 reads at most ``1 / CHUNK_WINDOWS`` of the rows even if no two steps meet.
@@ -60,7 +60,7 @@ def rate_check(
     ])
     scanned = (
         marked.repartition(*keys, "_chunk")
-        .sortWithinPartitions(*keys, "_chunk", F.col("_entry_start").isNull(), ts, *order)
+        .sortWithinPartitions(*keys, "_chunk", F.col(ts).asc_nulls_first(), *order)
         .mapInArrow(_scan_windows(keys, ts, df.columns, window_ns), out)
     )
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)

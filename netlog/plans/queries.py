@@ -119,7 +119,10 @@ def allowlist_members(spark, sf_dir):
 
 def _verdicts(spark, sf_dir):
     ensure_checkpoint_dir(spark, tempfile.gettempdir())
-    flows = as_table(op.decode_frames(frames(spark, sf_dir)).drop("frame"), "flows")
+    flows = op.decode_frames(frames(spark, sf_dir)).select(
+        "seq", "ts_ns", "src_ip", "src_port", "dst_port", "proto", "decode_status"
+    )
+    flows = as_table(flows, "flows")
     return op.edge_verdict(flows, interest(spark), allowlist(spark), window_ns=RATE_WINDOW, threshold=RATE_LIMIT)
 
 
@@ -378,8 +381,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _le(_micros() * 1000, 8), F.when(is_ref, "01").otherwise("00"), F.lit("000000"),
         _le(F.col("event_id") * 64, 4), _le(F.octet_length(body), 4),
     )
-    padded = F.rpad(F.hex(F.when(is_ref, F.lit(b"")).otherwise(body)), 2056, "0")
-    record = F.unhex(F.concat(header, padded))
+    data = F.when(is_ref, F.lit(b"")).otherwise(body)
+    padding = F.substring(F.lit(b"\0" * 1028), F.lit(1), F.lit(1028) - F.octet_length(data))
+    record = F.concat(F.unhex(header), data, padding)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         F.when(F.pmod("event_id", F.lit(13)) == 0, F.substring(record, 1, 1063)).otherwise(record).alias("record"),
