@@ -13,6 +13,18 @@ def is_json_object_text(text: Column) -> Column:
     return text.rlike(r"^[ \t\r\n]*\{")
 
 
+def has_lone_surrogate(text: Column) -> Column:
+    """Whether an escape names half of a surrogate pair, which is no character. Most texts end at the first test.
+
+    Escaped backslashes are taken out first, so that what remains of a backslash starts an escape; then whole pairs.
+    """
+    unescaped = F.regexp_replace(text, r"\\\\", "")
+    single = F.regexp_replace(
+        unescaped, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", ""
+    )
+    return (text.contains("\\ud") | text.contains("\\uD")) & single.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")
+
+
 def strict_json(text: Column) -> tuple[Column, Callable]:
     """One-parse strict check.
 
