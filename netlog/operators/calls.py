@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schemas import INLINE_MAX
-from .skew import CHUNK_ROWS, HOT_ROWS, hot_keys, with_chunk
+from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks
 
 
 def pair_calls(
@@ -30,18 +30,17 @@ def pair_calls(
     needed = events.select(*keys, ts, seq, "kind", "ret", "data", state.alias("_state"))
 
     if hot_rows is None:
-        rows = needed.withColumns({"_chunk": F.lit(0).cast("bigint"), "_lead": F.lit(False)})
+        rows = needed.withColumns({"_chunk": F.lit(None).cast("bigint"), "_lead": F.lit(False)})
     else:
-        hot = hot_keys(events, keys, ts, min_chunk_ns=1, hot_rows=hot_rows, chunk_rows=chunk_rows)
-        chunked = with_chunk(needed, hot, keys, ts)
+        chunked = hot_chunks(needed, keys, ts, min_chunk_ns=1, hot_rows=hot_rows, chunk_rows=chunk_rows)
         last_state = (
-            chunked.where(F.col("_width").isNotNull() & F.col("_state").isNotNull())
+            chunked.where(F.col("_chunk").isNotNull() & F.col("_state").isNotNull())
             .groupBy(*keys, "_chunk").agg(F.max_by("_state", F.struct(ts, seq)).alias("_state"))
         )
         leads = last_state.withColumn(
             "_state", F.lag("_state").over(Window.partitionBy(*keys).orderBy("_chunk"))
         ).withColumn("_lead", F.lit(True))
-        rows = chunked.drop("_width").withColumn("_lead", F.lit(False)).unionByName(leads, allowMissingColumns=True)
+        rows = chunked.withColumn("_lead", F.lit(False)).unionByName(leads, allowMissingColumns=True)
 
     before = (
         Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_lead"), ts, seq)

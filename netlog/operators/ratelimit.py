@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
-from .skew import CHUNK_ROWS, HOT_ROWS, hot_keys, with_chunk
+from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks
 
 CHUNK_WINDOWS = 64
 _FOREVER = 2**63 - 1
@@ -39,20 +39,18 @@ def rate_check(
     """Add ``window_start``, ``n`` (place in the window) and ``limited`` to every row.
 
     ``ts`` is a non-NULL BIGINT; ``order`` breaks ties. ``threshold`` may be a column. With hot keys handled, ``df`` is
-    read twice (first only its keys and times), so give it as a table rather than a long derivation.
-    ``hot_rows=None`` skips that and keeps every key in one task.
+    read twice (first only its keys and times; twice more for its hot keys alone), so give it as a table rather than a
+    long derivation. ``hot_rows=None`` skips that and keeps every key in one task.
     """
     keys, order = list(keys), list(order)
     if hot_rows is None:
-        rows = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-        marked = rows.withColumns(_no_entry())
+        marked = df.withColumn("_chunk", F.lit(None).cast("bigint")).withColumns(_no_entry())
     else:
-        hot = hot_keys(
+        rows = hot_chunks(
             df, keys, ts, min_chunk_ns=window_ns * chunk_windows, hot_rows=hot_rows, chunk_rows=chunk_rows
         )
-        rows = with_chunk(df, hot, keys, ts)
-        entries = _entry_windows(rows.where(F.col("_width").isNotNull()), keys, ts, window_ns)
-        marked = rows.drop("_width").withColumns(_no_entry()).unionByName(entries, allowMissingColumns=True)
+        entries = _entry_windows(rows.where(F.col("_chunk").isNotNull()), keys, ts, window_ns)
+        marked = rows.withColumns(_no_entry()).unionByName(entries, allowMissingColumns=True)
 
     kept = T.StructType(df.schema.fields)
     out = T.StructType([

@@ -4,48 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A key below this many rows is one sorted run in one task.
 HOT_ROWS = 5_000_000
-# Bound on the broadcast list of hot keys. A key outside the MAX_HOT_KEYS largest holds at most rows / MAX_HOT_KEYS.
-MAX_HOT_KEYS = 10_000
 # Rows wanted in one chunk of a hot key.
 CHUNK_ROWS = 1_000_000
+# A chunk with a burst is cut this many times finer than its average rate asks for, as the burst fills only part of it.
+BURST_CUTS = 16
+# Bounds on the broadcast lists. A key outside the MAX_HOT_KEYS largest holds at most rows / MAX_HOT_KEYS rows, and a
+# chunk outside the MAX_DENSE_CHUNKS largest at most rows / MAX_DENSE_CHUNKS.
+MAX_HOT_KEYS = 10_000
+MAX_DENSE_CHUNKS = 100_000
 
 
-def hot_keys(
+def hot_chunks(
     df: DataFrame, keys: Sequence[str], ts: str, *, min_chunk_ns: int, hot_rows: int = HOT_ROWS,
-    chunk_rows: int = CHUNK_ROWS, max_hot_keys: int = MAX_HOT_KEYS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows, with the width of their time chunks.
+    """Add ``_chunk``, the start of the row's time chunk: NULL for a key with at most ``hot_rows`` rows.
 
-    Reads only ``keys`` and ``ts`` and counts before shuffling. The result has at most ``max_hot_keys`` rows. It only
-    decides how rows are spread: every key gives the same answer on either path.
+    A hot key's time span is first cut evenly, by its average rate. A chunk that then holds over twice ``chunk_rows``
+    rows, from a burst, is cut once more and finer. No chunk is cut below ``min_chunk_ns``. The cuts come from exact
+    counts of ``keys`` and ``ts``, made per task before they are shuffled, so a repeated task cuts in the same places.
+    They decide only how rows are spread: every key gives the same answer on either path.
     """
-    span = F.col("_last") - F.col("_first") + 1
-    width = F.greatest(F.lit(min_chunk_ns), F.ceil(span / F.col("_rows") * chunk_rows).cast("bigint"))
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    span = "_last - _first + 1"
+    hot = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(max_hot_keys)
-        .select(*keys, width.cast("bigint").alias("_width"))
+        .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
+        .select(
+            *[F.col(k).alias(f"_hot_{k}") for k in keys],
+            F.expr(f"greatest({min_chunk_ns}L, cast(ceil(({span}) / _rows * {chunk_rows}) as bigint))").alias("_width"),
+        )
+    )
+    coarse = df.join(F.broadcast(hot), _same(keys, "_hot_"), "left").withColumn("_coarse", _cut(ts, "_width"))
+    dense = (
+        coarse.where("_width IS NOT NULL").groupBy(*keys, "_coarse", "_width").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_part", F.expr(
+            f"greatest({min_chunk_ns}L, cast(ceil(_width / (ceil(_rows / {chunk_rows}) * {BURST_CUTS})) as bigint))"
+        ))
+        .where((F.col("_rows") > 2 * chunk_rows) & (F.col("_part") < F.col("_width")))
+        .orderBy(F.desc("_rows"), *keys, "_coarse").limit(MAX_DENSE_CHUNKS)
+        .select(*[F.col(k).alias(f"_dense_{k}") for k in keys], F.col("_coarse").alias("_from"), "_part")
     )
+    fine = coarse.join(F.broadcast(dense), _same(keys, "_dense_") & F.expr("_coarse = _from"), "left")
+    chunk = F.coalesce(F.col("_from") + _cut(f"({ts} - _from)", "_part"), F.col("_coarse"))
+    return fine.select(*df.columns, chunk.alias("_chunk"))
 
 
-def with_chunk(df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Add ``_width`` and ``_chunk``, the start of the row's chunk (NULL and 0 for a key that is not hot)."""
-    side = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_width"))
-    match = None
-    for k in keys:
-        same = df[k].eqNullSafe(side[f"_hot_{k}"])
-        match = same if match is None else match & same
-    joined = df.join(side, match, "left").drop(*[f"_hot_{k}" for k in keys])
-    return joined.withColumn("_chunk", chunk_of(F.col(ts), F.col("_width")))
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    return F.expr(" AND ".join(f"`{k}` <=> `{prefix}{k}`" for k in keys))
 
 
-def chunk_of(ts, width):
-    """Start of the chunk that holds ``ts``, in integers throughout; a NULL width gives 0."""
-    return F.coalesce((ts - F.pmod(ts, width)).cast("bigint"), F.lit(0).cast("bigint"))
+def _cut(ts: str, width: str) -> Column:
+    """Start of the interval of ``width`` that holds ``ts``, in integers throughout."""
+    return F.expr(f"cast({ts} - pmod({ts}, {width}) as bigint)")
