@@ -166,8 +166,9 @@ def resolve_payloads(
             stored.join(hot, F.col("_ref") == F.col("_hot_ref"), "left")
             .select("_ref", "_stored", F.explode(F.sequence(F.lit(0), last)).alias("_stored_part"))
         )
+        # sizes are estimated before rows are repeated, so a broadcast of this side could be far larger than planned
         joined = salted.join(
-            spread, (F.col("payload_ref") == F.col("_ref")) & (F.col("_part") == F.col("_stored_part")), "left"
+            spread.hint("merge"), (F.col("payload_ref") == F.col("_ref")) & (F.col("_part") == F.col("_stored_part")), "left"
         )
     resolved = joined.withColumns({
         "reject_reason": F.when(F.col("_ref").isNull() | F.col("_stored").isNull(), "bad_ref")

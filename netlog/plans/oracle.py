@@ -167,12 +167,12 @@ SELECT count(*) AS events, count(*) FILTER (reject_reason IS NULL) AS accepted,
   CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest
 FROM (SELECT least(strlen(text), 65536) AS size FROM documents WHERE strlen(text) > 0) GROUP BY 1""",
     "resolve_payloads": """SELECT doc_id AS seq, CASE WHEN strlen(text) <= 1024 THEN 'tc' ELSE 'sk_msg' END AS source,
-  CAST(least(strlen(text), CASE WHEN strlen(text) <= 1024 THEN 1024 ELSE 16384 END) AS BIGINT) AS n_bytes,
-  md5(array_slice(encode(text), 1, 16384)) AS digest, CAST(NULL AS VARCHAR) AS reject_reason
+  CAST(least(strlen(text), 65536) AS BIGINT) AS n_bytes, md5(array_slice(encode(text), 1, 65536)) AS digest,
+  CAST(NULL AS VARCHAR) AS reject_reason
 FROM documents WHERE strlen(text) > 0""",
     "resolve_hot": """SELECT e.event_id AS seq,
-  CASE WHEN strlen(d.text) >= 100 THEN md5(array_slice(encode(d.text), 1, 100)) END AS digest,
-  CASE WHEN d.doc_id IS NULL THEN 'bad_ref' WHEN strlen(d.text) < 100 THEN 'short_payload' END AS reject_reason
+  CASE WHEN e.event_id % 11 <> 0 AND d.doc_id IS NOT NULL THEN md5(array_slice(encode(d.text), 1, 65536)) END AS digest,
+  CASE WHEN d.doc_id IS NULL THEN 'bad_ref' WHEN e.event_id % 11 = 0 THEN 'short_payload' END AS reject_reason
 FROM events e LEFT JOIN (SELECT * FROM documents WHERE strlen(text) > 0) d ON d.doc_id = e.user_id""",
     "retain_latest": f"""WITH {TRAFFIC}
 SELECT seq, ts_ns, strlen(payload) AS n_bytes FROM traffic ORDER BY ts_ns DESC, seq DESC LIMIT 100""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import operators as op
 from ..functions import cidr_net, cidr_plen, ip_text, ip_value, monotonic_to_timestamp, split_pid_tid
-from ..schemas import ALLOWLIST, INTEREST, SLOT_BYTES, TUNING
+from ..schemas import INTEREST, TUNING
 from ..session import as_table, configure, ensure_checkpoint_dir
 from ..sources.interest import accepted_loads, effective_interest, normalize_interest
 from ..sources.tuning import decode_tuning, latest_tuning
@@ -221,22 +221,20 @@ def route_by_size(spark, sf_dir):
     )
 
 
-def _document_events(spark, sf_dir, slot_bytes):
+def _document_events(spark, sf_dir):
     """Small documents as inline events, all others as pointer events with their payload table."""
     docs = messages(spark, sf_dir)
     small = docs.where(op.size_route(F.octet_length("payload")) == "inline").select(
         "seq", "ts_ns", F.lit(False).alias("is_ref"), F.octet_length("payload").cast("bigint").alias("data_len"),
         F.col("payload").alias("data"),
     )
-    clamped = op.clamp_messages(
-        docs.where(op.size_route(F.octet_length("payload")) == "large"), slot_bytes=slot_bytes
-    )
+    clamped = op.clamp_messages(docs.where(op.size_route(F.octet_length("payload")) == "large"))
     merged = op.merge_sources(tc=small, sk_msg=op.message_events(clamped))
     return merged, op.message_payloads(clamped)
 
 
 def resolve_payloads(spark, sf_dir):
-    events, payloads = _document_events(spark, sf_dir, 16_384)
+    events, payloads = _document_events(spark, sf_dir)
     resolved = op.resolve_payloads(events, payloads)
     return resolved.select(
         "seq", "source", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5("data").alias("digest"),
@@ -245,14 +243,18 @@ def resolve_payloads(spark, sf_dir):
 
 
 def resolve_hot(spark, sf_dir):
-    """Every event points to the document with its user's number: few payloads, many references, all spread."""
-    events = table(spark, sf_dir, "events").select(
+    """Every event points to the document with its user's number: few payloads, many references, all spread.
+
+    Events without such a document, and one in eleven that claims a byte too many, are rejected.
+    """
+    clamped = op.clamp_messages(messages(spark, sf_dir))
+    sizes = clamped.select(F.col("seq").alias("user_id"), "size")
+    claimed = F.coalesce("size", F.lit(1)) + F.when(F.pmod("event_id", F.lit(11)) == 0, 1).otherwise(0)
+    events = table(spark, sf_dir, "events").join(sizes, "user_id", "left").select(
         F.col("event_id").alias("seq"), (_micros() * 1000).alias("ts_ns"), F.lit(True).alias("is_ref"),
-        F.col("user_id").alias("payload_ref"), F.lit(100).cast("bigint").alias("data_len"),
-        F.lit(None).cast("binary").alias("data"),
+        F.col("user_id").alias("payload_ref"), claimed.alias("data_len"), F.lit(None).cast("binary").alias("data"),
     )
-    payloads = op.message_payloads(op.clamp_messages(messages(spark, sf_dir), slot_bytes=SLOT_BYTES))
-    resolved = op.resolve_payloads(events, payloads, hot_rows=20, salts=8)
+    resolved = op.resolve_payloads(events, op.message_payloads(clamped), hot_rows=20, salts=8)
     return resolved.select("seq", F.md5("data").alias("digest"), "reject_reason")
 
 

@@ -54,6 +54,23 @@ def test_resolve_edges(spark):
     assert {r.seq for r in bounded.where("reject_reason = 'bad_ref'").collect()} == {0, 1, 2, 4}
 
 
+def test_only_readable_pointers_are_shuffled(spark, tmp_path):
+    rows = [(i, 0, i % 3 == 0, 9 if i % 2 else None, 5, bytearray(b"inline")) for i in range(60)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    payloads = spark.createDataFrame(
+        [(9, 0, 0, bytearray(b"hello world"))], "payload_ref BIGINT, ts_ns BIGINT, seq BIGINT, payload BINARY"
+    )
+    resolved = nl.resolve_payloads(events, payloads, hot_rows=3, salts=4)
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    own, joined = plan.split("SortMergeJoin")[0], plan.split("SortMergeJoin")[1]
+    assert "Exchange" not in own and "Exchange" in joined
+    got = resolved.groupBy("is_ref", "reject_reason").count().collect()
+    assert {(r.is_ref, r.reject_reason): r["count"] for r in got} == {
+        (False, None): 40, (True, None): 10, (True, "bad_ref"): 10
+    }
+
+
 def test_message_clamp(spark):
     sizes = [0, 1, 65_536, 65_537]
     df = spark.createDataFrame([(i, 0, 80, 6, "c", bytearray(b"x" * n)) for i, n in enumerate(sizes)], MESSAGES)
