@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.bits import clamp
 from ..schemas import INLINE_MAX
 from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks
 
@@ -49,6 +50,6 @@ def pair_calls(
     seen = rows.withColumn("_seen", F.last("_state", ignorenulls=True).over(before))
     return seen.where(~F.col("_lead") & takes & F.col("_seen.stored")).select(
         *keys, ts, seq, F.col("_seen.buf").alias("buf"), F.col("_seen.enter_ns").alias("enter_ns"),
-        F.least(F.col("ret"), F.lit(max_bytes)).cast("bigint").alias("data_len"),
-        F.substring("data", F.lit(1), F.least(F.col("ret"), F.lit(max_bytes))).alias("data"),
+        clamp("ret", max_bytes).cast("bigint").alias("data_len"),
+        F.substring("data", F.lit(1), clamp("ret", max_bytes)).alias("data"),
     )

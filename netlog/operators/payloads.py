@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.barrier import compute_once
-from ..functions.bits import le_words
+from ..functions.bits import clamp, le_words
 from ..schemas import INLINE_MAX, MAX_JSON_BYTES, RECORD_BYTES, SLOT_BYTES
 from .policy import interest_join
 
@@ -55,7 +55,7 @@ def capture_inline(
 def clamp_messages(messages: DataFrame, *, payload: str = "payload", slot_bytes: int = SLOT_BYTES) -> DataFrame:
     """Drop empty messages and keep the first ``slot_bytes`` bytes of the others."""
     return messages.where(F.octet_length(payload) > 0).withColumns({
-        "size": F.least(F.octet_length(payload), F.lit(slot_bytes)).cast("bigint"),
+        "size": clamp(F.octet_length(payload), slot_bytes).cast("bigint"),
         payload: F.substring(payload, 1, slot_bytes),
     })
 

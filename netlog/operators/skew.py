@@ -39,7 +39,7 @@ def hot_chunks(
             F.expr(f"greatest({min_chunk_ns}L, cast(ceil(({span}) / _rows * {chunk_rows}) as bigint))").alias("_width"),
         )
     )
-    coarse = df.join(F.broadcast(hot), _same(keys, "_hot_"), "left").withColumn("_coarse", _cut(ts, "_width"))
+    coarse = df.join(F.broadcast(hot), _same(keys, "_hot_"), "left").withColumn("_coarse", _cut(f"`{ts}`", "_width"))
     dense = (
         coarse.where("_width IS NOT NULL").groupBy(*keys, "_coarse", "_width").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_part", F.expr(
@@ -50,7 +50,7 @@ def hot_chunks(
         .select(*[F.col(k).alias(f"_dense_{k}") for k in keys], F.col("_coarse").alias("_from"), "_part")
     )
     fine = coarse.join(F.broadcast(dense), _same(keys, "_dense_") & F.expr("_coarse = _from"), "left")
-    chunk = F.coalesce(F.col("_from") + _cut(f"({ts} - _from)", "_part"), F.col("_coarse"))
+    chunk = F.coalesce(F.col("_from") + _cut(f"(`{ts}` - _from)", "_part"), F.col("_coarse"))
     return fine.select(*df.columns, chunk.alias("_chunk"))
 
 

@@ -133,7 +133,7 @@ SELECT seq, ts_ns, src_ip, dst_ip, src_port, dst_port, proto, n_vlan, CAST(strle
   FROM cut
 ) SELECT n_vlan, decode_status, count(*) AS rows FROM judged GROUP BY ALL""",
     "capture_inline": f"""WITH {TRAFFIC}
-SELECT seq, ts_ns, CAST(strlen(payload) AS BIGINT) AS data_len, payload AS data, CAST(NULL AS VARCHAR) AS reject_reason
+SELECT seq, ts_ns, CAST(strlen(payload) AS BIGINT) AS data_len, payload AS data, true AS complete
 FROM traffic WHERE (dst_port, proto) IN ((443, 6), (8080, 6), (514, 17)) AND strlen(payload) BETWEEN 1 AND 1024""",
     "capture_reasons": f"""WITH {TRAFFIC}
 SELECT CASE WHEN (dst_port, proto) NOT IN ((443, 6), (8080, 6), (514, 17)) THEN 'not_of_interest'
@@ -155,7 +155,7 @@ SELECT seq, ts_ns, dst_port, window_start, n, n > 2 AS limited FROM counted""",
     "json_parse": f"WITH {DAMAGED} SELECT event_id, reject_reason IS NULL AS accepted, reject_reason FROM judged",
     "json_fields": """SELECT event_id, unnest(json_keys(props)) AS key, CAST(props ->> '$.k' AS BIGINT) AS value,
   CAST(props ->> '$.k' AS BIGINT) AS k FROM events""",
-    "json_documents": """SELECT doc_id, md5(text) AS text_md5, lang, CAST(NULL AS VARCHAR) AS reject_reason FROM documents""",
+    "json_documents": """SELECT doc_id, md5(text) AS text_md5, lang, true AS accepted FROM documents""",
     "ndjson_lines": """SELECT event_id, '{"k":' || (props ->> '$.k') || '}' AS value FROM events""",
     "json_candidates": """SELECT source, count(*) AS rows FROM (
   SELECT 'events' AS source, props AS text FROM events UNION ALL SELECT 'documents', text FROM documents
@@ -168,7 +168,7 @@ SELECT count(*) AS events, count(*) FILTER (reject_reason IS NULL) AS accepted,
 FROM (SELECT least(strlen(text), 65536) AS size FROM documents WHERE strlen(text) > 0) GROUP BY 1""",
     "resolve_payloads": """SELECT doc_id AS seq, CASE WHEN strlen(text) <= 1024 THEN 'tc' ELSE 'sk_msg' END AS source,
   CAST(least(strlen(text), 65536) AS BIGINT) AS n_bytes, md5(array_slice(encode(text), 1, 65536)) AS digest,
-  CAST(NULL AS VARCHAR) AS reject_reason
+  true AS resolved
 FROM documents WHERE strlen(text) > 0""",
     "resolve_hot": """SELECT e.event_id AS seq,
   CASE WHEN e.event_id % 11 <> 0 AND d.doc_id IS NOT NULL THEN md5(array_slice(encode(d.text), 1, 65536)) END AS digest,

@@ -99,7 +99,10 @@ def decode_status(spark, sf_dir):
 
 def capture_inline(spark, sf_dir):
     events = op.capture_inline(op.decode_frames(frames(spark, sf_dir)), interest(spark))
-    return events.select("seq", "ts_ns", "data_len", F.col("data").cast("string").alias("data"), "reject_reason")
+    return events.select(
+        "seq", "ts_ns", "data_len", F.col("data").cast("string").alias("data"),
+        F.col("reject_reason").isNull().alias("complete"),
+    )
 
 
 def capture_reasons(spark, sf_dir):
@@ -184,7 +187,8 @@ def json_documents(spark, sf_dir):
     logs = op.parse_logs(docs.select("doc_id", wrapped.alias("data")))
     return logs.select(
         "doc_id", F.md5(op.field("text")).alias("text_md5"),
-        F.try_variant_get("doc", "$.meta.lang", "string").alias("lang"), "reject_reason",
+        F.try_variant_get("doc", "$.meta.lang", "string").alias("lang"),
+        F.col("reject_reason").isNull().alias("accepted"),
     )
 
 
@@ -238,7 +242,7 @@ def resolve_payloads(spark, sf_dir):
     resolved = op.resolve_payloads(events, payloads)
     return resolved.select(
         "seq", "source", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5("data").alias("digest"),
-        "reject_reason",
+        F.col("reject_reason").isNull().alias("resolved"),
     )
 
 

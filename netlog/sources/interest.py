@@ -74,8 +74,10 @@ def append_interest(spark: SparkSession, config_path: str, table_path: str) -> D
         F.col("reject_reason").isin("bad_file", "bad_port")
     ).isEmpty():
         raise ValueError(f"no usable interest list in {config_path}")
-    loads.write.mode("append").parquet(table_path)
-    return effective_interest(accepted_loads(read_loads(spark, table_path)))
+    if not loads.isEmpty():
+        loads.write.mode("append").parquet(table_path)
+        known = read_loads(spark, table_path)
+    return effective_interest(accepted_loads(loads if known is None else known))
 
 
 def read_loads(spark: SparkSession, table_path: str) -> DataFrame | None:

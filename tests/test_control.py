@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import netlog as nl
-from netlog.functions import cidr_net, cidr_plen, ip_text, ip_value, monotonic_to_timestamp, split_pid_tid
+from netlog.functions import (
+    cidr_net, cidr_plen, ip_text, ip_value, le_words, monotonic_to_timestamp, split_pid_tid, u_be, u_le,
+)
 from netlog.schemas import TUNING
 from netlog.sources import (
     accepted_loads, append_interest, decode_tuning, effective_interest, latest_tuning, normalize_interest,
@@ -110,6 +112,15 @@ def test_tuning_sources(spark):
     assert tuple(tuning_record(spark, 5, rate_limit=7).first()) == (5, 1, 7, 1, 1)
 
 
+def test_integer_reads(spark):
+    df = spark.createDataFrame([(bytearray(range(240, 256)),), (bytearray(b"\x01"),)], "b BINARY")
+    rows = df.select(u_be("b", 0, 2), u_be("b", 1, 4), u_le("b", 0, 4), u_le("b", 8, 8), u_be("b", 2, 1)).collect()
+    assert tuple(rows[0]) == (0xF0F1, 0xF1F2F3F4, 0xF3F2F1F0, None, 0xF2)
+    assert rows[1][1] is None and rows[1][4] is None
+    words = le_words(df, "b", {"w": 0}).first().w
+    assert words.to_bytes(8, "little", signed=True) == bytes(range(240, 248))
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("10.0.0.1/8",), ("192.168.1.77/26",), ("1.2.3.4",), ("256.0.0.1/8",), ("1.2.3.4/33",), ("0.0.0.0/0",)], "c STRING")
     got = [tuple(r) for r in df.select(cidr_plen(F.col("c")), cidr_net(F.col("c"))).collect()]
