@@ -10,14 +10,14 @@ from .payloads import (
 from .policy import (
     allowlist_join, capture_verdict, edge_verdict, flag_allowlist, flag_interest, interest_join, interest_set,
 )
-from .ratelimit import rate_check
+from .ratelimit import open_windows, rate_check
 from .tuning import sample, tuning_in_force
 
 __all__ = [
     "FLOW_COLUMNS", "allowlist_join", "candidates", "capture_inline", "capture_verdict", "clamp_messages",
     "decode_frames", "decode_records", "drop_total", "edge_verdict", "field", "first_seen", "flag_allowlist",
     "flag_interest", "flatten", "interest_join", "interest_set", "merge_sources", "message_events",
-    "message_payloads", "observe_rejects", "pair_calls", "parse_logs", "rate_check", "reason_counts",
+    "message_payloads", "observe_rejects", "open_windows", "pair_calls", "parse_logs", "rate_check", "reason_counts",
     "record_reject", "registered_messages", "resolve_payloads", "retain_latest", "sample", "size_route",
     "stage_counts", "to_line", "tuning_in_force", "with_fields", "with_payload",
 ]

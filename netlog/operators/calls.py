@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.bits import clamp
 from ..schemas import INLINE_MAX
-from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks
+from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks, hot_keys
 
 
 def pair_calls(
@@ -33,7 +33,8 @@ def pair_calls(
     if hot_rows is None:
         rows = needed.withColumns({"_chunk": F.lit(None).cast("bigint"), "_lead": F.lit(False)})
     else:
-        chunked = hot_chunks(needed, keys, ts, min_chunk_ns=1, hot_rows=hot_rows, chunk_rows=chunk_rows)
+        hot = hot_keys(needed, keys, ts, min_chunk_ns=1, hot_rows=hot_rows, chunk_rows=chunk_rows)
+        chunked = hot_chunks(needed, hot, keys, ts, min_chunk_ns=1, chunk_rows=chunk_rows)
         last_state = (
             chunked.where(F.col("_chunk").isNotNull() & F.col("_state").isNotNull())
             .groupBy(*keys, "_chunk").agg(F.max_by("_state", F.struct(ts, seq)).alias("_state"))

@@ -25,32 +25,55 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
-from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks
+from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks, hot_keys, same_key
 
 CHUNK_WINDOWS = 64
 _FOREVER = 2**63 - 1
+_FIRST_CHUNK = -(2**63)
 
 
 def rate_check(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], *, window_ns: int = RATE_WINDOW_NS,
     threshold: int | Column = RATE_THRESHOLD, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
-    chunk_windows: int = CHUNK_WINDOWS,
+    chunk_windows: int = CHUNK_WINDOWS, opened: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``window_start``, ``n`` (place in the window) and ``limited`` to every row.
 
     ``ts`` is a non-NULL BIGINT; ``order`` breaks ties. ``threshold`` may be a column. With hot keys handled, ``df`` is
     read twice (first only its keys and times; twice more for its hot keys alone), so give it as a table rather than a
     long derivation. ``hot_rows=None`` skips that and keeps every key in one task.
+
+    ``opened`` continues from earlier rows: one row per key with ``window_start`` and ``n`` of its last window, as
+    ``open_windows`` gives. A row from before that window counts in it.
     """
     keys, order = list(keys), list(order)
+    parts = []
     if hot_rows is None:
-        marked = df.withColumn("_chunk", F.lit(None).cast("bigint")).withColumns(_no_entry())
+        rows = df.withColumn("_chunk", F.lit(None).cast("bigint"))
+        if opened is not None:
+            parts.append(opened.select(*keys, F.lit(None).cast("bigint").alias("_chunk"), *_as_entry()))
     else:
-        rows = hot_chunks(
-            df, keys, ts, min_chunk_ns=window_ns * chunk_windows, hot_rows=hot_rows, chunk_rows=chunk_rows
-        )
-        entries = _entry_windows(rows.where(F.col("_chunk").isNotNull()), keys, ts, window_ns)
-        marked = rows.withColumns(_no_entry()).unionByName(entries, allowMissingColumns=True)
+        min_chunk_ns = window_ns * chunk_windows
+        hot = hot_keys(df, keys, ts, min_chunk_ns=min_chunk_ns, hot_rows=hot_rows, chunk_rows=chunk_rows)
+        rows = hot_chunks(df, hot, keys, ts, min_chunk_ns=min_chunk_ns, chunk_rows=chunk_rows)
+        later = rows.where(F.col("_chunk").isNotNull())
+        if opened is not None:
+            # a hot key's rows up to the end of its open window are one chunk; what follows is independent of it
+            known = opened.join(F.broadcast(hot), same_key(keys, "_hot_"), "left")
+            first = F.when(F.col("_width").isNotNull(), _FIRST_CHUNK)
+            parts.append(known.select(*keys, first.cast("bigint").alias("_chunk"), *_as_entry()))
+            ends = known.where("_width IS NOT NULL").select(
+                *[F.col(k).alias(f"_open_{k}") for k in keys], (F.col("window_start") + window_ns).alias("_open_until")
+            )
+            in_open = F.col("_chunk").isNotNull() & (F.col(ts) <= F.col("_open_until"))
+            rows = rows.join(F.broadcast(ends), same_key(keys, "_open_"), "left").select(
+                *df.columns, F.when(in_open, _FIRST_CHUNK).otherwise(F.col("_chunk")).alias("_chunk")
+            )
+            later = rows.where(F.col("_chunk") > _FIRST_CHUNK)
+        parts.append(_entry_windows(later, keys, ts, window_ns))
+    marked = rows.withColumns(_no_entry())
+    for part in parts:
+        marked = marked.unionByName(part, allowMissingColumns=True)
 
     kept = T.StructType(df.schema.fields)
     out = T.StructType([
@@ -65,6 +88,23 @@ def rate_check(
     return scanned.withColumn("limited", F.col("n") > limit)
 
 
+def open_windows(
+    checked: DataFrame, keys: Sequence[str], *, opened: DataFrame | None = None
+) -> DataFrame:
+    """The last window of every key, ``keys, window_start, n``, to go on from: of ``checked`` rows and before them."""
+    windows = checked.select(*keys, "window_start", "n")
+    if opened is not None:
+        windows = windows.unionByName(opened.select(*keys, "window_start", "n"))
+    per_window = windows.groupBy(*keys, "window_start").agg(F.max("n").alias("n"))
+    return per_window.groupBy(*keys).agg(
+        F.max_by("n", "window_start").alias("n"), F.max("window_start").alias("window_start")
+    ).select(*keys, "window_start", "n")
+
+
+def _as_entry() -> list[Column]:
+    return [F.col("window_start").alias("_entry_start"), F.col("n").alias("_entry_count")]
+
+
 def _no_entry() -> dict[str, Column]:
     return {"_entry_start": F.lit(None).cast("bigint"), "_entry_count": F.lit(None).cast("bigint")}
 

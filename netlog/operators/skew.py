@@ -18,19 +18,16 @@ MAX_HOT_KEYS = 10_000
 MAX_DENSE_CHUNKS = 100_000
 
 
-def hot_chunks(
+def hot_keys(
     df: DataFrame, keys: Sequence[str], ts: str, *, min_chunk_ns: int, hot_rows: int = HOT_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add ``_chunk``, the start of the row's time chunk: NULL for a key with at most ``hot_rows`` rows.
+    """The keys with more than ``hot_rows`` rows, as ``_hot_<key>``, and ``_width``, the time an average chunk takes.
 
-    A hot key's time span is first cut evenly, by its average rate. A chunk that then holds over twice ``chunk_rows``
-    rows, from a burst, is cut once more and finer. No chunk is cut below ``min_chunk_ns``. The cuts come from exact
-    counts of ``keys`` and ``ts``, made per task before they are shuffled, so a repeated task cuts in the same places.
-    They decide only how rows are spread: every key gives the same answer on either path.
+    Reads only ``keys`` and ``ts``; at most MAX_HOT_KEYS rows.
     """
     span = "_last - _first + 1"
-    hot = (
+    return (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .where(F.col("_rows") > hot_rows)
         .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
@@ -39,7 +36,19 @@ def hot_chunks(
             F.expr(f"greatest({min_chunk_ns}L, cast(ceil(({span}) / _rows * {chunk_rows}) as bigint))").alias("_width"),
         )
     )
-    coarse = df.join(F.broadcast(hot), _same(keys, "_hot_"), "left").withColumn("_coarse", _cut(f"`{ts}`", "_width"))
+
+
+def hot_chunks(
+    df: DataFrame, hot: DataFrame, keys: Sequence[str], ts: str, *, min_chunk_ns: int, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Add ``_chunk``, the start of the row's time chunk: NULL for a key that is not in ``hot``.
+
+    A hot key's time span is first cut evenly, by its average rate. A chunk that then holds over twice ``chunk_rows``
+    rows, from a burst, is cut once more and finer. No chunk is cut below ``min_chunk_ns``. The cuts come from exact
+    counts of ``keys`` and ``ts``, made per task before they are shuffled, so a repeated task cuts in the same places.
+    They decide only how rows are spread: every key gives the same answer on either path.
+    """
+    coarse = df.join(F.broadcast(hot), same_key(keys, "_hot_"), "left").withColumn("_coarse", _cut(f"`{ts}`", "_width"))
     dense = (
         coarse.where("_width IS NOT NULL").groupBy(*keys, "_coarse", "_width").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_part", F.expr(
@@ -49,12 +58,12 @@ def hot_chunks(
         .orderBy(F.desc("_rows"), *keys, "_coarse").limit(MAX_DENSE_CHUNKS)
         .select(*[F.col(k).alias(f"_dense_{k}") for k in keys], F.col("_coarse").alias("_from"), "_part")
     )
-    fine = coarse.join(F.broadcast(dense), _same(keys, "_dense_") & F.expr("_coarse = _from"), "left")
+    fine = coarse.join(F.broadcast(dense), same_key(keys, "_dense_") & F.expr("_coarse = _from"), "left")
     chunk = F.coalesce(F.col("_from") + _cut(f"(`{ts}` - _from)", "_part"), F.col("_coarse"))
     return fine.select(*df.columns, chunk.alias("_chunk"))
 
 
-def _same(keys: Sequence[str], prefix: str) -> Column:
+def same_key(keys: Sequence[str], prefix: str) -> Column:
     return F.expr(" AND ".join(f"`{k}` <=> `{prefix}{k}`" for k in keys))
 
 

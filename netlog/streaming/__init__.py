@@ -1,5 +1,5 @@
 from .calls import pair_calls_stream
 from .pipeline import stream_event_logs, stream_logs
-from .rate import rate_stream
+from .rate import rate_batches, rate_stream
 
-__all__ = ["pair_calls_stream", "rate_stream", "stream_event_logs", "stream_logs"]
+__all__ = ["pair_calls_stream", "rate_batches", "rate_stream", "stream_event_logs", "stream_logs"]

@@ -6,19 +6,53 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.bits import monotonic_to_timestamp
+from ..operators.ratelimit import open_windows, rate_check
 from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
 
 
+def rate_batches(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ts: str, order: Sequence[str], *,
+    window_ns: int = RATE_WINDOW_NS, threshold: int = RATE_THRESHOLD, trigger: dict | None = None, **check_options,
+) -> StreamingQuery:
+    """Run ``rate_check`` on each micro-batch, going on from the windows the one before left open.
+
+    For streams with hot keys: a micro-batch is shuffled, sorted and cut into chunks like a batch, so no key's rows are
+    held in memory. Rows go to ``path/rows/batch_id=N``, open windows to ``path/open/batch_id=N``; a repeated
+    micro-batch replaces both. A window is kept while a row no older than one window behind the newest can meet it.
+    """
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        opened = None
+        if batch_id > 0:
+            opened = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
+        checked = rate_check(
+            batch, keys, ts, order, window_ns=window_ns, threshold=threshold, opened=opened, **check_options
+        ).withColumn("late", F.col(ts) < F.col("window_start"))
+        rows = f"{path}/rows/batch_id={batch_id}"
+        checked.write.mode("overwrite").parquet(rows)
+        written = spark.read.schema(checked.schema).parquet(rows)
+        newest = written.agg(F.max(ts)).scalar()
+        left = open_windows(written, keys, opened=opened)
+        # without rows, or with a window that can still be met, keep it
+        useful = newest.isNull() | (F.col("window_start") + 2 * window_ns >= newest)
+        left.where(useful).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def rate_stream(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], *, window_ns: int = RATE_WINDOW_NS,
     threshold: int | Column = RATE_THRESHOLD, lateness: str | None = None, boot_ns: int = 0,
 ) -> DataFrame:
     """Add ``window_start``, ``n``, ``limited`` and ``late`` to a stream; equal to ``rate_check`` for ordered input.
 
-    The rows a key has in one micro-batch are held and sorted together, so bound the micro-batch at its source. A row
+    The rows a key has in one micro-batch are held and sorted together, so bound the micro-batch at its source, or use
+    ``rate_batches`` where one key may hold much of it. A row
     from before the open window counts in that window and is flagged ``late``. With ``lateness`` (such as
     ``"10 minutes"``) a key idle for a window is forgotten, which changes nothing since its next row would open a new
     window; Spark then discards rows later than ``lateness``.

@@ -84,6 +84,29 @@ def test_several_batches_per_chunk(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("options", [
+    {"hot_rows": None}, {}, {"hot_rows": 40, "chunk_rows": 15, "chunk_windows": 1}, {"hot_rows": 40, "chunk_rows": 60}
+])
+def test_going_on_from_open_windows(spark, options):
+    rng, rows = random.Random(21), []
+    for i in range(600):
+        rows.append((rng.randint(0, 3), rng.randint(0, 900), i))
+    rows.sort(key=lambda r: r[1])
+    # some rows of the second part come from before the windows the first part left open
+    first, second = rows[:300], rows[300:] + [(k, 300 + 7 * k, 600 + k) for k in range(4)]
+    part = nl.rate_check(spark.createDataFrame(first, SCHEMA), ["k"], "ts", ["seq"], window_ns=30)
+    opened = nl.open_windows(part, ["k"])
+    state = {r.k: (r.window_start, r.n) for r in opened.collect()}
+    want = {}
+    for k, ts, seq in sorted(second, key=lambda r: (r[1], r[2])):
+        start, count = state[k]
+        state[k] = want[seq] = (ts, 1) if ts - start > 30 else (start, count + 1)
+    df = spark.createDataFrame(second, SCHEMA)
+    checked = nl.rate_check(df, ["k"], "ts", ["seq"], window_ns=30, opened=opened, **options)
+    assert {r.seq: (r.window_start, r.n) for r in checked.collect()} == want
+    assert {r.k: (r.window_start, r.n) for r in nl.open_windows(checked, ["k"], opened=opened).collect()} == state
+
+
 def test_null_and_text_keys(spark):
     rows = [(None, 1, 0), (None, 2, 1), ("a", 1, 2), ("b", 2, 3), ("a", 3, 4), (None, 3, 5)]
     df = spark.createDataFrame(rows, "k STRING, ts BIGINT, seq BIGINT")

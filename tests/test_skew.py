@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import netlog as nl
-from netlog.operators.skew import hot_chunks
+from netlog.operators.skew import hot_chunks, hot_keys
 
 SCHEMA = "k BIGINT, ts BIGINT, seq BIGINT"
 
@@ -19,7 +19,8 @@ def burst_rows():
 
 def test_hot_key_is_cut_by_rate_and_again_where_it_bursts(spark):
     df = spark.createDataFrame(burst_rows(), SCHEMA)
-    chunked = hot_chunks(df, ["k"], "ts", min_chunk_ns=10, hot_rows=100, chunk_rows=100)
+    hot = hot_keys(df, ["k"], "ts", min_chunk_ns=10, hot_rows=100, chunk_rows=100)
+    chunked = hot_chunks(df, hot, ["k"], "ts", min_chunk_ns=10, chunk_rows=100)
     assert chunked.count() == df.count()
     assert chunked.where("k > 0 AND _chunk IS NOT NULL").count() == 0
     hot = chunked.where("k = 0")

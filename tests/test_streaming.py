@@ -9,7 +9,7 @@ import netlog as nl
 from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
 from netlog.sources import read_table_stream
-from netlog.streaming import pair_calls_stream, rate_stream, stream_event_logs, stream_logs
+from netlog.streaming import pair_calls_stream, rate_batches, rate_stream, stream_event_logs, stream_logs
 
 RATE = "k BIGINT, ts_ns BIGINT, seq BIGINT, note BIGINT"
 
@@ -59,6 +59,24 @@ def test_rate_stream_equals_batch(spark, tmp_path, lateness):
     assert got.where("late").count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 10, "chunk_rows": 20, "chunk_windows": 2}])
+def test_rate_batches_equals_batch(spark, tmp_path, options):
+    rows = rate_rows(7, 600)
+    write_parts(spark, rows, RATE, tmp_path / "in", 4)
+    stream = read_table_stream(spark, str(tmp_path / "in"), RATE, max_files=1)
+    rates = {"window_ns": 25_000_000, "threshold": 2}
+    run_to_end(rate_batches(
+        stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), ["k"], "ts_ns", ["seq"], trigger={"availableNow": True},
+        **rates, **options,
+    ))
+    columns = ["seq", "note", "window_start", "n", "limited"]
+    got = spark.read.parquet(str(tmp_path / "out/rows")).select(columns).collect()
+    want = nl.rate_check(spark.createDataFrame(rows, RATE), ["k"], "ts_ns", ["seq"], **rates)
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(map(tuple, want.select(columns).collect()), key=lambda r: r[0])
+    kept = spark.read.parquet(str(tmp_path / "out/open"))
+    assert {r["count"] for r in kept.groupBy("batch_id").count().collect()} <= {1, 2, 3, 4}
+
+
 def test_rate_stream_resumes_from_its_checkpoint(spark, tmp_path):
     rows = rate_rows(6)
     options = {"window_ns": 25_000_000, "threshold": 2}
