@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, mixing
+from . import ann, bpe, iblt, mixing, secrets
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,7 +37,35 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = iblt.fingerprint_versions(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                       "edited_fingerprint", "near_edited", "near_next")
+
+
+def op9_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_adaptive_scan": op9_adaptive_scan,
+    "op10_crf_secrets": op10_crf_secrets,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -78,7 +79,7 @@ def map_blocks(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = [len(v) if v.is_valid else 0 for v in batch.column(size_of)]
+            lengths = pc.fill_null(pc.binary_length(batch.column(size_of)), 0).to_pylist()
             for part in in_blocks(batch, lengths):
                 yield block(part)
 
