@@ -36,6 +36,7 @@ class Index:
     rotation: np.ndarray
     ids: np.ndarray
     vectors: np.ndarray
+    own: np.ndarray
     probes: int
 
 
@@ -81,7 +82,7 @@ def train_index(rows: list, count: int, k: int, seed: int = 0) -> Index:
         needed = np.take_along_axis(place, own[top(scores, k)], axis=1).ravel()
         probes = int(np.sort(needed)[math.ceil(TRIAL_RECALL * len(needed)) - 1]) + 1
     rotation, _ = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))
-    return Index(centres, rotation, ids, x, probes)
+    return Index(centres, rotation, ids, x, own, probes)
 
 
 def scan(x: np.ndarray, q: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +144,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
     little probability a candidate that a test drops, can miss neighbours; recall is set by trial on a sample.
 
     At most SAMPLE vectors, by the order of a hash of the id, go to the driver and come back as the index; every row is
-    indexed. A query starts with the k-th best product within the sample as its threshold, which no neighbour is below,
-    so lists return few rows. Vectors and probing queries meet by list, in cells of bounded size: a list with many rows
+    indexed. A query starts with the k-th best product among the sample's vectors in the lists it probes
+    as its threshold, which none of its neighbours there is below, so lists return few rows. Vectors and probing queries meet by list, in cells of bounded size: a list with many rows
     or many queries is cut up, every part of one against every part of the other.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not
@@ -181,10 +182,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
                 part = batch.slice(s, QUERY_BLOCK)
                 x, ids = matrix(part.column(1), width), part.column(0).to_numpy()
                 known = x @ index.vectors.T
-                known[ids[:, None] == index.ids[None]] = -np.inf
+                lists = np.argsort(-(x @ index.centres.T), axis=1)[:, :index.probes].astype(np.int32)
+                probed = np.zeros((len(x), len(index.centres)), bool)
+                np.put_along_axis(probed, lists.astype(np.int64), True, axis=1)
+                # only what the query will see again counts, so it finds k at least
+                known[~probed[:, index.own] | (ids[:, None] == index.ids[None])] = -np.inf
                 least = -np.sort(-known, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(x), -np.inf)
                 least = np.where(np.isfinite(least), least, -1e300)
-                lists = np.argsort(-(x @ index.centres.T), axis=1)[:, :index.probes].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(least), pa.array(list(lists), pa.list_(pa.int32()))],
                     ["query_id", "q", "least", "lists"])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, mixing, secrets
+from . import ann, bpe, iblt, mixing, secrets, toxicity
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,17 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def held_out(doc_id) -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels)
+    predicted = F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted, "evidence")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
@@ -65,6 +76,7 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
+    "op5_nearest_toxicity": op5_nearest_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_crf_secrets": op10_crf_secrets,
