@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from .text import hash_below
+
 # Bound of the sample that the lists, the number of probes and the first thresholds come from.
 SAMPLE = 20_000
 # Sample queries against the whole sample that set the number of probes, and the share of neighbours they must find.
@@ -143,7 +145,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
     the smaller id. A query's own id is no candidate. Approximate: the lists that a query does not probe, and with
     little probability a candidate that a test drops, can miss neighbours; recall is set by trial on a sample.
 
-    At most SAMPLE vectors, by the order of a hash of the id, go to the driver and come back as the index; every row is
+    About SAMPLE vectors (never twice as many), by a hash of the id, go to the driver and come back as the index; every row is
     indexed. A query starts with the k-th best product among the sample's vectors in the lists it probes
     as its threshold, which none of its neighbours there is below, so lists return few rows. Vectors and probing queries meet by list, in cells of bounded size: a list with many rows
     or many queries is cut up, every part of one against every part of the other.
@@ -156,7 +158,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
     result = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()),
                          StructField("score", DoubleType())])
     rows, asked = usable(vectors, vec_id, embedding), usable(queries, vec_id, embedding)
-    sample = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(SAMPLE).collect()
+    total = rows.count()
+    sample = rows.where(hash_below(F.xxhash64("vec_id"), SAMPLE, total)).limit(2 * SAMPLE).collect()
+    sample.sort(key=lambda r: (r.vec_id, r.v))
     widths = [len(r.v) for r in sample]
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if len(set(widths)) > 1 else (widths or [0])[0]
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)

@@ -89,3 +89,13 @@ def map_blocks(
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null, on the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def hash_below(column: Column, wanted: int, total: int) -> Column:
+    """Whether a 64-bit hash is in the lowest part of its range that holds about ``wanted`` of ``total`` values.
+
+    A sample that no task has to rank: each row decides alone, the same way each time, and about ``wanted`` rows say yes.
+    """
+    if total <= wanted:
+        return F.lit(True)
+    return column <= F.lit(-(1 << 63) + (wanted << 64) // total)
