@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, mixing, secrets, toxicity
+from . import ann, bpe, iblt, minhash, mixing, secrets, toxicity
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted, "evidence")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_nearest_toxicity": op5_nearest_toxicity,
+    "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_crf_secrets": op10_crf_secrets,

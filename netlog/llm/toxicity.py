@@ -19,7 +19,7 @@ from .text import CACHE_WORDS, as_bytes, map_blocks
 # Bounds of the sample of examples: of each label, and the length of each text.
 EXAMPLES_EACH, EXAMPLE_BYTES = 2_500, 20_000
 # Terms that tell the labels apart in the sample: so many at most, and by how many standard errors at least.
-TERMS, SURE, LEAST_EXAMPLES = 4_000, 6.0, 4
+TERMS, SURE, LEAST_EXAMPLES = 4_000, 5.0, 4
 # Neighbours that vote, and the distance at which a vote has half its weight.
 NEIGHBOURS, HALF = 15, 0.1
 BLOCK = 64
@@ -29,7 +29,7 @@ EVIDENCE = 3
 REJECT = 0.3
 PUNCTUATION = b".,;:!?\"'()[]{}<>*_-"
 # A term is a word or one of its first letters of these lengths, so that inflected forms meet.
-STEMS = (5, 4)
+STEMS = (8, 7, 6, 5, 4)
 
 
 def terms_of(word: bytes) -> tuple[str, ...]:
