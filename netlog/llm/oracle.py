@@ -41,4 +41,33 @@ SQL = {
                (least(floor(r * k + u) - floor(r * (k - 1) + u), 3) * size)::BIGINT AS taken
         FROM k
     """,
+    "op6_line_runs": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+            FROM documents WHERE text IS NOT NULL
+        ), n AS (
+            SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following,
+                   len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 50 AS long
+            FROM l
+        ), r AS (  -- turn of the line, and of the pair that begins with it
+            SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AND long AS one,
+                   following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS two
+            FROM n
+        ), g AS (
+            SELECT *, one OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM r
+        ), s AS (
+            SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM g
+        ), spans AS (
+            SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS runs
+            FROM (SELECT doc_id, min(pos) AS a, max(pos) AS b FROM s WHERE gone GROUP BY doc_id, run) GROUP BY doc_id
+        ), k AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
+                   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+            FROM s GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN text IS NULL THEN NULL ELSE n_lines END AS n_lines,
+               coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(runs, '') AS runs, sha256(kept) AS kept_sha256
+        FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN spans USING (doc_id)
+    """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, minhash, mixing, secrets, toxicity
+from . import ann, bpe, iblt, lines, minhash, mixing, secrets, toxicity
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,16 @@ def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted, "evidence")
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_runs(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    length = F.transform("deleted_runs", lambda r: (r["end"] - r["start"] + 1).cast("long"))
+    return kept.select(
+        "doc_id", "n_lines", F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_deleted"),
+        F.array_join(F.transform("deleted_runs", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("runs"),
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,6 +91,7 @@ QUERIES = {
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_nearest_toxicity": op5_nearest_toxicity,
+    "op6_line_runs": op6_line_runs,
     "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_adaptive_scan": op9_adaptive_scan,
