@@ -99,19 +99,19 @@ def systematic_mix(
 def emit_copies(docs: DataFrame, copies: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """``docs``, each row as often as ``copies`` (doc_id, copies) says. Columns stay those of ``docs``.
 
-    Repeated ids are matched in turn, so every row is emitted by a count of its own; ids without a count go.
+    Ids are unique as a rule: an id's counts are one short list, and the n-th of its rows is emitted by the n-th count.
+    Rows without a count go. Texts are shuffled once, by id.
     """
-    # the n-th row of an id meets the n-th count of that id; rows of one id are as few as its repeats
-    turn = Window.partitionBy("_id").orderBy("_in")
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    left = left.withColumns({"_id": F.coalesce(F.col("_row")[doc_id].cast("string"), F.lit("null")),
-                             "_in": F.xxhash64("_row")})
-    left = left.withColumn("_turn", F.row_number().over(turn)).drop("_in")
-    right = copies.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
-                          F.col("copies").alias("_in"))
-    right = right.withColumn("_turn", F.row_number().over(turn))
-    met = left.join(right, ["_id", "_turn"]).where("_in > 0")
-    return met.select("_row", F.explode(F.sequence(F.lit(1), "_in"))).select("_row.*")
+    def key(column: Column) -> Column:
+        return F.coalesce(column.cast("string"), F.lit("null"))
+
+    turn = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.select("_row", key(F.col("_row")[doc_id]).alias("_id"), F.xxhash64("_row").alias("_hash"))
+    counts = copies.groupBy(key(F.col("doc_id")).alias("_id")).agg(F.sort_array(F.collect_list("copies")).alias("_counts"))
+    met = rows.withColumn("_turn", turn).join(counts, "_id")
+    met = met.withColumn("_times", F.get("_counts", F.col("_turn") - 1)).where("_times > 0")
+    return met.select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
 def _unit(digest: Column) -> Column:
