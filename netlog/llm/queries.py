@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, lines, minhash, mixing, secrets, toxicity
+from . import ann, bpe, iblt, lines, lm, minhash, mixing, secrets, toxicity
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = iblt.fingerprint_versions(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
@@ -88,6 +92,7 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
     "op5_nearest_toxicity": op5_nearest_toxicity,
