@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, lines, lm, minhash, mixing, secrets, toxicity
+from . import ann, bpe, iblt, lines, lm, minhash, mixing, secrets, substrings, toxicity
 from .text import word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_automata": op1_suffix_automata,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_iblt_fingerprint": op3_iblt_fingerprint,
     "op4_systematic_mix": op4_systematic_mix,
