@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 # Minima that a pair must share to have its sets compared: half. A pair at 0.75 has fewer in 1 of 10^9 cases.
 ALIKE = MINIMA // 2
+# Rounds in which a bucket's members meet one of them each; what is still apart then is compared block by block.
+LEADER_ROUNDS = 3
+BLOCK_MEMBERS = 1_024
 SEED = 7
 
 
@@ -174,6 +178,105 @@ def components(edges: DataFrame) -> DataFrame:
     return pointing.union(pointing.select(F.col("component").alias("node"), "component")).distinct()
 
 
+def apart_members(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(band, place, rep, n_shingles, component) of the buckets whose members are not all of one component."""
+    if groups is None:
+        return members.withColumn("component", F.col("rep"))
+    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return as_table(placed.join(split.select("band"), "band"), "minhash-apart")
+
+
+def block_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components, enough of them to connect all that are linked.
+
+    A bucket is cut into parts by hash, and every two parts meet in one group of bounded size. A pass over signatures
+    leaves the members that may be linked to another of the group: their minima agree, their set sizes allow it, and
+    this is the first band they share. A second pass compares the full sets of these.
+    """
+    parts = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("parts"))
+    cut = placed.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "place", "rep",
+                     "n_shingles", "component")
+    key = StructType([StructField("group", LongType()), StructField("rep", LongType()), StructField("component", LongType())])
+
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in sorted_groups(batches):
+            marked = may_be_linked(*(list(c) for c in zip(*((r[1:]) for r in rows))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([group] * len(marked), pa.int64()), pa.array([m[0] for m in marked], pa.int64()),
+                 pa.array([m[1] for m in marked], pa.int64())], ["group", "rep", "component"])
+
+    signed = cut.join(reps.select("rep", "signature"), "rep").select(
+        "group", "place", "rep", "n_shingles", "component", "signature")
+    marked = as_table(signed.repartition("group").sortWithinPartitions("group").mapInArrow(alike, key), "minhash-marked")
+    wanted = marked.select(F.col("rep").alias("doc_id")).distinct()
+    sets = full_sets(docs.join(broadcast_if_small(wanted), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in sorted_groups(batches):
+            _, reps_, components_, shingles = zip(*rows)
+            found = connecting_links(reps_, components_, [np.array(s, np.int64) for s in shingles])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    full = marked.join(sets, "rep").select("group", "rep", "component", "shingles")
+    return full.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "a long, b long")
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Rows by their first column, which they are sorted by."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    yield from groupby(rows, key=lambda row: row[0])
+
+
+def may_be_linked(places: list[int], reps: list[int], sizes: list[int], components: list[int], signed: list[bytes]) -> list:
+    """(rep, component) of a group's members that agree with one of another component in ALIKE minima or more."""
+    minima = np.frombuffer(b"".join(signed), np.uint32).reshape(len(signed), BANDS, ROWS)
+    size, of, place = np.array(sizes), np.array(components), places[0]
+    marked = np.zeros(len(reps), bool)
+    step = max(1, (1 << 24) // (MINIMA * len(reps)))
+    for start in range(0, len(reps), step):
+        rows = slice(start, start + step)
+        same = minima[rows, None] == minima[None]
+        pair = (of[rows, None] != of[None]) & (np.minimum(size[rows, None], size[None]) * 100
+                                               >= np.maximum(size[rows, None], size[None]) * LINK)
+        pair &= same.sum(axis=(2, 3)) >= ALIKE
+        pair &= ~same[:, :, :place].all(axis=3).any(axis=2)
+        marked[rows] |= pair.any(axis=1)
+    return [(reps[i], components[i]) for i in np.flatnonzero(marked).tolist()]
+
+
+def connecting_links(reps: tuple, components: tuple, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different components, by their full sets; none between what earlier ones connect."""
+    lengths = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(codes, kind="stable")
+    members, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    ends, found = np.cumsum(lengths), []
+    head = {c: c for c in components}
+
+    def top(c: int) -> int:
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    for i, own in enumerate(sets):
+        mine = codes[ends[i] - len(own):ends[i]]
+        sizes = starts[mine + 1] - starts[mine]
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        both = np.bincount(members[np.repeat(starts[mine], sizes) + inner], minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= LINK * (lengths + len(own) - both)).tolist():
+            if j > i and (a := top(components[i])) != (b := top(components[j])):
+                head[b] = a
+                found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return found
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept, whether it is the component's smallest id.
 
@@ -181,9 +284,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     at least LINK times their union, confirmed on the full sets. Candidates are found by banding of MINIMA minima.
 
     Texts of equal words are one node, so a group of copies costs one row each. In a band's bucket all nodes are first
-    compared with the smallest one, and the components of these links are formed. Only nodes of one bucket that are in
-    different components then are compared with each other, which can't lose a link: a pair that shares a bucket is
-    compared or connected already. So a large group of near copies costs a comparison per member, not per pair.
+    compared with one of them, another in each bucket and round, and the components of these links are formed. After
+    LEADER_ROUNDS, the members of a bucket that are still in different components are all compared, in blocks of
+    BLOCK_MEMBERS inside tasks: signatures first, full sets where they agree. No link is lost: a pair that shares a
+    bucket is compared or connected already. No step has a row per pair of a group; only links come out.
 
     Documents without words have no shingles and are their own component. Rows of one doc_id are one document and stay
     or go together. Rows with a null doc_id are linked with nothing: component_id null, kept. An empty table gives none.
@@ -195,28 +299,35 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     first = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = as_table(
         nodes.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-        .select(F.col("doc_id").alias("rep"), "signature").distinct(), "minhash-reps")
-
-    banded = reps.select("rep", F.explode(band_keys(F.col("signature"))).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    members = as_table(banded.join(shared.select("band", "leader"), "band"), "minhash-members")
-    pairs = members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = as_table(checked_links(pairs, reps, source), "minhash-links")
-    groups = components(links)
-
-    placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    placed = placed.where("rep > leader").join(split.select("band"), "band")
-    left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("of_a"))
-    right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("of_b"))
-    apart = left.join(right, "band").where("a < b AND of_a != of_b").select("a", "b").distinct()
-    more = as_table(checked_links(apart, reps, source), "minhash-links")
+        .groupBy(F.col("doc_id").alias("rep"), "n_shingles").agg(F.min("signature").alias("signature")), "minhash-reps")
+
+    banded = reps.select("rep", "n_shingles", F.posexplode(band_keys(F.col("signature"))).alias("place", "band"))
+    shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    members = as_table(banded.join(shared.select("band"), "band"), "minhash-members")
+    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    groups = None
+    for turn in range(LEADER_ROUNDS + 1):
+        placed = apart_members(members, groups)
+        meet = (F.col("a") != F.col("b")) & (F.col("of_a") != F.col("of_b")) & (
+            F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * LINK)
+        left = placed.select("band", F.col("rep").alias("a"), F.col("component").alias("of_a"), F.col("n_shingles").alias("n_a"))
+        right = placed.select("band", F.col("rep").alias("b"), F.col("component").alias("of_b"), F.col("n_shingles").alias("n_b"))
+        if placed.isEmpty():
+            break
+        if turn == LEADER_ROUNDS:
+            links = as_table(links.union(block_links(placed, reps, source)), "minhash-links")
+            break
+        order = F.xxhash64(F.lit(turn), "band", "a")
+        left = left.groupBy("band").agg(F.min_by(F.struct("a", "of_a", "n_a"), order).alias("_l")).select("band", "_l.*")
+        pairs = left.join(right, "band").where(meet).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = as_table(links.union(checked_links(pairs, reps, source)), "minhash-links")
+        groups = components(links)
     # a copy of one doc_id with other words: its nodes are joined by the id
     same = nodes.join(first, "digest").where("rep < doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     mixed = nodes.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1")
     same = same.join(mixed.select(F.col("doc_id").alias("a")), "a", "left_semi").distinct()
-    groups = components(links.union(more).union(same))
+    groups = components(links.union(same))
 
     placed = rows.select("doc_id", "digest", "n_shingles").join(first, "digest", "left")
     placed = placed.withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
