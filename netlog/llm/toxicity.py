@@ -19,7 +19,7 @@ from .text import CACHE_WORDS, as_bytes, map_blocks
 # Bounds of the sample of examples: of each label, and the length of each text.
 EXAMPLES_EACH, EXAMPLE_BYTES = 2_500, 20_000
 # Terms that tell the labels apart in the sample: so many at most, and by how many standard errors at least.
-TERMS, SURE, LEAST_EXAMPLES = 4_000, 5.0, 4
+TERMS, SURE, LEAST_EXAMPLES = 4_000, 6.0, 4
 # Neighbours that vote, and the distance at which a vote has half its weight.
 NEIGHBOURS, HALF = 15, 0.1
 BLOCK = 64
@@ -100,25 +100,30 @@ class Index:
             return []
         terms, weights = self.weigh(counts)
         bounds = np.round(weights @ self.largest[terms], DIGITS)
-        best: list[tuple[float, int]] = []
-        floor = 0.0
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            full = len(best) >= k
-            if bounds[block] <= 0 or full and bounds[block] < floor:
-                break
-            if full and bounds[block] == floor and block * BLOCK > best[-1][1]:
-                break  # an equal cosine of a larger number is no better, and later blocks of this bound are larger yet
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist()):
-                a, b = self.starts[term, block], self.starts[term, block + 1]
-                if a < b:
-                    scores[self.where[a:b] - block * BLOCK] += weight * self.weights[a:b]
-            scores = np.round(scores, DIGITS)
-            hits = np.flatnonzero((scores > 0) & (scores >= floor))
-            best += [(float(scores[h]), block * BLOCK + h) for h in hits.tolist() if block * BLOCK + h != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-            floor = best[-1][0] if len(best) >= k else 0.0
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        order = order[:int((bounds > 0).sum())]
+        cosines, numbers, start, take = np.empty(0), np.empty(0, np.int64), 0, 2
+        while start < len(order):
+            blocks = order[start:start + take]
+            if len(cosines) >= k:
+                floor = cosines[-1]
+                # an equal cosine of a larger number is no better
+                worth = (bounds[blocks] > floor) | (bounds[blocks] == floor) & (blocks * BLOCK <= numbers[-1])
+                if not worth[0]:
+                    break
+                blocks = blocks[worth]
+            # the postings of all terms in these blocks, one after another
+            first, last = self.starts[terms[:, None], blocks].ravel(), self.starts[terms[:, None], blocks + 1].ravel()
+            sizes = last - first
+            at = np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            parts = self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), sizes)
+            scores = np.round(np.bincount(self.where[at], parts, len(self.labels)), DIGITS)
+            hits = np.flatnonzero(scores)
+            hits = hits[hits != without]
+            cosines, numbers = np.concatenate([cosines, scores[hits]]), np.concatenate([numbers, hits])
+            best = np.lexsort((numbers, -cosines))[:k]
+            cosines, numbers, start, take = cosines[best], numbers[best], start + take, 2 * take
+        return list(zip(cosines.tolist(), numbers.tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, each by 1 / (distance + HALF)."""
