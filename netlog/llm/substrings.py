@@ -28,7 +28,7 @@ from .text import as_bytes, hash_words, in_blocks, map_blocks, mix, rolling
 WINDOW = 13
 GRAM = 5
 # An anchor of more segments than this has its segments summed by content before they meet, and cut finer.
-HOT_SEGMENTS = 2_000
+HOT_SEGMENTS = 20_000
 # Bits of the filter of anchors that occur more than once: 16 MB, and as much again for the hot ones. A filter of fixed
 # size lets more segments through that match nothing as the corpus grows, never fewer that do.
 FILTER_BITS = 27
@@ -247,7 +247,7 @@ def repeated_windows(source: DataFrame, window: int, bits: int) -> DataFrame:
     def plain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, rows in column_groups(batches):
-            group = list(rows)  # HOT_SEGMENTS at most
+            group = list(rows)  # HOT_SEGMENTS at most, some 10 MB
             least: dict[bytes, int] = {}
             for _, doc, _, _, segment in group:
                 if doc < least.get(segment, 1 << 63):
