@@ -20,6 +20,7 @@ from .text import CACHE_WORDS, as_bytes, map_blocks
 EXAMPLES_EACH, EXAMPLE_BYTES = 2_500, 20_000
 # Terms that tell the labels apart in the sample: so many at most, and by how many standard errors at least.
 TERMS, SURE, LEAST_EXAMPLES = 4_000, 6.0, 4
+FEW, UNSURE = 64, 3.0
 # Neighbours that vote, and the distance at which a vote has half its weight.
 NEIGHBOURS, HALF = 15, 0.1
 BLOCK = 64
@@ -140,7 +141,10 @@ class Index:
 
 
 def choose_terms(texts: list[bytes], labels: np.ndarray) -> list[str]:
-    """Terms whose shares of examples differ between the labels by SURE standard errors or more; at most TERMS."""
+    """Terms whose shares of examples differ between the labels by SURE standard errors or more; at most TERMS.
+
+    For the FEW that differ most, UNSURE standard errors do, so that a handful of examples is enough to learn from.
+    """
     seen: dict[str, list[int]] = {}
     for text, label in zip(texts, labels.tolist()):
         for term in {t for w in set(text.lower().split()) for t in terms_of(w)}:
@@ -152,7 +156,7 @@ def choose_terms(texts: list[bytes], labels: np.ndarray) -> list[str]:
             share = (n0 + n1) / (ones + zeros)
             error = math.sqrt(max(share * (1 - share), 1e-9) * (1 / ones + 1 / zeros))
             found.append((-abs(n1 / ones - n0 / zeros) / error, term))
-    return [term for z, term in sorted(found)[:TERMS] if -z >= SURE]
+    return [term for i, (z, term) in enumerate(sorted(found)[:TERMS]) if -z >= (SURE if i >= FEW else UNSURE)]
 
 
 def build_index(ids: list, texts: list[bytes], labels: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray,
