@@ -132,6 +132,9 @@ def search_cell(index: Index, ids: np.ndarray, x: np.ndarray, qids: np.ndarray,
             scores[c:c + 100_000] = (x[what[c:c + 100_000]] * qq[who[c:c + 100_000]]).sum(axis=1)
         rank = np.lexsort((ids[what], -scores, who))
         who, what, own, scores = who[rank], what[rank], own[rank], scores[rank]
+        if len(set(ids.tolist())) < len(ids):  # of rows with one id, the best counts
+            best = np.sort(np.unique(np.stack([who, ids[what]]), axis=1, return_index=True)[1])
+            who, what, own, scores = who[best], what[best], own[best], scores[best]
         first = np.searchsorted(who, who, side="left")
         best = np.arange(len(who)) - first < k
         yield own[best], ids[what[best]], scores[best]
@@ -161,6 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
     total = rows.count()
     sample = rows.where(hash_below(F.xxhash64("vec_id"), SAMPLE, total)).limit(2 * SAMPLE).collect()
     sample.sort(key=lambda r: (r.vec_id, r.v))
+    sample = [r for i, r in enumerate(sample) if not i or sample[i - 1].vec_id != r.vec_id]
     widths = [len(r.v) for r in sample]
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if len(set(widths)) > 1 else (widths or [0])[0]
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
