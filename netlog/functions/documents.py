@@ -16,9 +16,10 @@ def is_json_object_text(text: Column) -> Column:
 def has_lone_surrogate(text: Column) -> Column:
     """Whether an escape names half of a surrogate pair, which is no character. Most texts end at the first test.
 
-    Escaped backslashes are taken out first, so that what remains of a backslash starts an escape; then whole pairs.
+    Escaped backslashes become blanks first, so that what remains of a backslash starts an escape and escapes on both
+    sides of one do not become neighbours; then whole pairs are taken out.
     """
-    unescaped = F.regexp_replace(text, r"\\\\", "")
+    unescaped = F.regexp_replace(text, r"\\\\", " ")
     single = F.regexp_replace(
         unescaped, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", ""
     )

@@ -4,8 +4,8 @@ from .endpoints import first_seen, registered_messages
 from .logs import candidates, field, flatten, parse_logs, to_line, with_fields
 from .metrics import drop_total, observe_rejects, reason_counts, stage_counts
 from .payloads import (
-    capture_inline, clamp_messages, decode_records, merge_sources, message_events, message_payloads, record_reject,
-    resolve_payloads, retain_latest, size_route, with_payload,
+    capture_inline, clamp_messages, decode_records, delegated_large, merge_sources, message_events,
+    message_payloads, record_reject, resolve_payloads, retain_latest, size_route, with_payload,
 )
 from .policy import (
     allowlist_join, capture_verdict, edge_verdict, flag_allowlist, flag_interest, interest_join, interest_set,
@@ -14,7 +14,7 @@ from .ratelimit import open_windows, rate_check
 from .tuning import sample, tuning_in_force
 
 __all__ = [
-    "FLOW_COLUMNS", "allowlist_join", "candidates", "capture_inline", "capture_verdict", "clamp_messages",
+    "FLOW_COLUMNS", "allowlist_join", "candidates", "capture_inline", "capture_verdict", "clamp_messages", "delegated_large",
     "decode_frames", "decode_records", "drop_total", "edge_verdict", "field", "first_seen", "flag_allowlist",
     "flag_interest", "flatten", "interest_join", "interest_set", "merge_sources", "message_events",
     "message_payloads", "observe_rejects", "open_windows", "pair_calls", "parse_logs", "rate_check", "reason_counts",

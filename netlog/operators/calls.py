@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.bits import clamp
-from ..schemas import INLINE_MAX
 from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks, hot_keys
 
 
 def pair_calls(
     events: DataFrame, keys: Sequence[str] = ("pid", "tid"), ts: str = "ts_ns", seq: str = "seq", *,
-    max_bytes: int = INLINE_MAX, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
+    max_bytes: int | None = None, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Pair each successful exit with the buffer its thread last entered with.
 
@@ -22,7 +21,8 @@ def pair_calls(
     stores or takes, which is a window function. Rows of a hot thread are cut into time chunks, and the last such row
     before each chunk leads it.
 
-    Returns ``keys, ts, seq, buf, enter_ns, data_len, data``.
+    Returns ``keys, ts, seq, buf, enter_ns, data_len, data`` and, with ``max_bytes``, ``original_size`` and ``truncated``: data
+    is whole unless ``max_bytes`` asks for a cut.
     """
     keys = list(keys)
     stores = F.col("kind") == "enter"
@@ -49,8 +49,10 @@ def pair_calls(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     seen = rows.withColumn("_seen", F.last("_state", ignorenulls=True).over(before))
+    kept = F.col("ret") if max_bytes is None else clamp("ret", max_bytes)
+    cut = [] if max_bytes is None else [
+        F.col("ret").cast("bigint").alias("original_size"), (F.col("ret") > max_bytes).alias("truncated")]
     return seen.where(~F.col("_lead") & takes & F.col("_seen.stored")).select(
         *keys, ts, seq, F.col("_seen.buf").alias("buf"), F.col("_seen.enter_ns").alias("enter_ns"),
-        clamp("ret", max_bytes).cast("bigint").alias("data_len"),
-        F.substring("data", F.lit(1), clamp("ret", max_bytes)).alias("data"),
+        kept.cast("bigint").alias("data_len"), F.substring("data", F.lit(1), kept.cast("int")).alias("data"), *cut,
     )

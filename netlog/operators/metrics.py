@@ -19,7 +19,7 @@ def drop_total(verdicts: DataFrame) -> DataFrame:
 
 def stage_counts(logs: DataFrame) -> DataFrame:
     """Rows that reached the parser, were accepted, or were rejected there or before it."""
-    before = F.col("reject_reason").isin("short_record", "bad_ref", "bad_inline_len", "short_payload")
+    before = F.col("reject_reason").isin("short_record", "bad_ref", "bad_inline_len", "short_payload", "delegated_large")
     return logs.agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("reject_reason").isNull()).alias("accepted"),

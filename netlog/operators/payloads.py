@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.barrier import compute_once
 from ..functions.bits import clamp, le_words
-from ..schemas import INLINE_MAX, MAX_JSON_BYTES, RECORD_BYTES, SLOT_BYTES
+from ..schemas import INLINE_MAX, MAX_JSON_BYTES, RECORD_BYTES
 from .policy import interest_join
+from .sizes import BROADCAST_ROWS
+from .skew import same_key
 
-# Parts a hot stored payload is split into, and the references that count as hot.
-SALTS = 64
-HOT_REFS = 10_000
+# Events that point to one stored payload before it counts as hot, and the events wanted in each part of a hot one.
+HOT_ROWS = 1_000_000
+PART_ROWS = 500_000
 
 
 def size_route(payload_len: Column, *, inline_max: int = INLINE_MAX) -> Column:
@@ -22,7 +24,8 @@ def size_route(payload_len: Column, *, inline_max: int = INLINE_MAX) -> Column:
 
 
 def with_payload(flows: DataFrame, *, frame: str = "frame", inline_max: int = INLINE_MAX) -> DataFrame:
-    """Replace the frame by ``payload``: its 1 to ``inline_max`` payload bytes, NULL if the frame has fewer.
+    """Replace the frame by ``payload``, its 1 to ``inline_max`` payload bytes, NULL if the frame has fewer, and then
+    ``raw``, the bytes that are there.
 
     The result is a table to keep: verdicts read its narrow columns, capture its ``payload``, neither the frames.
     """
@@ -30,7 +33,8 @@ def with_payload(flows: DataFrame, *, frame: str = "frame", inline_max: int = IN
         F.octet_length(frame) >= F.col("payload_off") + F.col("payload_len")
     )
     data = F.substring(F.col(frame), F.col("payload_off") + 1, F.col("payload_len"))
-    return flows.withColumn("payload", F.when(there, data)).drop(frame)
+    short = F.col("payload_len").between(1, inline_max) & ~there
+    return flows.withColumns({"payload": F.when(there, data), "raw": F.when(short, data)}).drop(frame)
 
 
 def capture_inline(
@@ -39,7 +43,7 @@ def capture_inline(
     """Capture events of the decodable flows of interest that carry 1 to ``inline_max`` payload bytes.
 
     ``flows`` has ``frame`` or, from ``with_payload``, ``payload``; ``keep`` names flow columns to carry along. A
-    frame shorter than its header claims is kept with ``reject_reason`` ``short_payload`` and no data.
+    frame shorter than its header claims is kept with ``reject_reason`` ``short_payload``, no data, and its bytes in ``raw``.
     """
     if "payload" not in flows.columns:
         flows = with_payload(flows, inline_max=inline_max)
@@ -48,18 +52,39 @@ def capture_inline(
     )
     return wanted.select(
         "seq", "ts_ns", *keep, F.lit(False).alias("is_ref"), F.col("payload_len").cast("bigint").alias("data_len"),
-        F.col("payload").alias("data"), F.when(F.col("payload").isNull(), "short_payload").alias("reject_reason"),
+        F.col("payload").alias("data"), F.when(F.col("payload").isNull(), "short_payload").alias("reject_reason"), "raw",
     )
 
 
-def clamp_messages(messages: DataFrame, *, payload: str = "payload", slot_bytes: int = SLOT_BYTES) -> DataFrame:
-    """Drop empty messages and keep the first ``slot_bytes`` bytes of the others."""
-    return messages.where(F.octet_length(payload) > 0).withColumns({
-        "size": clamp(F.octet_length(payload), slot_bytes).cast("bigint"),
-        payload: F.substring(payload, 1, slot_bytes),
+def clamp_messages(messages: DataFrame, *, payload: str = "payload", slot_bytes: int | None = None) -> DataFrame:
+    """Drop empty messages and add ``size``. Messages stay whole unless ``slot_bytes`` asks for a cut.
+
+    With ``slot_bytes`` (SLOT_BYTES in the capture's own store), only so many bytes of a message are kept, and
+    ``original_size`` and ``truncated`` tell of it.
+    """
+    full = messages.where(F.octet_length(payload) > 0)
+    size = F.octet_length(payload).cast("bigint")
+    if slot_bytes is None:
+        return full.withColumn("size", size)
+    return full.withColumns({
+        "size": clamp(F.octet_length(payload), slot_bytes).cast("bigint"), "original_size": size,
+        "truncated": size > slot_bytes, payload: F.substring(payload, 1, slot_bytes),
     })
 
 
+def delegated_large(flows: DataFrame, interest: DataFrame, *, inline_max: int = INLINE_MAX) -> DataFrame:
+    """Rejects for decodable flows of interest with over ``inline_max`` payload bytes, which no inline event carries.
+
+    ``flows`` has ``frame``; its payload bytes are kept in ``raw``, so that a large frame is neither lost nor uncounted.
+    """
+    large = interest_join(flows.where((F.col("decode_status") == "ok") & (F.col("payload_len") > inline_max)), interest)
+    raw = F.substring(F.col("frame"), F.col("payload_off") + 1, F.col("payload_len"))
+    return large.select(
+        "seq", "ts_ns", F.lit(False).alias("is_ref"), F.col("payload_len").cast("bigint").alias("data_len"),
+        F.lit(None).cast("binary").alias("data"), raw.alias("raw"), F.lit("delegated_large").alias("reject_reason"),
+    )
+
+
 def message_events(clamped: DataFrame) -> DataFrame:
     """Pointer events of clamped messages; the message's ``seq`` is its payload reference."""
     return clamped.select(
@@ -85,7 +110,7 @@ def decode_records(records: DataFrame, *, record: str = "record") -> DataFrame:
     """Fixed-layout little-endian capture records to capture-event columns.
 
     Layout: conn_id u32@0, pid u32@4, tid u32@8, ts_ns u64@16, is_ref u8@24, payload_ref u32@28, data_len u32@32,
-    data@36. A record under 1,064 bytes gets ``reject_reason`` ``short_record`` and no fields.
+    data@36. A record under 1,064 bytes gets ``reject_reason`` ``short_record``, no fields, and its bytes in ``raw``.
     """
     others = [c for c in records.columns if c != record]
     whole = F.octet_length(record) >= RECORD_BYTES
@@ -109,8 +134,9 @@ def decode_records(records: DataFrame, *, record: str = "record") -> DataFrame:
     once = compute_once(fields, {
         **{name: F.when(F.col("_whole"), F.expr(text)) for name, text in made.items()},
         "reject_reason": F.when(~F.col("_whole"), "short_record"),
+        "raw": F.when(~F.col("_whole"), F.col(record)),
     })
-    return once.select(*others, *made, "reject_reason")
+    return once.select(*others, *made, "reject_reason", "raw")
 
 
 def record_reject(*, inline_max: int = INLINE_MAX, max_bytes: int = MAX_JSON_BYTES, max_ref: int | None = None):
@@ -129,17 +155,23 @@ def record_reject(*, inline_max: int = INLINE_MAX, max_bytes: int = MAX_JSON_BYT
 
 def resolve_payloads(
     events: DataFrame, payloads: DataFrame, *, inline_max: int = INLINE_MAX, max_bytes: int = MAX_JSON_BYTES,
-    max_ref: int | None = None, hot_rows: int | None = 100_000, salts: int = SALTS,
+    max_ref: int | None = None, hot_rows: int | None = HOT_ROWS, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Replace ``data`` by the event's bytes: stored ones for pointer events, its own for the others.
 
-    Adds or fills ``reject_reason``; a rejected event has no data. ``payloads`` holds one row per ``payload_ref``. Only
-    readable pointer events are joined, so inline and rejected events are not shuffled. A reference that more than
-    ``hot_rows`` events point to is spread over ``salts`` parts, its payload row being repeated in each.
+    Adds or fills ``reject_reason``; a rejected event has no data, what bytes it came with are in ``raw``. If ``payloads``
+    has several rows of one ``payload_ref``, the latest by ``ts_ns`` and ``seq`` counts, as in a slot that is written again.
+
+    Only readable pointer events are joined, so inline and rejected events are not shuffled; of the stored payloads, only
+    those that an event refers to. A reference that more than ``hot_rows`` events point to is spread over parts of about
+    ``part_rows`` events, its payload row being repeated in each. The list of such references has at most one row for
+    each ``hot_rows`` events, which bounds its broadcast.
     """
     prior = F.col("reject_reason") if "reject_reason" in events.columns else F.lit(None).cast("string")
     reason = F.coalesce(prior, record_reject(inline_max=inline_max, max_bytes=max_bytes, max_ref=max_ref))
+    raw = F.col("raw") if "raw" in events.columns else F.lit(None).cast("binary")
     judged = events.withColumn("reject_reason", reason)
+    judged = judged.withColumn("raw", F.when(F.col("reject_reason").isNotNull(), F.coalesce(raw, F.col("data").cast("binary"))))
     columns = judged.columns
     points = F.coalesce("is_ref", F.lit(False)) & F.col("reject_reason").isNull()
 
@@ -147,21 +179,24 @@ def resolve_payloads(
     own = own.withColumn("data", F.when(F.col("reject_reason").isNull(), F.substring(F.col("data"), F.lit(1), _length())))
 
     pointers = judged.where(points)
-    stored = payloads.select(F.col("payload_ref").alias("_ref"), F.col("payload").alias("_stored"))
+    stored = _latest_stored(payloads)
+    # references alone decide which payloads are moved
+    wanted = pointers.select(F.col("payload_ref").alias("_ref")).distinct()
+    stored = stored.join(wanted, "_ref", "left_semi")
     if hot_rows is None:
         joined = pointers.join(stored, F.col("payload_ref") == F.col("_ref"), "left")
     else:
         hot = F.broadcast(
             pointers.groupBy("payload_ref").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), "payload_ref").limit(HOT_REFS)
-            .select(F.col("payload_ref").alias("_hot_ref"))
+            .where(F.col("_n") > hot_rows)
+            .select(F.col("payload_ref").alias("_hot_ref"), F.ceil(F.col("_n") / part_rows).alias("_parts"))
         )
-        part = F.when(F.col("_hot_ref").isNull(), 0).otherwise(F.pmod(F.xxhash64("seq", "ts_ns"), F.lit(salts)))
+        part = F.when(F.col("_hot_ref").isNull(), 0).otherwise(F.pmod(F.xxhash64("seq", "ts_ns"), "_parts"))
         salted = (
             pointers.join(hot, F.col("payload_ref") == F.col("_hot_ref"), "left")
-            .withColumn("_part", part.cast("int")).drop("_hot_ref")
+            .withColumn("_part", part.cast("int")).drop("_hot_ref", "_parts")
         )
-        last = F.when(F.col("_hot_ref").isNull(), 0).otherwise(salts - 1)
+        last = F.when(F.col("_hot_ref").isNull(), 0).otherwise(F.col("_parts") - 1).cast("int")
         spread = (
             stored.join(hot, F.col("_ref") == F.col("_hot_ref"), "left")
             .select("_ref", "_stored", F.explode(F.sequence(F.lit(0), last)).alias("_stored_part"))
@@ -179,6 +214,13 @@ def resolve_payloads(
     return own.select(*columns).unionByName(resolved.select(*columns))
 
 
+def _latest_stored(payloads: DataFrame) -> DataFrame:
+    """(_ref, _stored), one row per reference: the latest, if times are known, else the largest of them."""
+    order = [c for c in ("ts_ns", "seq") if c in payloads.columns]
+    picked = F.max_by("payload", F.struct(*order)) if order else F.max("payload")
+    return payloads.groupBy(F.col("payload_ref").alias("_ref")).agg(picked.alias("_stored"))
+
+
 def _length() -> Column:
     return F.col("data_len").cast("int")
 
@@ -186,9 +228,16 @@ def _length() -> Column:
 def retain_latest(
     df: DataFrame, n: int, *, by: Sequence[str] = (), order: Sequence[str] = ("ts_ns", "seq")
 ) -> DataFrame:
-    """The latest ``n`` rows, in all or per ``by`` key. Each task keeps at most ``n`` rows (per key) before a merge."""
+    """The latest ``n`` rows, in all or per ``by`` key. Each task keeps at most ``n`` keys (rows per key) before a merge.
+
+    Over all, the ``order`` columns alone are ranked; whole rows are fetched afterwards, only those that made it.
+    """
     latest = [F.desc(c) for c in order]
     if not by:
-        return df.orderBy(*latest).limit(n)
+        ranked = df.select(*order).orderBy(*latest).limit(n).distinct()
+        if n <= BROADCAST_ROWS:
+            ranked = F.broadcast(ranked)
+        kept = df.join(ranked.withColumnsRenamed({c: f"_top_{c}" for c in order}), same_key(order, "_top_"), "left_semi")
+        return kept.orderBy(*latest).limit(n)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*latest))
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

@@ -12,10 +12,6 @@ HOT_ROWS = 5_000_000
 CHUNK_ROWS = 1_000_000
 # A chunk with a burst is cut this many times finer than its average rate asks for, as the burst fills only part of it.
 BURST_CUTS = 16
-# Bounds on the broadcast lists. A key outside the MAX_HOT_KEYS largest holds at most rows / MAX_HOT_KEYS rows, and a
-# chunk outside the MAX_DENSE_CHUNKS largest at most rows / MAX_DENSE_CHUNKS.
-MAX_HOT_KEYS = 10_000
-MAX_DENSE_CHUNKS = 100_000
 
 
 def hot_keys(
@@ -24,13 +20,13 @@ def hot_keys(
 ) -> DataFrame:
     """The keys with more than ``hot_rows`` rows, as ``_hot_<key>``, and ``_width``, the time an average chunk takes.
 
-    Reads only ``keys`` and ``ts``; at most MAX_HOT_KEYS rows.
+    Reads only ``keys`` and ``ts``. Each key here stands for over ``hot_rows`` rows, so of 10**12 rows the list has at most
+    200,000 with the default, and none is left out.
     """
     span = "_last - _first + 1"
     return (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
         .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
         .select(
             *[F.col(k).alias(f"_hot_{k}") for k in keys],
             F.expr(f"greatest({min_chunk_ns}L, cast(ceil(({span}) / _rows * {chunk_rows}) as bigint))").alias("_width"),
@@ -46,7 +42,7 @@ def hot_chunks(
     A hot key's time span is first cut evenly, by its average rate. A chunk that then holds over twice ``chunk_rows``
     rows, from a burst, is cut once more and finer. No chunk is cut below ``min_chunk_ns``. The cuts come from exact
     counts of ``keys`` and ``ts``, made per task before they are shuffled, so a repeated task cuts in the same places.
-    They decide only how rows are spread: every key gives the same answer on either path.
+    Each of them stands for over two chunks of rows, which bounds their list too. They decide only how rows are spread: every key gives the same answer on either path.
     """
     coarse = df.join(F.broadcast(hot), same_key(keys, "_hot_"), "left").withColumn("_coarse", _cut(f"`{ts}`", "_width"))
     dense = (
@@ -55,7 +51,6 @@ def hot_chunks(
             f"greatest({min_chunk_ns}L, cast(ceil(_width / (ceil(_rows / {chunk_rows}) * {BURST_CUTS})) as bigint))"
         ))
         .where((F.col("_rows") > 2 * chunk_rows) & (F.col("_part") < F.col("_width")))
-        .orderBy(F.desc("_rows"), *keys, "_coarse").limit(MAX_DENSE_CHUNKS)
         .select(*[F.col(k).alias(f"_dense_{k}") for k in keys], F.col("_coarse").alias("_from"), "_part")
     )
     fine = coarse.join(F.broadcast(dense), same_key(keys, "_dense_") & F.expr("_coarse = _from"), "left")

@@ -18,13 +18,14 @@ def tuning_in_force(
 ) -> DataFrame:
     """Add ``version, max_rate_pps, sampling_num, sampling_den`` of the latest record at or before ``ts``.
 
-    Before the first record the defaults apply. Each interval between two records is listed under the time buckets it
+    Before the first record the defaults apply. A record too short to decode (a NULL version) changes nothing. Each interval between two records is listed under the time buckets it
     touches, so this is an equality join on the bucket with a range test, and every row meets exactly one interval;
     the last record has no end and is read as a scalar. The listed intervals are counted and broadcast up to
     ``max_broadcast`` rows, else joined by shuffle. ``tuning`` is an operator's change log, so ordering it is one
     small task.
     """
     names = list(TUNING_DEFAULTS)
+    tuning = tuning.where("version IS NOT NULL")
     in_order = Window.orderBy(*order)
     intervals = tuning.select("effective_ns", *names, F.lead("effective_ns").over(in_order).alias("_until"))
     closed = intervals.where(F.col("_until") > F.col("effective_ns"))

@@ -95,8 +95,8 @@ calls AS (
     IGNORE NULLS) OVER (PARTITION BY pid, tid ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
   FROM (SELECT seq, ts_ns, pid, tid, enters, buf, CASE WHEN enters THEN NULL ELSE ret END AS ret, data FROM calls)
 )
-SELECT pid, tid, ts_ns, seq, last.buf AS buf, last.at AS enter_ns, CAST(least(ret, 1024) AS BIGINT) AS data_len,
-  left(data, CAST(least(ret, 1024) AS BIGINT)) AS data
+SELECT pid, tid, ts_ns, seq, last.buf AS buf, last.at AS enter_ns, CAST(ret AS BIGINT) AS data_len,
+  left(data, CAST(ret AS BIGINT)) AS data
 FROM seen WHERE NOT enters AND ret > 0 AND last.stored"""
 
 LOADS = """
@@ -165,13 +165,13 @@ SELECT count(*) AS events, count(*) FILTER (reject_reason IS NULL) AS accepted,
   count(*) FILTER (reject_reason IS NOT NULL) AS parser_drops FROM judged""",
     "route_by_size": """SELECT CASE WHEN size <= 1024 THEN 'inline' ELSE 'large' END AS route, count(*) AS rows,
   CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest
-FROM (SELECT least(strlen(text), 65536) AS size FROM documents WHERE strlen(text) > 0) GROUP BY 1""",
+FROM (SELECT strlen(text) AS size FROM documents WHERE strlen(text) > 0) GROUP BY 1""",
     "resolve_payloads": """SELECT doc_id AS seq, CASE WHEN strlen(text) <= 1024 THEN 'tc' ELSE 'sk_msg' END AS source,
-  CAST(least(strlen(text), 65536) AS BIGINT) AS n_bytes, md5(array_slice(encode(text), 1, 65536)) AS digest,
+  CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS digest,
   true AS resolved
 FROM documents WHERE strlen(text) > 0""",
     "resolve_hot": """SELECT e.event_id AS seq,
-  CASE WHEN e.event_id % 11 <> 0 AND d.doc_id IS NOT NULL THEN md5(array_slice(encode(d.text), 1, 65536)) END AS digest,
+  CASE WHEN e.event_id % 11 <> 0 AND d.doc_id IS NOT NULL THEN md5(d.text) END AS digest,
   CASE WHEN d.doc_id IS NULL THEN 'bad_ref' WHEN e.event_id % 11 = 0 THEN 'short_payload' END AS reject_reason
 FROM events e LEFT JOIN (SELECT * FROM documents WHERE strlen(text) > 0) d ON d.doc_id = e.user_id""",
     "retain_latest": f"""WITH {TRAFFIC}
@@ -187,8 +187,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
     "registered_messages": """SELECT CAST(8000 + doc_id % 7 AS INT) AS local_port, count(*) AS rows,
   CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents
 WHERE 8000 + doc_id % 7 IN (
-  SELECT user_id + 8000 FROM events WHERE event_type IN ('click', 'view') AND user_id % 2 = 0
-) GROUP BY 1""",
+  SELECT user_id + 8000 FROM events WHERE event_type IN ('click', 'view')
+) AND doc_id % 7 % 2 = 0 GROUP BY 1""",
     "interest_normalize": f"""WITH {LOADS}
 SELECT proto, reject_reason, count(*) AS rows, CAST(sum(port) AS BIGINT) AS port_sum FROM judged GROUP BY 1, 2""",
     "interest_effective": f"""WITH {LOADS}
@@ -212,6 +212,22 @@ FROM (SELECT *, event_id % 13 <> 0 AS whole, event_id % 5 = 0 AS is_ref FROM eve
     "tuning_records": """SELECT event_type, arg_max(event_id, (ts, event_id)) AS version,
   arg_max(user_id, (ts, event_id)) AS max_rate_pps, CAST(1 AS BIGINT) AS sampling_num, CAST(10 AS BIGINT) AS sampling_den
 FROM events GROUP BY 1""",
+    "clamp_documents": """SELECT doc_id AS seq, CAST(least(strlen(text), 1000) AS BIGINT) AS size,
+  CAST(strlen(text) AS BIGINT) AS original_size, strlen(text) > 1000 AS truncated,
+  md5(array_slice(encode(text), 1, 1000)) AS digest FROM documents WHERE strlen(text) > 0""",
+    "rejects_roundtrip": f"""WITH {DAMAGED} SELECT event_id AS seq, reject_reason, data
+FROM judged JOIN damaged USING (event_id) WHERE reject_reason IS NOT NULL""",
+    "resolve_repeated_refs": """SELECT doc_id AS seq,
+  CASE WHEN strlen(reverse(text)) >= strlen(text) THEN md5(array_slice(encode(reverse(text)), 1, strlen(text))) END AS digest,
+  CASE WHEN strlen(reverse(text)) < strlen(text) THEN 'short_payload' END AS reject_reason
+FROM documents WHERE strlen(text) > 0""",
+    "tuning_short_records": f"""WITH {TRAFFIC}, records AS (
+  SELECT epoch_us(ts) * 1000 AS since, event_id, user_id FROM events WHERE event_id % 3 <> 0
+)
+SELECT seq, coalesce(r.event_id, 1) AS version, coalesce(r.user_id, 1000) AS max_rate_pps
+FROM traffic LEFT JOIN (
+  SELECT since, max(event_id) AS event_id, arg_max(user_id, event_id) AS user_id FROM records GROUP BY since
+) r ON r.since = (SELECT max(since) FROM records WHERE since <= traffic.ts_ns)""",
     "event_times": "SELECT event_id AS seq, epoch_us(ts) AS ts_us FROM events",
     "address_text": f"""WITH {TRAFFIC}
 SELECT '10.0.' || ((src_ip // 256) % 256) || '.' || (src_ip % 256) AS src, src_ip, count(*) AS rows

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import operators as op
 from ..functions import cidr_net, cidr_plen, ip_text, ip_value, monotonic_to_timestamp, split_pid_tid
 from ..schemas import INTEREST, TUNING
-from ..session import as_table, configure, ensure_checkpoint_dir
+from ..session import configure
+from ..sources import log_lines
 from ..sources.interest import accepted_loads, effective_interest, normalize_interest
 from ..sources.tuning import decode_tuning, latest_tuning
 from .frames import build_frames
@@ -121,11 +121,9 @@ def allowlist_members(spark, sf_dir):
 
 
 def _verdicts(spark, sf_dir):
-    ensure_checkpoint_dir(spark, tempfile.gettempdir())
     flows = op.decode_frames(frames(spark, sf_dir)).select(
         "seq", "ts_ns", "src_ip", "src_port", "dst_port", "proto", "decode_status"
     )
-    flows = as_table(flows, "flows")
     return op.edge_verdict(flows, interest(spark), allowlist(spark), window_ns=RATE_WINDOW, threshold=RATE_LIMIT)
 
 
@@ -258,7 +256,7 @@ def resolve_hot(spark, sf_dir):
         F.col("event_id").alias("seq"), (_micros() * 1000).alias("ts_ns"), F.lit(True).alias("is_ref"),
         F.col("user_id").alias("payload_ref"), claimed.alias("data_len"), F.lit(None).cast("binary").alias("data"),
     )
-    resolved = op.resolve_payloads(events, op.message_payloads(clamped), hot_rows=20, salts=8)
+    resolved = op.resolve_payloads(events, op.message_payloads(clamped), hot_rows=20, part_rows=8)
     return resolved.select("seq", F.md5("data").alias("digest"), "reject_reason")
 
 
@@ -273,14 +271,14 @@ def retain_latest_by_source(spark, sf_dir):
 
 
 def probe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A click enters, a view exits; the thread is the user."""
+    """A click enters, a view exits, other kinds are passed over; the thread is the user."""
     packed = F.shiftleft(F.col("user_id") + 1000, 32).bitwiseOR(F.col("user_id"))
     pid, tid = split_pid_tid("_packed")
     return (
-        table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-        .withColumn("_packed", packed).select(
+        table(spark, sf_dir, "events").withColumn("_packed", packed).select(
             F.col("event_id").alias("seq"), (_micros() * 1000).alias("ts_ns"), pid.alias("pid"), tid.alias("tid"),
-            F.when(F.col("event_type") == "click", "enter").otherwise("exit").alias("kind"),
+            F.when(F.col("event_type") == "click", "enter").when(F.col("event_type") == "view", "exit")
+            .otherwise(F.col("event_type")).alias("kind"),
             (F.col("event_id") * 16).alias("buf"),
             F.when(F.col("event_type") == "view", (F.floor(F.col("value") * 100) - 1000).cast("int")).alias("ret"),
             F.when(F.col("event_type") == "view", F.col("props").cast("binary")).alias("data"),
@@ -320,8 +318,10 @@ def first_seen(spark, sf_dir):
 
 
 def registered_messages(spark, sf_dir):
-    registry = op.first_seen(conn_events(spark, sf_dir).where(F.col("local_port") % 2 == 0))
-    kept = op.registered_messages(messages(spark, sf_dir), registry)
+    registry = op.first_seen(conn_events(spark, sf_dir))
+    # half of the messages come from ports that nobody registered
+    port = F.when(F.col("local_port") % 2 == 0, F.col("local_port")).otherwise(F.col("local_port") - 8000)
+    kept = op.registered_messages(messages(spark, sf_dir).withColumn("local_port", port), registry)
     return kept.groupBy("local_port").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("payload")).alias("bytes")
     )
@@ -397,7 +397,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_decode(spark, sf_dir):
-    decoded = op.decode_records(records(spark, sf_dir))
+    decoded = op.decode_records(records(spark, sf_dir)).drop("raw")
     return decoded.withColumn("data", F.col("data").cast("string"))
 
 
@@ -412,6 +412,44 @@ def tuning_records(spark, sf_dir):
     return latest_tuning(decode_tuning(raw), by=["event_type"])
 
 
+def clamp_documents(spark, sf_dir):
+    """Messages cut to a small slot, which says so."""
+    cut = op.clamp_messages(messages(spark, sf_dir), slot_bytes=1000)
+    return cut.select("seq", "size", "original_size", "truncated", F.md5("payload").alias("digest"))
+
+
+def rejects_roundtrip(spark, sf_dir):
+    """Damaged payloads through the sink's lines and back: the quarantine has the bytes that came in."""
+    text = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), damaged_props().alias("data"))
+    lines = log_lines(op.parse_logs(text)).where("channel = 'rejects'")
+    back = F.from_json("value", "seq long, reject_reason string, data string")
+    return lines.select(back.alias("r")).select(
+        "r.seq", "r.reject_reason", F.unbase64(F.coalesce("r.data", F.lit(""))).cast("string").alias("data"))
+
+
+def resolve_repeated_refs(spark, sf_dir):
+    """Each payload is stored twice, the second time reversed and later: events get the later one, once."""
+    docs = messages(spark, sf_dir).withColumn("size", F.octet_length("payload").cast("bigint")).where("size > 0")
+    stored = op.message_payloads(docs)
+    again = stored.withColumns({
+        "ts_ns": F.col("ts_ns") + 1, "payload": F.reverse(F.col("payload").cast("string")).cast("binary")})
+    events = op.message_events(docs).withColumn("data", F.lit(None).cast("binary"))
+    resolved = op.resolve_payloads(events, stored.union(again))
+    return resolved.select("seq", F.md5("data").alias("digest"), "reject_reason")
+
+
+def tuning_short_records(spark, sf_dir):
+    """Every third tuning record is cut short and changes nothing."""
+    packed = F.unhex(F.concat(
+        _le(F.col("event_id"), 4), _le(F.col("user_id"), 4), F.lit("00000000"), F.lit("01000000"), F.lit("0A000000")))
+    cut = F.when(F.pmod("event_id", F.lit(3)) == 0, F.substring(packed, 1, 10)).otherwise(packed)
+    raw = table(spark, sf_dir, "events").select(
+        (_micros() * 1000).alias("effective_ns"), F.col("event_id").alias("seq"), cut.alias("record"))
+    packets = traffic(spark, sf_dir).select("seq", "ts_ns")
+    in_force = op.tuning_in_force(packets, decode_tuning(raw), order=("effective_ns", "seq"))
+    return in_force.select("seq", "version", "max_rate_pps")
+
+
 def event_times(spark, sf_dir):
     """Monotonic clock readings against a known boot time, back to wall-clock time."""
     boot_ns = 1_704_067_200_000_000_000
@@ -434,6 +472,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         json_fields, json_documents, ndjson_lines, json_candidates, stage_counts, route_by_size, resolve_payloads,
         resolve_hot, retain_latest, retain_latest_by_source, pair_calls, pair_calls_hot, first_seen,
         registered_messages, interest_normalize, interest_effective, tuning_in_force, sampled, rate_check_tuned,
-        record_decode, tuning_records, event_times, address_text,
+        record_decode, tuning_records, event_times, address_text, clamp_documents, rejects_roundtrip,
+        resolve_repeated_refs, tuning_short_records,
     )
 }

@@ -8,35 +8,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.network import protocol_number
 from ..schemas import INTEREST_LOADS
 
-_PORT = r"port\s*:\s*(?:-?\d+)"
-_PROTOCOL = r"protocol\s*:\s*[\"']?[A-Za-z0-9_.-]+[\"']?"
-_ENTRY = rf"-\s*\{{?\s*(?:{_PORT}\s*,?\s+{_PROTOCOL}|{_PROTOCOL}\s*,?\s+{_PORT})\s*\}}?"
-_FILE = rf"^\s*(?:---\s*)?intercept\s*:\s*(?:\[\s*\]\s*|(?:{_ENTRY}\s*)*)$"
+ENTRY = "port: BIGINT, protocol: STRING"
 
 
 def read_interest(spark: SparkSession, path: str) -> DataFrame:
     """Configuration files as raw entries: ``load_id, loaded_at, port, protocol``.
 
-    A file is ``intercept:`` followed by a list of ``port`` and ``protocol`` entries, in YAML block form or as JSON. A
-    file that is neither gives one entry with neither port nor protocol. A file is one load, named by path and
-    modification time.
+    A file is YAML (or JSON, which is YAML) with a list ``intercept`` of entries with ``port``, an integer, and
+    ``protocol``, a string; other keys pass. A file that is anything else gives one entry with neither. A file is one
+    load, named by path and modification time. Needs PyYAML where tasks run.
     """
     files = spark.read.text(path, wholetext=True).select(
-        F.regexp_replace("value", r"(?m)(^|\s)#.*$", "").alias("text"),
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("loaded_at"),
+        F.concat_ws("@", "_metadata.file_path", F.unix_micros("_metadata.file_modification_time").cast("string"))
+        .alias("load_id"), F.col("_metadata.file_modification_time").alias("loaded_at"), "value",
     )
-    json = F.from_json("text", "intercept ARRAY<STRUCT<port: BIGINT, protocol: STRING>>")["intercept"]
-    listed = F.transform(
-        F.regexp_extract_all("text", F.lit(_ENTRY), F.lit(0)),
-        lambda entry: F.struct(
-            F.regexp_extract(entry, r"port\s*:\s*(-?\d+)", 1).try_cast("bigint").alias("port"),
-            F.regexp_extract(entry, r"protocol\s*:\s*[\"']?([A-Za-z0-9_.-]+)", 1).alias("protocol"),
-        ),
-    )
-    broken = F.array(F.struct(F.lit(None).cast("bigint").alias("port"), F.lit(None).cast("string").alias("protocol")))
-    entries = F.coalesce(json, F.when(F.col("text").rlike(_FILE), listed), broken)
-    load_id = F.concat_ws("@", "path", F.unix_micros("loaded_at").cast("string"))
-    return files.select(load_id.alias("load_id"), "loaded_at", F.inline(entries))
+    entries = F.udf(file_entries, f"ARRAY<STRUCT<{ENTRY}>>")
+    return files.select("load_id", "loaded_at", F.inline(entries("value")))
+
+
+def file_entries(text: str) -> list[tuple[int | None, str | None]]:
+    """(port, protocol) of a configuration file, or one pair of nothing for a file that is no such list."""
+    import yaml  # not a requirement of the rest of the package
+
+    broken = [(None, None)]
+    try:
+        listed = yaml.safe_load(text)["intercept"]
+        found = [(entry["port"], entry["protocol"]) for entry in listed]
+    except (yaml.YAMLError, TypeError, KeyError):
+        return broken
+    if any(type(port) is not int or abs(port) >= 1 << 63 or not isinstance(protocol, str) for port, protocol in found):
+        return broken
+    return found if isinstance(listed, list) else broken
 
 
 def normalize_interest(raw: DataFrame) -> DataFrame:

@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MAX_FILES_PER_TRIGGER = 1000
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
 def read_table_stream(
     spark: SparkSession, path: str, schema: str, *, max_files: int = MAX_FILES_PER_TRIGGER
 ) -> DataFrame:
@@ -19,9 +15,15 @@ def read_table_stream(
 
 
 def log_lines(logs: DataFrame) -> DataFrame:
-    """``value`` and ``channel``: the document in ``logs``, or the event with its reason and bytes in ``rejects``."""
-    known = [c for c in ("seq", "ts_ns", "source", "reject_reason") if c in logs.columns]
-    reject = F.struct(*known, F.base64(F.col("data").cast("binary")).alias("data"))
+    """``value`` and ``channel``: the document in ``logs``, or the event with its reason and bytes in ``rejects``.
+
+    A reject keeps whatever names it and its bytes: those to parse, or those it came with (``raw``).
+    """
+    names = ("seq", "ts_ns", "source", "conn_id", "pid", "tid", "is_ref", "payload_ref", "data_len", "reject_reason")
+    known = [c for c in names if c in logs.columns]
+    held = F.col("data").cast("binary")
+    held = F.coalesce(held, F.col("raw")) if "raw" in logs.columns else held
+    reject = F.struct(*known, F.base64(held).alias("data"))
     accepted = F.col("doc").isNotNull()
     return logs.select(
         F.when(accepted, F.to_json("doc")).otherwise(F.to_json(reject)).alias("value"),

@@ -8,12 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..schemas import INLINE_MAX
-
 
 def pair_calls_stream(
     events: DataFrame, keys: Sequence[str] = ("pid", "tid"), ts: str = "ts_ns", seq: str = "seq", *,
-    max_bytes: int = INLINE_MAX,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Same pairs and columns as ``pair_calls``; an enter and its exit may come in different micro-batches.
 
@@ -23,12 +21,14 @@ def pair_calls_stream(
     keys = list(keys)
     needed = events.select(
         *keys, ts, seq, "kind", F.col("buf").cast("string").alias("buf"), F.coalesce("ret", F.lit(0)).cast("bigint").alias("ret"),
-        F.substring(F.col("data"), F.lit(1), F.lit(max_bytes)).alias("data"),
+        (F.col("data") if max_bytes is None else F.substring(F.col("data"), F.lit(1), F.lit(max_bytes))).alias("data"),
     )
+    cut = [] if max_bytes is None else [
+        T.StructField("original_size", T.LongType()), T.StructField("truncated", T.BooleanType())]
     out = T.StructType([
         *[needed.schema[name] for name in (*keys, ts, seq)], T.StructField("buf", T.StringType()),
         T.StructField("enter_ns", T.LongType()), T.StructField("data_len", T.LongType()),
-        T.StructField("data", T.BinaryType()),
+        T.StructField("data", T.BinaryType()), *cut,
     ])
     names = out.fieldNames()
 
@@ -42,8 +42,9 @@ def pair_calls_stream(
                 stored = (buf, at)
             elif kind == "exit" and ret > 0:
                 if stored is not None:
-                    size = min(ret, max_bytes)
-                    pairs.append((*key, at, number, *stored, size, None if data is None else bytes(data)[:size]))
+                    size = ret if max_bytes is None else min(ret, max_bytes)
+                    told = (ret, ret > size) if cut else ()
+                    pairs.append((*key, at, number, *stored, size, None if data is None else bytes(data)[:size], *told))
                 stored = None
         if stored is not None:
             state.update(stored)

@@ -16,13 +16,16 @@ from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
 
 def rate_batches(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], ts: str, order: Sequence[str], *,
-    window_ns: int = RATE_WINDOW_NS, threshold: int = RATE_THRESHOLD, trigger: dict | None = None, **check_options,
+    window_ns: int = RATE_WINDOW_NS, threshold: int = RATE_THRESHOLD, trigger: dict | None = None,
+    lateness_ns: int | None = None, **check_options,
 ) -> StreamingQuery:
     """Run ``rate_check`` on each micro-batch, going on from the windows the one before left open.
 
     For streams with hot keys: a micro-batch is shuffled, sorted and cut into chunks like a batch, so no key's rows are
     held in memory. Rows go to ``path/rows/batch_id=N``, open windows to ``path/open/batch_id=N``; a repeated
-    micro-batch replaces both. A window is kept while a row no older than one window behind the newest can meet it.
+    micro-batch replaces both. All keys keep their last window, so one wrong clock reading changes no other key. With
+    ``lateness_ns``, windows that ended so long before the 99th percentile of a micro-batch's times are forgotten; state
+    then stays bounded, and rows later than that open a new window.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -35,11 +38,11 @@ def rate_batches(
         rows = f"{path}/rows/batch_id={batch_id}"
         checked.write.mode("overwrite").parquet(rows)
         written = spark.read.schema(checked.schema).parquet(rows)
-        newest = written.agg(F.max(ts)).scalar()
         left = open_windows(written, keys, opened=opened)
-        # without rows, or with a window that can still be met, keep it
-        useful = newest.isNull() | (F.col("window_start") + 2 * window_ns >= newest)
-        left.where(useful).write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        if lateness_ns is not None:
+            now = written.agg(F.percentile_approx(ts, 0.99)).scalar()
+            left = left.where(now.isNull() | (F.col("window_start") + window_ns + lateness_ns >= now))
+        left.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

@@ -13,10 +13,12 @@ FIXTURE = [
 
 def test_fixture(spark):
     df = spark.createDataFrame(FIXTURE, PROBE_EVENTS)
-    want = {(1, 3, 100, 5), (1, 7, 201, 1024)}
     for options in ({}, {"hot_rows": None}, {"hot_rows": 1, "chunk_rows": 1}):
-        rows = nl.pair_calls(df, **options).collect()
-        assert {(r.tid, r.ts_ns, r.buf, r.data_len) for r in rows} == want
+        whole = nl.pair_calls(df, **options).collect()
+        assert {(r.tid, r.ts_ns, r.buf, r.data_len) for r in whole} == {(1, 3, 100, 5), (1, 7, 201, 2000)}
+        rows = nl.pair_calls(df, max_bytes=1024, **options).collect()
+        assert {(r.tid, r.ts_ns, r.buf, r.data_len) for r in rows} == {(1, 3, 100, 5), (1, 7, 201, 1024)}
+        assert {(r.original_size, r.truncated) for r in rows} == {(5, False), (2000, True)}
         assert all(len(r.data) == r.data_len for r in rows)
 
 

@@ -13,6 +13,7 @@ from netlog.sources import (
     accepted_loads, append_interest, decode_tuning, effective_interest, latest_tuning, normalize_interest,
     read_interest, tuning_record,
 )
+from netlog.sources.interest import file_entries
 
 YAML = """# ports to watch
 intercept:
@@ -131,3 +132,20 @@ def test_scalar_functions(spark):
     ).first()
     assert tuple(one)[:4] == ("255.255.255.1", 0xFFFFFF01, 7, 0xFFFFFFFF)
     assert one[4].replace(tzinfo=datetime.timezone.utc).microsecond == 123_458 or one[4].microsecond == 123_458
+
+
+def test_interest_files_that_are_valid_yaml():
+    assert file_entries("version: 1\nintercept:\n  - {port: 0x1BB, protocol: my proto, name: web}\n") == [(443, "my proto")]
+    assert file_entries("intercept: [{port: 443, protocol: tcp}]") == [(443, "tcp")]
+    assert file_entries("intercept: []") == []
+    for text in ("", "[]", "intercept: 5", "intercept:\n  - port: tcp\n    protocol: 1", "a: [", "intercept: {port: 1}"):
+        assert file_entries(text) == [(None, None)]
+
+
+def test_a_short_tuning_record_changes_nothing(spark):
+    raw = spark.createDataFrame(
+        [(100, bytearray.fromhex("0200000005000000000000000100000001000000")), (200, bytearray(b"short"))],
+        "effective_ns BIGINT, record BINARY")
+    df = spark.createDataFrame([(50,), (150,), (250,)], "ts_ns BIGINT")
+    got = nl.tuning_in_force(df, decode_tuning(raw)).orderBy("ts_ns").collect()
+    assert [(r.version, r.max_rate_pps) for r in got] == [(1, 1000), (2, 5), (2, 5)]

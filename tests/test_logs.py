@@ -24,7 +24,7 @@ CASES = [
     ('{"a":"é漢😀"}'.encode(), None),
     (rb'{"a":"\ud83d\ude00"}', None), (rb'{"a":"x\\\\ud83d"}', None), (rb'{"a":"\u00e9\uD83D\uDE00 \ud7ff\ue000"}', None),
     (rb'{"a":"\ud83d"}', BAD), (rb'{"a":"\uDE00"}', BAD), (rb'{"a":"\ude00\ud83d"}', BAD),
-    (rb'{"a":"\\\\\ud83d"}', BAD), (rb'{"\ud83dx":1}', BAD), (rb'{"a":"\\\\ud83d\ude00"}', BAD),
+    (rb'{"a":"\ud800\\\udc00"}', BAD), (rb'{"a":"\\\\\ud83d"}', BAD), (rb'{"\ud83dx":1}', BAD), (rb'{"a":"\\\\ud83d\ude00"}', BAD),
 ]
 
 

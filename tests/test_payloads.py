@@ -1,10 +1,12 @@
+import base64
+import json
 import struct
 
 from pyspark.sql import functions as F
 
 import netlog as nl
 from netlog.schemas import MESSAGES
-from netlog.sources import read_records
+from netlog.sources import log_lines, read_records
 
 EVENTS = "seq BIGINT, ts_ns BIGINT, is_ref BOOLEAN, payload_ref BIGINT, data_len BIGINT, data BINARY"
 
@@ -30,7 +32,7 @@ def test_record_decode_and_validity(spark):
         "payload_ref BIGINT, ts_ns BIGINT, seq BIGINT, payload BINARY",
     )
     for hot_rows in (None, 100_000, 0):
-        got = {r.seq: r for r in nl.resolve_payloads(events, payloads, hot_rows=hot_rows, salts=4).collect()}
+        got = {r.seq: r for r in nl.resolve_payloads(events, payloads, hot_rows=hot_rows, part_rows=2).collect()}
         assert [got[i].reject_reason for i in range(12)] == [
             None, "short_record", "empty", None, "bad_inline_len", "too_large", None, "bad_ref", None, None, None,
             "short_record",
@@ -61,7 +63,7 @@ def test_only_readable_pointers_are_shuffled(spark, tmp_path):
     payloads = spark.createDataFrame(
         [(9, 0, 0, bytearray(b"hello world"))], "payload_ref BIGINT, ts_ns BIGINT, seq BIGINT, payload BINARY"
     )
-    resolved = nl.resolve_payloads(events, payloads, hot_rows=3, salts=4)
+    resolved = nl.resolve_payloads(events, payloads, hot_rows=3, part_rows=2)
     plan = resolved._jdf.queryExecution().executedPlan().toString()
     own, joined = plan.split("SortMergeJoin")[0], plan.split("SortMergeJoin")[1]
     assert "Exchange" not in own and "Exchange" in joined
@@ -74,8 +76,11 @@ def test_only_readable_pointers_are_shuffled(spark, tmp_path):
 def test_message_clamp(spark):
     sizes = [0, 1, 65_536, 65_537]
     df = spark.createDataFrame([(i, 0, 80, 6, "c", bytearray(b"x" * n)) for i, n in enumerate(sizes)], MESSAGES)
-    clamped = nl.clamp_messages(df)
-    assert {r.seq: r["size"] for r in clamped.select("seq", "size").collect()} == {1: 1, 2: 65_536, 3: 65_536}
+    whole = nl.clamp_messages(df)
+    assert {r.seq: (r["size"], len(r.payload)) for r in whole.collect()} == {i: (n, n) for i, n in enumerate(sizes) if n}
+    clamped = nl.clamp_messages(df, slot_bytes=65_536)
+    assert {r.seq: (r["size"], r.original_size, r.truncated) for r in clamped.collect()} == {
+        1: (1, 1, False), 2: (65_536, 65_536, False), 3: (65_536, 65_537, True)}
     resolved = nl.resolve_payloads(
         nl.merge_sources(sk_msg=nl.message_events(clamped)).withColumn("data", F.lit(None).cast("binary")),
         nl.message_payloads(clamped),
@@ -122,3 +127,21 @@ def test_retain_latest(spark):
 def test_size_route(spark):
     df = spark.createDataFrame([(0,), (1,), (1024,), (1025,)], "n INT")
     assert [r[0] for r in df.select(nl.size_route(F.col("n"))).collect()] == [None, "inline", "inline", "large"]
+
+
+def test_latest_payload_of_a_reference_counts(spark):
+    events = spark.createDataFrame([(1, 10, True, 5, 3)], "seq long, ts_ns long, is_ref boolean, payload_ref long, data_len long")
+    stored = spark.createDataFrame([(5, 1, 1, b"old"), (5, 2, 1, b"new")], "payload_ref long, ts_ns long, seq long, payload binary")
+    got = nl.resolve_payloads(events.withColumn("data", F.lit(None).cast("binary")), stored).collect()
+    assert [bytes(r.data) for r in got] == [b"new"]
+
+
+def test_rejects_keep_their_bytes(spark):
+    events = spark.createDataFrame(
+        [(1, 1, False, None, 9, b"x" * 9), (2, 2, True, 7, 4, None)],
+        "seq long, ts_ns long, is_ref boolean, payload_ref long, data_len long, data binary")
+    stored = spark.createDataFrame([], "payload_ref long, payload binary")
+    lines = log_lines(nl.parse_logs(nl.resolve_payloads(events, stored, inline_max=8))).orderBy("value").collect()
+    one, two = (json.loads(r.value) for r in lines)
+    assert (one["reject_reason"], base64.b64decode(one["data"])) == ("bad_inline_len", b"x" * 9)
+    assert (two["reject_reason"], two["payload_ref"]) == ("bad_ref", 7)

@@ -1,10 +1,10 @@
+import os
 import json
 import random
 
 import pytest
 from packets import frame
 
-
 import netlog as nl
 from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
@@ -77,6 +77,21 @@ def test_rate_batches_equals_batch(spark, tmp_path, options):
     assert {r["count"] for r in kept.groupBy("batch_id").count().collect()} <= {1, 2, 3, 4}
 
 
+def test_one_wrong_clock_reading_closes_no_window(spark, tmp_path):
+    batches = [[(0, 0, 1), (1, 1, 1), (2, 10**15, 2)], [(3, 2, 1), (4, 3, 1)]]
+    schema = "seq BIGINT, ts_ns BIGINT, k BIGINT"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        os.utime(next((tmp_path / f"in/part{i}").glob("part-*")), (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    rates = {"window_ns": 10, "threshold": 2}
+    run_to_end(rate_batches(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), ["k"], "ts_ns", ["seq"],
+                            trigger={"availableNow": True}, **rates))
+    got = {r.seq: (r.window_start, r.n, r.limited) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
+    want = nl.rate_check(spark.createDataFrame(sum(batches, []), schema), ["k"], "ts_ns", ["seq"], **rates)
+    assert got == {r.seq: (r.window_start, r.n, r.limited) for r in want.collect()}
+
+
 def test_rate_stream_resumes_from_its_checkpoint(spark, tmp_path):
     rows = rate_rows(6)
     options = {"window_ns": 25_000_000, "threshold": 2}
