@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from ..operators.sizes import broadcast_if_small
 from ..session import as_table
-from .text import hash_words, in_blocks, mix, rolling
+from .text import hash_words, in_blocks, rolling
 
 SHINGLE = 5
 # Links: 100 times the sets' intersection is at least LINK times their union.

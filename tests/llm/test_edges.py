@@ -1,7 +1,5 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns of clashing names."""
 
-import hashlib
-import os
 
 import public_tokenizers
 import pytest
