@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .text import as_bytes
 
 # Entries of a process's cache of pre-tokens; beyond it the cache starts anew.
-CACHE_PRETOKENS = 200_000
+CACHE_PRETOKENS = 60_000
 # Matches of a long text that are held at a time.
 MATCHES_HELD = 1 << 18
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 # A word's bytes never hold these; on bytes, ``split()`` cuts at exactly the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 # Entries of a per-process cache of words; beyond it the cache starts anew, so memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 # Bytes of text that are worked on together.
 BLOCK_BYTES = 4 << 20
 

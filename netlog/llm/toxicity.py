@@ -24,7 +24,7 @@ FEW, UNSURE = 64, 3.0
 # Neighbours that vote, and the distance at which a vote has half its weight.
 NEIGHBOURS, HALF = 15, 0.1
 BLOCK = 64
-CACHE_ANSWERS = 20_000
+CACHE_ANSWERS = 4_000
 DIGITS = 9
 EVIDENCE = 3
 REJECT = 0.3
