@@ -38,6 +38,13 @@ def hot_rate(spark, sf_dir):
     )
 
 
+def flood_rate(spark, sf_dir):
+    """All rows on one key, within a few windows."""
+    packets = q.traffic(spark, sf_dir).select("seq", F.pmod("ts_ns", F.lit(100_000)).alias("ts_ns"), F.lit(1).alias("k"))
+    return nl.rate_check(packets, ["k"], "ts_ns", ["seq"], window_ns=10_000, threshold=2, hot_rows=5_000, chunk_rows=2_000,
+                         chunk_windows=1)
+
+
 def resolve_share(every: int):
     """Documents as events of which one in ``every`` is a pointer."""
     def run(spark, sf_dir):
@@ -63,9 +70,19 @@ def main() -> None:
     )
     spark = nl.configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    nl.ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="netlog-bench-"))
+    # frames and records are made and stored before the clock starts, in as many parts as there are cores
+    folder = tempfile.mkdtemp(prefix="netlog-bench-")
+    q.frames(spark, sf_dir).repartition(int(cpus)).write.parquet(f"{folder}/frames")
+    q.records(spark, sf_dir).repartition(int(cpus)).write.parquet(f"{folder}/records")
+
+    def decode_stored(spark, _):
+        return nl.decode_frames(spark.read.parquet(f"{folder}/frames"))
+
+    def records_stored(spark, _):
+        return nl.decode_records(spark.read.parquet(f"{folder}/records"))
 
     runs = {name: q.QUERIES[name] for name in HEADLINE}
+    runs |= {"decode_stored": decode_stored, "records_stored": records_stored, "flood_rate": flood_rate}
     runs |= {"hot_rate": hot_rate, "resolve_1pct": resolve_share(100), "resolve_50pct": resolve_share(2)}
     n_events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
