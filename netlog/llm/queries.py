@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import ann, bpe, iblt, lines, lm, minhash, mixing, secrets, substrings, toxicity
-from .text import word_count
+from .text import small_batches, word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_checkpoint_dir(spark, "spark-warehouse/checkpoints")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 # A word's bytes never hold these; on bytes, ``split()`` cuts at exactly the same six.
@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 100_000
 # Bytes of text that are worked on together.
 BLOCK_BYTES = 4 << 20
+# Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 
 
 class WordHash(dict):
@@ -91,6 +93,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_ROWS rows: whole texts are long rows, and workers keep what a batch took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def hash_below(column: Column, wanted: int, total: int) -> Column:
     """Whether a 64-bit hash is in the lowest part of its range that holds about ``wanted`` of ``total`` values.
 
