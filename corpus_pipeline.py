@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netlog.llm import bpe, lines, minhash, mixing, toxicity
 from netlog.llm.queries import RANKS, held_out, table
-from netlog.llm.text import word_count
+from netlog.llm.text import small_batches, word_count
 from netlog.session import as_table
 
 
@@ -26,6 +26,7 @@ def drop_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
+    small_batches(spark)
     return minhash.keep_one_of_each(docs)
 
 
@@ -36,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (packed little-endian 32-bit), and whether they decode to its text."""
+    small_batches(spark)
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.decode_bpe(bpe.encode_bpe(docs, ranks, pattern), ranks, pattern)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
