@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from ..session import as_table
 from .text import hash_below
 
 # Bound of the sample that the lists, the number of probes and the first thresholds come from.
@@ -26,8 +27,6 @@ TRIAL_QUERIES, TRIAL_RECALL = 300, 0.97
 COLUMNS, SURE = 16, 2.1
 # Vectors and queries of a list that meet in one task; larger lists are cut up.
 CELL_VECTORS, CELL_QUERIES, QUERY_BLOCK = 8_192, 4_096, 256
-# Tables up to this size have all their lists probed.
-SMALL = 2_000
 
 
 @dataclass(frozen=True)
@@ -60,12 +59,14 @@ def train_index(rows: list, count: int, k: int, seed: int = 0) -> Index:
 
     Each trial query is compared with the whole sample; as many lists are probed as it takes to hold TRIAL_RECALL of
     the true ``k`` nearest. In the whole table neighbours are nearer than in the sample, so it takes no more there.
+    Equal vectors are tried once and start one list, and no list is empty in the sample.
     """
     rng = np.random.default_rng(seed)
     ids = np.array([r.vec_id for r in rows], np.int64)
     x = np.array([r.v for r in rows], np.float64)
-    lists = max(1, min(len(x), math.ceil(math.sqrt(count) / 2)))
-    centres = x[rng.permutation(len(x))[:lists]].copy()
+    distinct = np.sort(np.unique(x, axis=0, return_index=True)[1])
+    lists = max(1, min(len(distinct), math.ceil(math.sqrt(count) / 2)))
+    centres = x[rng.permutation(distinct)[:lists]].copy()
     for _ in range(10):
         own = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
         sums = np.zeros_like(centres)
@@ -73,9 +74,11 @@ def train_index(rows: list, count: int, k: int, seed: int = 0) -> Index:
         sizes = np.bincount(own, minlength=lists)
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
     own = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+    used, own = np.unique(own, return_inverse=True)
+    centres, lists = centres[used], len(used)
     probes = lists
-    if count > SMALL and len(x) > k + 1:
-        trial = rng.permutation(len(x))[:TRIAL_QUERIES]
+    if len(x) > k + 1:
+        trial = rng.permutation(distinct)[:TRIAL_QUERIES]
         scores = x[trial] @ x.T
         scores[np.arange(len(trial)), trial] = -np.inf
         order = np.argsort(-(x[trial] @ centres.T), axis=1)
@@ -146,11 +149,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
 
     Returns query_id, rank (from 1), vec_id, score: the product in double precision on the original vectors, ties to
     the smaller id. A query's own id is no candidate. Approximate: the lists that a query does not probe, and with
-    little probability a candidate that a test drops, can miss neighbours; recall is set by trial on a sample.
+    little probability a candidate that a test drops, can miss neighbours; recall is set by trial on a sample, whatever
+    the table's size. A query whose lists hold fewer than ``k`` candidates goes on to the next ones.
 
     About SAMPLE vectors (never twice as many), by a hash of the id, go to the driver and come back as the index; every row is
-    indexed. A query starts with the k-th best product among the sample's vectors in the lists it probes
-    as its threshold, which none of its neighbours there is below, so lists return few rows. Vectors and probing queries meet by list, in cells of bounded size: a list with many rows
+    indexed. A query also probes the lists of its ``k`` nearest in the sample. The k-th best product among
+    these is its threshold, which none of its neighbours is below, so lists return few rows; they are candidates
+    whatever a test says of them. Vectors and probing queries meet by list, in cells of bounded size: a list with many rows
     or many queries is cut up, every part of one against every part of the other.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not
@@ -174,7 +179,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
                                                   StructField("vec_id", LongType()), StructField("score", DoubleType())]))
     if not sample:
         return empty
-    shared = spark.sparkContext.broadcast(train_index(sample, count, k))
+    index = train_index(sample, count, k)
+    shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -190,23 +196,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
                 part = batch.slice(s, QUERY_BLOCK)
                 x, ids = matrix(part.column(1), width), part.column(0).to_numpy()
                 known = x @ index.vectors.T
-                lists = np.argsort(-(x @ index.centres.T), axis=1)[:, :index.probes].astype(np.int32)
-                probed = np.zeros((len(x), len(index.centres)), bool)
-                np.put_along_axis(probed, lists.astype(np.int64), True, axis=1)
-                # only what the query will see again counts, so it finds k at least
-                known[~probed[:, index.own] | (ids[:, None] == index.ids[None])] = -np.inf
-                least = -np.sort(-known, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(x), -np.inf)
-                least = np.where(np.isfinite(least), least, -1e300)
+                order = np.argsort(-(x @ index.centres.T), axis=1)
+                # one of the ids may be the query's own
+                short = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1)
+                reach = np.arange(order.shape[1])[None] < np.maximum(index.probes, short + 1)[:, None]
+                probed = np.zeros(order.shape, bool)
+                np.put_along_axis(probed, order, reach, axis=1)
+                known[ids[:, None] == index.ids[None]] = -np.inf
+                near = top(known, min(k, known.shape[1]))
+                there = np.isfinite(np.take_along_axis(known, near, axis=1))
+                # where the sample's nearest are, others may be; a query far from all centres needs more lists than most
+                np.logical_or.at(probed, (np.nonzero(there)[0], index.own[near[there]]), True)
+                lists = [np.flatnonzero(row).astype(np.int32) for row in probed]
+                scores = (index.vectors[near] * x[:, None]).sum(axis=2)
+                full = there.sum(axis=1) == k
+                least = np.where(full, np.where(there, scores, np.inf).min(axis=1), -1e300)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(least), pa.array(list(lists), pa.list_(pa.int32()))],
-                    ["query_id", "q", "least", "lists"])
+                    [*part.columns, pa.array(least), pa.array(lists, pa.list_(pa.int32())),
+                     pa.array([index.ids[n[t]] for n, t in zip(near, there)], pa.list_(pa.int64())),
+                     pa.array([s[t] for s, t in zip(scores, there)], pa.list_(pa.float64()))],
+                    ["query_id", "q", "least", "lists", "ids", "scores"])
 
     vector = ArrayType(DoubleType())
     placed = rows.mapInArrow(assign, StructType([
         StructField("vec_id", LongType()), StructField("v", vector), StructField("list", IntegerType())]))
-    probing = asked.mapInArrow(probe, StructType([
+    # ids of each list, as many rows as there are lists; an id in several counts in one, so that no sum is too high
+    held = np.zeros(len(index.centres), np.int64)
+    for r in placed.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+    started = as_table(asked.mapInArrow(probe, StructType([
         StructField("query_id", LongType()), StructField("q", vector), StructField("least", DoubleType()),
-        StructField("lists", ArrayType(IntegerType()))])).select("query_id", "q", "least", F.explode("lists").alias("list"))
+        StructField("lists", ArrayType(IntegerType())), StructField("ids", ArrayType(LongType())),
+        StructField("scores", ArrayType(DoubleType()))])), "probing")
+    probing = started.select("query_id", "q", "least", F.explode("lists").alias("list"))
+    known = started.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("s")).select(
+        "query_id", F.col("s.ids").alias("vec_id"), F.col("s.scores").alias("score"))
     # parts of each list: at most as many rows as there are lists
     parts = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("parts")).join(
         probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qparts")), "list")
@@ -230,7 +254,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
 
     keys = ["list", "part", "qpart"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, result)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = found.union(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return best.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row, functions as F
 
 from netlog.llm import ann, iblt, lm, minhash, mixing, secrets, substrings, toxicity
 
@@ -194,3 +195,42 @@ def test_nearest_examples_are_exact():
             scores[index.where[part]] += w * index.weights[part]
         order = np.lexsort((np.arange(300), -np.round(scores, toxicity.DIGITS)))[:15]
         assert [i for _, i in index.nearest(counts, 15)] == [i for i in order.tolist() if scores[i] > 0]
+
+
+def test_lists_of_skewed_vectors(spark, monkeypatch):
+    """20,000 vectors, a third copies, small groups far out: k rows for every query, recall against brute force.
+
+    The sample is a tenth of the table, as it is of 200,000 vectors.
+    """
+    monkeypatch.setattr(ann, "SAMPLE", 2_000)
+    rng = np.random.default_rng(9)
+    x = 10 * np.linalg.qr(rng.normal(size=(64, 64)))[0][rng.integers(0, 40, 20_000)] + 0.2 * rng.normal(size=(20_000, 64))
+    x[rng.permutation(20_000)[:6_666]] = x[rng.integers(0, 5, 6_666)]
+    out = rng.permutation(20_000)[:500]
+    far = rng.normal(size=(100, 64))
+    x[out] = np.repeat(20 * far / np.linalg.norm(far, axis=1)[:, None], 5, axis=0) + 0.2 * rng.normal(size=(500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    df = df.repartition(4)
+    even, outer = set(range(0, 20_000, 20)), set(out.tolist())
+    found = {q: {} for q in even | outer}
+    for r in ann.nearest(df, df.where(F.col("vec_id").isin([*found])), k=20).collect():
+        found[r.query_id][r.rank] = r.vec_id
+    recall = {}
+    for q in found:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        # copies are as good as each other
+        recall[q] = (scores[list(found[q].values())] >= np.sort(scores)[-20] - 1e-9).sum() / 20
+    print(*(f"recall {np.mean([recall[q] for q in some]):.4f}" for some in (even, outer)))
+    assert all(sorted(f) == list(range(1, 21)) for f in found.values())
+    assert np.mean([recall[q] for q in even]) >= 0.95
+    assert np.mean([recall[q] for q in outer]) >= 0.6
+
+
+def test_small_tables_are_pruned_by_trial():
+    rng = np.random.default_rng(3)
+    x = np.repeat(10 * rng.normal(size=(10, 16)), 50, axis=0) + rng.normal(size=(500, 16))
+    x[:170] = x[0]
+    index = ann.train_index([Row(vec_id=i, v=v.tolist()) for i, v in enumerate(x)], len(x), 20)
+    assert index.probes < len(index.centres)
+    assert (np.bincount(index.own, minlength=len(index.centres)) > 0).all()
