@@ -29,6 +29,8 @@ WINDOW = 13
 GRAM = 5
 # An anchor of more segments than this has its segments summed by content before they meet, and cut finer.
 HOT_SEGMENTS = 20_000
+# Text of distinct segments that one automaton is built from, some 10^5 words; hot shards of more go window by window.
+SHARD_BYTES = 1 << 20
 # Bits of the filter of anchors that occur more than once: 16 MB, and as much again for the hot ones. A filter of fixed
 # size lets more segments through that match nothing as the corpus grows, never fewer that do.
 FILTER_BITS = 27
@@ -229,6 +231,37 @@ def column_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iter
     yield from groupby(rows, key=lambda row: row[0])
 
 
+def by_shard_size(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments whose key has SHARD_BYTES of text at most, and the others; of the latter's keys there are few."""
+    large = F.broadcast(distinct.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes")).where(
+        F.col("bytes") > SHARD_BYTES).select("key"))
+    return distinct.join(large, "key", "left_anti"), distinct.join(large, "key", "left_semi")
+
+
+def window_answers(distinct: DataFrame, window: int) -> DataFrame:
+    """(key, segment, least) as of an automaton, from a least document per distinct window, summed within tasks first."""
+    schema = StructType([StructField("id", LongType()), StructField("place", IntegerType()),
+                         StructField("words", BinaryType()), StructField("doc", LongType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for number, segment, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                words = segment.split(b" ")
+                for i in range(len(words) - window + 1):
+                    out.append((number, i, b" ".join(words[i:i + window]), doc))
+                    if len(out) == 10_000:
+                        yield as_batch(out, schema)
+                        out = []
+        yield as_batch(out, schema)
+
+    each = distinct.select("id", "segment", "doc").mapInArrow(run, schema)
+    least = each.groupBy("words").agg(F.min("doc").alias("least"))
+    placed = each.select("id", "place", "words").join(least, "words").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "least"))).alias("found"))
+    return distinct.join(placed, "id").select("key", "segment", F.col("found.least").alias("least"))
+
+
 def repeated_windows(source: DataFrame, window: int, bits: int) -> DataFrame:
     """(doc, version, windows): the first words of each document's windows that a smaller document holds, as (start, n)."""
     found = as_table(segments(source, window, bits), "substrings")
@@ -272,17 +305,20 @@ def repeated_windows(source: DataFrame, window: int, bits: int) -> DataFrame:
                  pa.array(list(answers.values()), pa.list_(pa.int64()))], ["key", "segment", "least"])
 
     hot = found.where("hot")
-    distinct = hot.groupBy("key", "segment").agg(F.min("doc").alias("doc"))
-    answers = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(summed, StructType([
-        StructField("key", LongType()), StructField("segment", BinaryType()), StructField("least", ArrayType(LongType()))]))
-    many = hot.join(answers, ["key", "segment"]).select("doc", "version", F.explode(F.expr(
+    distinct = as_table(hot.groupBy("key", "segment").agg(F.min("doc").alias("doc")).select(
+        F.monotonically_increasing_id().alias("id"), "key", "segment", "doc"), "shards")
+    small, large = by_shard_size(distinct)
+    answers = small.select("key", "segment", "doc").repartition("key").sortWithinPartitions("key").mapInArrow(
+        summed, StructType([StructField("key", LongType()), StructField("segment", BinaryType()),
+                            StructField("least", ArrayType(LongType()))]))
+    many = hot.join(answers.union(window_answers(large, window)), ["key", "segment"]).select("doc", "version", F.explode(F.expr(
         "transform(filter(sequence(0, size(least) - 1), i -> least[i] < doc), i -> start + i)")).alias("start"),
         F.lit(1).alias("n"))
     return few.union(many).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
 
 
 def as_batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
-    types = {LongType(): pa.int64(), IntegerType(): pa.int32()}
+    types = {LongType(): pa.int64(), IntegerType(): pa.int32(), BinaryType(): pa.binary()}
     columns = zip(*rows) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, types[f.dataType]) for c, f in zip(columns, schema)], [f.name for f in schema])
@@ -300,7 +336,10 @@ def remove_repeats(
     Anchors are counted first; segments whose anchor occurs once can't repeat and stay where they are. The others meet
     by anchor, and an automaton over each anchor's distinct segments gives every window's least document. Anchors of
     more than HOT_SEGMENTS segments are summed by content within tasks before they are shuffled, and the answers join
-    back. Texts are shuffled once, to meet their spans. Memory: one anchor's distinct segments.
+    back. If a hot anchor's distinct segments are still more than SHARD_BYTES, as those are in which many documents enter
+    a shared passage from contexts of their own, each of their windows is summed by itself and no automaton is built.
+    Texts are shuffled once, to meet their spans. Memory: up to HOT_SEGMENTS segments of an anchor, or SHARD_BYTES of hot
+    ones.
 
     Null and empty texts have no words. Rows with a null doc_id lose nothing and are no reference. Rows of equal id are
     no reference for each other. Other columns are not read. An empty table gives none.

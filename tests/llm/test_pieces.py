@@ -37,6 +37,38 @@ def test_hot_anchors_give_the_same(spark, monkeypatch):
     assert all(r[2] >= 30 for r in plain[1:]) and plain[0][2] == 0
 
 
+def test_hot_shards_of_distinct_segments_are_bounded(spark, monkeypatch):
+    """A passage that every document enters from a context of its own; documents before and after have it too."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(30)]
+    docs = []
+    for i in range(80):
+        cut = rng.randint(0, 5)
+        docs.append((i, [f"{c}{i}" for c in "abcdefghij"] + shared[cut:30 - rng.randint(0, 5)] + [f"{c}{i % 9}" for c in "klmnopqr"]))
+    first, want = {}, []
+    for k, words in docs:
+        grams = [tuple(words[i:i + 13]) for i in range(len(words) - 12)]
+        want.append((k, len({i + j for i, g in enumerate(grams) if first.get(g, k) < k for j in range(13)})))
+        for g in grams:
+            first.setdefault(g, k)
+    df = spark.createDataFrame([(k, " ".join(words)) for k, words in docs], "doc_id long, text string")
+    monkeypatch.setattr(substrings, "HOT_SEGMENTS", 5)
+    built, split = [], substrings.by_shard_size
+
+    def recorded(distinct):
+        built.append(split(distinct))
+        return built[-1]
+
+    monkeypatch.setattr(substrings, "by_shard_size", recorded)
+    for bound in (1, 1_000, 1 << 20):
+        monkeypatch.setattr(substrings, "SHARD_BYTES", bound)
+        got = substrings.remove_repeats(df).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) == want
+        small, large = built[-1]
+        sizes = [r.n for r in small.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("n")).collect()]
+        assert max(sizes, default=0) <= bound and large.isEmpty() == (bound == 1 << 20)
+
+
 def test_sketch_differences():
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) + str(rng.randint(0, 300)) for _ in range(rng.randint(0, 400)))
