@@ -19,7 +19,7 @@ from .text import CACHE_WORDS, as_bytes, map_blocks
 # Bounds of the sample of examples: of each label, and the length of each text.
 EXAMPLES_EACH, EXAMPLE_BYTES = 2_500, 20_000
 # Terms that tell the labels apart in the sample: so many at most, and by how many standard errors at least.
-TERMS, SURE, LEAST_EXAMPLES = 4_000, 6.0, 4
+TERMS, SURE, LEAST_EXAMPLES = 4_000, 5.0, 4
 FEW, UNSURE = 64, 3.0
 # Neighbours that vote, and the distance at which a vote has half its weight.
 NEIGHBOURS, HALF = 15, 0.1
@@ -69,6 +69,11 @@ class TermRows(dict):
                     out[term] = out.get(term, 0) + times
         return out
 
+    def present(self, text: bytes) -> list[int]:
+        """The terms of the vocabulary that are in the text."""
+        held = set(map(self.__getitem__, set(text.lower().split())))
+        return list({term for row in held for term in self.rows[row]})
+
 
 @dataclass
 class Index:
@@ -242,7 +247,7 @@ def document_frequencies(source: DataFrame, vocabulary: dict[str, int]) -> tuple
         rows, seen = TermRows(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
             for text in as_bytes(batch.column(0)):
-                seen[list(rows.counts(text))] += 1
+                seen[rows.present(text)] += 1
                 seen[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 

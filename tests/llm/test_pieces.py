@@ -211,6 +211,14 @@ def test_scan_keeps_everything_near():
     assert len(kept) < 0.2 * exact.size
 
 
+def test_rare_telling_terms_are_chosen():
+    """Behind many stronger terms, a word of 30 in 2,500 toxic examples tells them apart by 5.5 standard errors."""
+    texts = [" ".join(f"w{chr(97 + j % 26)}{j // 26}" for j in range(i % 100)) for i in range(2_500)]
+    texts = [f"{t} {'rare' if i < 30 else ''}".encode() for i, t in enumerate(texts)] + [b"plain"] * 2_500
+    terms = toxicity.choose_terms(texts, np.repeat([1, 0], 2_500))
+    assert terms.index("rare") >= toxicity.FEW
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(1, 12))).encode() for _ in range(300)]
