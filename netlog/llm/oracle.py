@@ -70,4 +70,17 @@ SQL = {
                coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(runs, '') AS runs, sha256(kept) AS kept_sha256
         FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN spans USING (doc_id)
     """,
+    "op11_exact_refinement": """
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) ||
+                   chr(11) || chr(12) || chr(13), '') AS bare
+            FROM documents
+        ), r AS (
+            SELECT *, row_number() OVER w AS turn, first_value(doc_id) OVER w AS keep_id FROM d
+            WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST)
+        )
+        SELECT doc_id, keep_id, count(*) OVER (PARTITION BY bare) AS group_size, turn = 1 AS kept,
+               sha256(bare) AS text_sha256
+        FROM r
+    """,
 }

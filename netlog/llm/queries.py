@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, iblt, lines, lm, minhash, mixing, secrets, substrings, toxicity
+from . import ann, bpe, exact, iblt, lines, lm, minhash, mixing, secrets, substrings, toxicity
 from .text import small_batches, word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,11 @@ def op10_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_exact_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"), every_digest=True)
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
 QUERIES = {
     "op1_suffix_automata": op1_suffix_automata,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -107,4 +112,5 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_crf_secrets": op10_crf_secrets,
+    "op11_exact_refinement": op11_exact_refinement,
 }
