@@ -115,9 +115,9 @@ class Codec(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(model: bytes, pattern: str) -> Codec:
-    """Kept in the worker process, so that later tasks find the model loaded and the cache warm."""
+    """Kept in the worker process, so that later tasks find the model loaded."""
     return Codec(model, pattern)
 
 
@@ -128,7 +128,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "t
     rows, no shuffle; a text costs memory in proportion to its own length. Null and empty texts give empty ids. Ids
     come out the same for repeated rows. A column that is already called ``ids`` is replaced; others stay as they are.
     """
-    return _mapped(docs, ranks_path, pattern, text, ids, Codec.encode, decode_text=True)
+    return _mapped(docs, ranks_path, pattern, text, {ids: lambda tool, data: tool.encode(_text(data))})
 
 
 def decode_bpe(docs: DataFrame, ranks_path: str, pattern: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -136,21 +136,41 @@ def decode_bpe(docs: DataFrame, ranks_path: str, pattern: str, *, ids: str = "id
 
     Null ids give no bytes. An id beyond the vocabulary, or bytes that are not a multiple of four, raise an error.
     """
-    return _mapped(docs, ranks_path, pattern, ids, out, Codec.decode, decode_text=False)
+    return _mapped(docs, ranks_path, pattern, ids, {out: Codec.decode})
 
 
-def _mapped(docs, ranks_path, pattern, source, out, method, *, decode_text):
+def recode_bpe(
+    docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", ids: str = "ids", out: str = "decoded",
+) -> DataFrame:
+    """``docs`` with ``ids`` as :func:`encode_bpe` makes them and ``out``, the bytes that those ids decode to.
+
+    Both in one pass, so that a task needs one Python worker and one model. Null and empty texts give empty ids and no
+    bytes.
+    """
+    return _mapped(docs, ranks_path, pattern, text, {ids: lambda tool, data: tool.encode(_text(data)), out: Codec.decode})
+
+
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "replace")
+
+
+def _mapped(docs, ranks_path, pattern, source, made):
+    """``docs`` with the columns of ``made``: the first from ``source``, each further one from the column before it."""
     model = docs.sparkSession.sparkContext.broadcast(serialize_model(read_ranks(ranks_path)))
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in docs.columns if c not in made]
     cols = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").cast("binary").alias("\0in"))
-    schema = StructType([docs.schema[c] for c in kept] + [StructField(out, BinaryType())])
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(out, BinaryType()) for out in made])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model.value, pattern)
         for batch in batches:
-            made = []
-            for value in as_bytes(batch.column(len(kept))):
-                made.append(method(tool, value.decode("utf-8", "replace") if decode_text else value))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(made, pa.binary())], [*kept, out])
+            columns, column = batch.columns[:len(kept)], batch.column(len(kept))
+            for method in made.values():
+                column = pa.array([method(tool, value) for value in as_bytes(column)], pa.binary())
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
+        # the worker goes on to other stages: it keeps the model and gives back what texts took
+        tool.clear()
+        pa.default_memory_pool().release_unused()
 
     return cols.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from ..operators.sizes import broadcast_if_small
 from ..session import as_table
-from .text import hash_words, in_blocks, rolling
+from .text import hash_words, in_blocks, release, rolling
 
 SHINGLE = 5
 # Links: 100 times the sets' intersection is at least LINK times their union.
@@ -103,6 +103,7 @@ def describe(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from in_blocks(batch, [len(v or b"") for v in batch.column(1).to_pylist()])
+    release()
 
 
 def full_sets(docs: DataFrame) -> DataFrame:

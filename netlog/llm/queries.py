@@ -52,9 +52,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode_bpe(docs, ranks, pattern).select("doc_id", "ids")
-    decoded = bpe.decode_bpe(encoded, ranks, pattern)
-    return decoded.select(
+    return bpe.recode_bpe(docs, ranks, pattern).select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -38,6 +38,12 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def release() -> None:
+    """Give back what a task's texts took; the worker process goes on to other stages."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every input bit."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -61,11 +67,11 @@ def as_bytes(values: pa.Array) -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
-def in_blocks(batch: pa.RecordBatch, sizes: Sequence[int]) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive parts of about BLOCK_BYTES; a longer row is a part of its own."""
+def in_blocks(batch: pa.RecordBatch, sizes: Sequence[int], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of about ``most`` bytes; a longer row is a part of its own."""
     start, held = 0, 0
     for i, size in enumerate(sizes):
-        if held and held + size > BLOCK_BYTES:
+        if held and held + size > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
@@ -84,6 +90,7 @@ def map_blocks(
             lengths = pc.fill_null(pc.binary_length(batch.column(size_of)), 0).to_pylist()
             for part in in_blocks(batch, lengths):
                 yield block(part)
+        release()
 
     return df.select(*[c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
 
