@@ -39,7 +39,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids of each document (packed little-endian 32-bit), and whether they decode to its text."""
     small_batches(spark)
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.decode_bpe(bpe.encode_bpe(docs, ranks, pattern), ranks, pattern)
+    encoded = bpe.recode_bpe(docs, ranks, pattern)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return encoded.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
                           "ids", (F.col("decoded") == text).alias("round_trip"))
