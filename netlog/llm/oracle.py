@@ -83,4 +83,46 @@ SQL = {
                sha256(bare) AS text_sha256
         FROM r
     """,
+    "op12_prefix_free_parsing": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+        ), g AS (
+            SELECT lang, unnest(words) AS phrase, 1 AS k FROM w
+            UNION ALL
+            SELECT lang, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]), 2 FROM w
+            UNION ALL
+            SELECT lang, unnest([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]), 3
+            FROM w
+        ), f AS (
+            SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL
+        ), n AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, phrase, k, f AS a, split_part(phrase, ' ', 1) AS w1, split_part(phrase, ' ', 2) AS w2,
+                   split_part(phrase, ' ', 3) AS w3
+            FROM f WHERE k > 1 AND f >= 10
+        ), cuts AS (
+            SELECT *, 1 AS cut, w1 AS head, CASE WHEN k = 2 THEN w2 ELSE w2 || ' ' || w3 END AS rest FROM c
+            UNION ALL
+            SELECT *, 2, w1 || ' ' || w2, w3 FROM c WHERE k = 3
+        ), s AS (
+            SELECT c.lang, c.phrase, c.k, c.a, c.cut, l.f AS l, r.f AS r,
+                   (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), t AS (
+            SELECT lang, part, max(a) AS longer
+            FROM (SELECT lang, unnest([w1 || ' ' || w2, w2 || ' ' || w3]) AS part, a FROM c WHERE k = 3) GROUP BY ALL
+        )
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score
+        FROM b JOIN n USING (lang) LEFT JOIN t ON b.k = 2 AND t.lang = b.lang AND t.part = b.phrase
+        WHERE longer IS NULL OR 100 * longer < 50 * a
+        QUALIFY rank <= 2000
+    """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, exact, iblt, lines, lm, minhash, mixing, secrets, substrings, toxicity
+from . import ann, bpe, exact, iblt, lines, lm, minhash, mixing, phrases, secrets, substrings, toxicity
 from .text import small_batches, word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -99,6 +99,10 @@ def op11_exact_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op12_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_automata": op1_suffix_automata,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -111,4 +115,5 @@ QUERIES = {
     "op9_adaptive_scan": op9_adaptive_scan,
     "op10_crf_secrets": op10_crf_secrets,
     "op11_exact_refinement": op11_exact_refinement,
+    "op12_prefix_free_parsing": op12_prefix_free_parsing,
 }
