@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, exact, iblt, lines, lm, minhash, mixing, phrases, secrets, substrings, toxicity
+from . import alignment, ann, bpe, exact, iblt, lines, lm, minhash, mixing, phrases, secrets, substrings, toxicity
 from .text import small_batches, word_count
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +104,14 @@ def op12_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = (public_tokenizers.path(name) for name in ALIGNED)
+    aligned = alignment.align(table(spark, sf_dir, "documents"), byte_level, pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = alignment.count_links(aligned.withColumn("groups_sha256", digest).drop("groups"), alignment.piece_count(pieces))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_suffix_automata": op1_suffix_automata,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -116,4 +125,5 @@ QUERIES = {
     "op10_crf_secrets": op10_crf_secrets,
     "op11_exact_refinement": op11_exact_refinement,
     "op12_prefix_free_parsing": op12_prefix_free_parsing,
+    "op13_merge_path": op13_merge_path,
 }
