@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.barrier import compute_once
 from ..functions.bits import clamp, le_words
 from ..schemas import INLINE_MAX, MAX_JSON_BYTES, RECORD_BYTES
+from .bitfilter import bit_filter, with_filter
 from .policy import interest_join
 from .sizes import BROADCAST_ROWS
 from .skew import same_key
@@ -162,8 +163,9 @@ def resolve_payloads(
     Adds or fills ``reject_reason``; a rejected event has no data, what bytes it came with are in ``raw``. If ``payloads``
     has several rows of one ``payload_ref``, the latest by ``ts_ns`` and ``seq`` counts, as in a slot that is written again.
 
-    Only readable pointer events are joined, so inline and rejected events are not shuffled; of the stored payloads, only
-    those that an event refers to. A reference that more than ``hot_rows`` events point to is spread over parts of about
+    Only readable pointer events are joined, so inline and rejected events are not shuffled. Of the stored payloads,
+    references and times are reduced to the wanted references' latest first; a filter of fixed size then tells the scan of
+    the bytes which rows those are, and only they are shuffled. A reference that more than ``hot_rows`` events point to is spread over parts of about
     ``part_rows`` events, its payload row being repeated in each. The list of such references has at most one row for
     each ``hot_rows`` events, which bounds its broadcast.
     """
@@ -179,10 +181,7 @@ def resolve_payloads(
     own = own.withColumn("data", F.when(F.col("reject_reason").isNull(), F.substring(F.col("data"), F.lit(1), _length())))
 
     pointers = judged.where(points)
-    stored = _latest_stored(payloads)
-    # references alone decide which payloads are moved
-    wanted = pointers.select(F.col("payload_ref").alias("_ref")).distinct()
-    stored = stored.join(wanted, "_ref", "left_semi")
+    stored = _latest_stored(payloads, pointers.select(F.col("payload_ref").alias("_ref")).distinct())
     if hot_rows is None:
         joined = pointers.join(stored, F.col("payload_ref") == F.col("_ref"), "left")
     else:
@@ -214,11 +213,19 @@ def resolve_payloads(
     return own.select(*columns).unionByName(resolved.select(*columns))
 
 
-def _latest_stored(payloads: DataFrame) -> DataFrame:
-    """(_ref, _stored), one row per reference: the latest, if times are known, else the largest of them."""
+def _latest_stored(payloads: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_ref, _stored) of the ``wanted`` references: the latest payload, if times are known, else the largest of them."""
     order = [c for c in ("ts_ns", "seq") if c in payloads.columns]
+    ref = F.col("payload_ref").alias("_ref")
+    known = payloads.select(ref, *order).join(wanted, "_ref", "left_semi")
+    if order:
+        known = known.groupBy("_ref").agg(F.max(F.struct(*order)).alias("_last")).select("_ref", "_last.*")
+    marks = bit_filter(known.select(F.xxhash64("_ref", *order).alias("_mark")), "_mark")
+    marked = payloads.select(ref, *order, "payload").withColumn("_mark", F.xxhash64("_ref", *order))
+    chosen = with_filter(marked, "_mark", marks, "_chosen").where("_chosen")
+    # rows that the filter lets through by chance are no later than the one that is looked for
     picked = F.max_by("payload", F.struct(*order)) if order else F.max("payload")
-    return payloads.groupBy(F.col("payload_ref").alias("_ref")).agg(picked.alias("_stored"))
+    return chosen.groupBy("_ref").agg(picked.alias("_stored"))
 
 
 def _length() -> Column:

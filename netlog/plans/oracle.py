@@ -113,6 +113,23 @@ loads AS (
   FROM loads
 )"""
 
+UNUSUAL = f"""{TRAFFIC}, {ALLOW}, made AS (
+  SELECT seq, ts_ns, CASE WHEN seq % 17 = 0 THEN 2130706433 ELSE src_ip END AS src_ip,
+    CASE WHEN seq % 19 = 0 THEN 22 ELSE src_port END AS src_port, CASE WHEN seq % 23 = 0 THEN 0 ELSE dst_port END AS dst_port,
+    CASE WHEN seq % 29 = 0 THEN 1 ELSE proto END AS proto, n_vlan * 4 AS tags,
+    CASE WHEN seq % 31 = 0 THEN 0 ELSE strlen(payload) END AS body, seq % 37 = 0 AS other,
+    CASE WHEN seq % 7 = 0 THEN seq // 7 % 60 ELSE 1000000 END AS cut
+  FROM traffic
+), sized AS (
+  SELECT *, least(cut, 14 + tags + CASE WHEN proto = 6 THEN 40 ELSE 28 END + body) AS size FROM made
+), unusual AS (
+  SELECT *, CASE WHEN size < 14 THEN 'short_eth' WHEN size < 14 + tags THEN 'short_vlan' WHEN other THEN 'not_ipv4'
+    WHEN size < 34 + tags THEN 'short_ip' WHEN proto NOT IN (6, 17) THEN 'not_tcp_udp'
+    WHEN size < 34 + tags + CASE WHEN proto = 6 THEN 20 ELSE 8 END THEN 'short_l4' ELSE 'ok' END AS status,
+    EXISTS (SELECT 1 FROM allow a WHERE src_ip >= a.low AND src_ip < a.low + a.size) AS allowed
+  FROM sized
+)"""
+
 SQL = {
     "captured_fields": f"""WITH {TRAFFIC}
 SELECT dst_port, count(*) AS captured, count(*) FILTER (json_valid(payload)) AS parsed,
@@ -232,4 +249,35 @@ FROM traffic LEFT JOIN (
     "address_text": f"""WITH {TRAFFIC}
 SELECT '10.0.' || ((src_ip // 256) % 256) || '.' || (src_ip % 256) AS src, src_ip, count(*) AS rows
 FROM traffic GROUP BY src_ip""",
+    "records_without_payloads": """SELECT seq, CASE WHEN NOT whole THEN 'short_record' WHEN len = 0 THEN 'empty'
+    WHEN len > 1048576 THEN 'too_large' WHEN is_ref THEN 'bad_ref' WHEN len > 1024 THEN 'bad_inline_len' END AS reject_reason,
+  CASE WHEN whole AND NOT is_ref AND len BETWEEN 1 AND 1024 THEN props END AS data
+FROM (
+  SELECT event_id AS seq, props, event_id % 13 <> 0 AS whole, event_id % 5 = 0 AS is_ref,
+    CASE WHEN event_id % 7 = 0 THEN 5000 WHEN event_id % 11 = 0 THEN 2000000 WHEN event_id % 17 = 0 THEN 0
+      ELSE strlen(props) END AS len
+  FROM events
+)""",
+    "edge_reasons": f"""WITH RECURSIVE {UNUSUAL}, decided AS (
+  SELECT *, CASE WHEN status IN ('short_eth', 'short_vlan', 'not_ipv4', 'short_ip') THEN status
+    WHEN src_ip = 2130706433 THEN 'bypass_loopback'
+    WHEN status = 'ok' AND proto = 6 AND 22 IN (dst_port, src_port) THEN 'bypass_ssh'
+    WHEN NOT allowed THEN 'not_allowlisted' WHEN status = 'short_l4' THEN status
+    WHEN status <> 'ok' OR dst_port = 0 THEN 'pass'
+    WHEN dst_port <> 22 AND (dst_port, proto) NOT IN ((443, 6), (8080, 6), (514, 17)) THEN 'not_of_interest' END AS reason
+  FROM unusual
+), reaching AS (SELECT * FROM decided WHERE reason IS NULL),
+{windows("reaching", "src_ip, dst_port", THREE_DAYS)}
+SELECT seq, reason AS edge_reason, CAST(NULL AS BIGINT) AS rate_window_start, CAST(NULL AS BIGINT) AS rate_count
+FROM decided WHERE reason IS NOT NULL
+UNION ALL
+SELECT seq, CASE WHEN n > 1 THEN 'rate_limited' ELSE 'pass' END, window_start, n FROM counted""",
+    "capture_reasons_unusual": f"""WITH {UNUSUAL}
+SELECT seq, CASE WHEN status <> 'ok' THEN status
+  WHEN (dst_port, proto) NOT IN ((443, 6), (8080, 6), (514, 17)) THEN 'not_of_interest' WHEN body = 0 THEN 'empty_payload'
+  WHEN body > 1024 THEN 'delegated_large' ELSE 'captured' END AS capture_reason
+FROM unusual""",
+    "pair_calls_cut": "WITH paired AS (WITH " + PAIRS.format(pid="user_id + 1000", tid="user_id") + """)
+SELECT pid, tid, ts_ns, seq, buf, enter_ns, least(data_len, 5) AS data_len, left(data, 5) AS data,
+  data_len AS original_size, data_len > 5 AS truncated FROM paired""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import operators as op
-from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
+from ..schemas import PAYLOADS, RATE_THRESHOLD, RATE_WINDOW_NS
 from ..session import configure
 from ..sources import write_logs
 
@@ -39,16 +39,15 @@ def run_batch(
     sources = {"tc": op.capture_inline(flows, interest), "tc_large": op.delegated_large(decoded, interest)}
     if records is not None:
         sources["records"] = op.decode_records(records)
-    payloads = None
+    payloads = spark.createDataFrame([], PAYLOADS)
     if messages is not None and conn_events is not None:
         kept = op.clamp_messages(op.registered_messages(messages, op.first_seen(conn_events)))
         payloads = saved(op.message_payloads(kept), "payloads")
         sources["sk_msg"] = op.message_events(kept.drop("payload"))
     if probe_events is not None:
         sources["tls"] = op.pair_calls(probe_events).select("seq", "ts_ns", "pid", "tid", "data_len", "data")
-    events = op.merge_sources(**sources)
-    if payloads is not None:
-        events = op.resolve_payloads(events, payloads)
+    # events are judged by their lengths and references even where nothing is stored
+    events = op.resolve_payloads(op.merge_sources(**sources), payloads)
     logs = saved(op.parse_logs(events).withColumn("doc", F.to_json("doc")), "parsed")
     logs = logs.withColumn("doc", F.try_parse_json("doc"))
     write_logs(logs, f"{path}/logs")

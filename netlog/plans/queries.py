@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import operators as op
 from ..functions import cidr_net, cidr_plen, ip_text, ip_value, monotonic_to_timestamp, split_pid_tid
-from ..schemas import INTEREST, TUNING
+from ..schemas import INTEREST, PAYLOADS, TUNING
 from ..session import configure
 from ..sources import log_lines
 from ..sources.interest import accepted_loads, effective_interest, normalize_interest
@@ -464,6 +464,59 @@ def address_text(spark, sf_dir):
     return text.select("src", ip_value(F.col("src")).alias("src_ip"), "rows")
 
 
+def records_without_payloads(spark, sf_dir):
+    """Capture records with nothing stored: some claim more inline bytes than a record holds, some more than is ever read."""
+    claimed = (
+        F.when(F.pmod("event_id", F.lit(7)) == 0, 5_000).when(F.pmod("event_id", F.lit(11)) == 0, 2_000_000)
+        .when(F.pmod("event_id", F.lit(17)) == 0, 0)
+    )
+    numbered = records(spark, sf_dir).withColumn("event_id", F.col("seq"))
+    # the length is at bytes 32 to 35
+    told = F.unhex(_le(F.coalesce(claimed, F.lit(0)), 4))
+    changed = numbered.withColumn("record", F.when(
+        claimed.isNotNull(), F.concat(F.substring("record", 1, 32), told, F.substring("record", 37, 1064))
+    ).otherwise(F.col("record"))).drop("event_id")
+    resolved = op.resolve_payloads(op.decode_records(changed), spark.createDataFrame([], PAYLOADS))
+    return resolved.select("seq", "reject_reason", F.col("data").cast("string").alias("data"))
+
+
+def unusual_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames from the loopback and from port 22, to port 0, of other protocols, without payload, and cut short."""
+    n = F.col("seq")
+
+    def every(k: int, then, name: str):
+        return F.when(F.pmod(n, F.lit(k)) == 0, then).otherwise(F.col(name)).alias(name)
+
+    columns = traffic(spark, sf_dir).select(
+        "seq", "ts_ns", every(17, F.lit(2_130_706_433), "src_ip"), "dst_ip", every(19, F.lit(22), "src_port"),
+        every(23, F.lit(0), "dst_port"), every(29, F.lit(1), "proto"), "n_vlan", every(31, F.lit(b""), "payload"),
+    )
+    built = build_frames(columns, keep=("seq", "ts_ns", "n_vlan"))
+    place = F.lit(13) + F.col("n_vlan") * 4
+    other = F.when(F.pmod(n, F.lit(37)) == 0, F.overlay("frame", F.unhex(F.lit("86DD")), place)).otherwise(F.col("frame"))
+    cut = F.when(F.pmod(n, F.lit(7)) == 0, F.substring(other, F.lit(1), F.pmod(F.floor(n / 7), F.lit(60)).cast("int")))
+    return built.select("seq", "ts_ns", F.coalesce(cut, other).alias("frame"))
+
+
+def edge_reasons(spark, sf_dir):
+    """The verdict of every frame, where every reason occurs."""
+    flows = op.decode_frames(unusual_traffic(spark, sf_dir)).select(
+        "seq", "ts_ns", "src_ip", "src_port", "dst_port", "proto", "decode_status")
+    verdicts = op.edge_verdict(flows, interest(spark), allowlist(spark), window_ns=RATE_WINDOW, threshold=RATE_LIMIT)
+    return verdicts.select("seq", "edge_reason", "rate_window_start", "rate_count")
+
+
+def capture_reasons_unusual(spark, sf_dir):
+    verdicts = op.capture_verdict(op.decode_frames(unusual_traffic(spark, sf_dir)), interest(spark))
+    return verdicts.select("seq", "capture_reason")
+
+
+def pair_calls_cut(spark, sf_dir):
+    """Paired calls of which five bytes are kept."""
+    pairs = op.pair_calls(probe_events(spark, sf_dir), max_bytes=5)
+    return _pairs(pairs).join(pairs.select("seq", "original_size", "truncated"), "seq")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -473,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         resolve_hot, retain_latest, retain_latest_by_source, pair_calls, pair_calls_hot, first_seen,
         registered_messages, interest_normalize, interest_effective, tuning_in_force, sampled, rate_check_tuned,
         record_decode, tuning_records, event_times, address_text, clamp_documents, rejects_roundtrip,
-        resolve_repeated_refs, tuning_short_records,
+        resolve_repeated_refs, tuning_short_records, records_without_payloads, edge_reasons, capture_reasons_unusual,
+        pair_calls_cut,
     )
 }

@@ -15,8 +15,9 @@ def read_interest(spark: SparkSession, path: str) -> DataFrame:
     """Configuration files as raw entries: ``load_id, loaded_at, port, protocol``.
 
     A file is YAML (or JSON, which is YAML) with a list ``intercept`` of entries with ``port``, an integer, and
-    ``protocol``, a string; other keys pass. A file that is anything else gives one entry with neither. A file is one
-    load, named by path and modification time. Needs PyYAML where tasks run.
+    ``protocol``, a string; other keys pass. A file that is anything else, or that the YAML reader gives up on in any
+    way, gives one entry with neither. A file is one load, named by path and modification time. Needs PyYAML where tasks
+    run.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.concat_ws("@", "_metadata.file_path", F.unix_micros("_metadata.file_modification_time").cast("string"))
@@ -34,7 +35,7 @@ def file_entries(text: str) -> list[tuple[int | None, str | None]]:
     try:
         listed = yaml.safe_load(text)["intercept"]
         found = [(entry["port"], entry["protocol"]) for entry in listed]
-    except (yaml.YAMLError, TypeError, KeyError):
+    except Exception:  # dates and tags raise what their constructors raise, deep nesting a RecursionError
         return broken
     if any(type(port) is not int or abs(port) >= 1 << 63 or not isinstance(protocol, str) for port, protocol in found):
         return broken

@@ -47,6 +47,8 @@ def test_read_yaml_and_json(spark, tmp_path):
 
 @pytest.mark.parametrize("text,reason", [
     ("intercept:\n  - port: 443\n", "bad_file"), ("ports: []\n", "bad_file"), ("intercept:\n  - port: x\n    protocol: tcp\n", "bad_file"),
+    ("intercept: 2001-13-45\n", "bad_file"), ("intercept: " + "[" * 5_000, "bad_file"), ("intercept: !!timestamp '1'\n", "bad_file"),
+    ("intercept: !!int ''\n", "bad_file"), ("seen: 2001-13-45\nintercept:\n  - port: 443\n    protocol: tcp\n", "bad_file"),
     ("intercept:\n  - port: 65536\n    protocol: tcp\n", "bad_port"), ("intercept:\n  - port: -1\n    protocol: tcp\n", "bad_port"),
 ])
 def test_bad_files(spark, tmp_path, text, reason):

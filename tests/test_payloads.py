@@ -5,7 +5,9 @@ import struct
 from pyspark.sql import functions as F
 
 import netlog as nl
-from netlog.schemas import MESSAGES
+from netlog.operators.payloads import _latest_stored
+from netlog.plans.pipeline import run_batch
+from netlog.schemas import FRAMES, INTEREST, MESSAGES
 from netlog.sources import log_lines, read_records
 
 EVENTS = "seq BIGINT, ts_ns BIGINT, is_ref BOOLEAN, payload_ref BIGINT, data_len BIGINT, data BINARY"
@@ -73,6 +75,39 @@ def test_only_readable_pointers_are_shuffled(spark, tmp_path):
     }
 
 
+def test_only_wanted_payloads_are_moved(spark, tmp_path):
+    """Without broadcasts of tables, bytes are shuffled only for the rows that events refer to, the latest of each."""
+    stored = [(ref, ts, 0, bytearray(b"%d/%d" % (ref, ts))) for ref in range(300) for ts in range(5)]
+    schema = "payload_ref BIGINT, ts_ns BIGINT, seq BIGINT, payload BINARY"
+    spark.createDataFrame(stored, schema).write.parquet(str(tmp_path / "payloads"))
+    payloads = spark.read.parquet(str(tmp_path / "payloads"))
+    events = spark.createDataFrame([(i, 0, True, 7 * i, 3, None) for i in range(10)], EVENTS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = events.select(F.col("payload_ref").alias("_ref")).distinct()
+        latest = _latest_stored(payloads, wanted)
+        assert {(r._ref, bytes(r._stored)) for r in latest.collect()} == {(7 * i, b"%d/4" % (7 * i)) for i in range(10)}
+        plan = latest._jdf.queryExecution().optimizedPlan().toString()
+        # the only aggregate over bytes stands above the filter's join; below it, bytes are in no aggregate
+        top, below = plan.split("LeftOuter", 1)
+        assert "payload" in top and not any("payload#" in line for line in below.splitlines() if "Aggregate" in line)
+        got = nl.resolve_payloads(events, payloads)
+        assert {r.seq: bytes(r.data) for r in got.collect()} == {i: (b"%d/4" % (7 * i))[:3] for i in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_records_are_judged_without_stored_payloads(spark, tmp_path):
+    items = [record(7, b'{"a":1}'), record(5_000, b"{" * 1024), record(2_000_000, b"x"), record(8, is_ref=1, offset=64), record(0)]
+    records = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(items)], "seq BIGINT, record BINARY")
+    none = spark.createDataFrame([], FRAMES)
+    out = run_batch(spark, str(tmp_path), frames=none, interest=spark.createDataFrame([], INTEREST), records=records)
+    found = out["logs"].collect()
+    assert [r.value for r in found if r.channel == "logs"] == ['{"a":1}']
+    assert {(r["seq"], r["reject_reason"]) for r in map(json.loads, (r.value for r in found if r.channel == "rejects"))} == {
+        (1, "bad_inline_len"), (2, "too_large"), (3, "bad_ref"), (4, "empty")}
+
+
 def test_message_clamp(spark):
     sizes = [0, 1, 65_536, 65_537]
     df = spark.createDataFrame([(i, 0, 80, 6, "c", bytearray(b"x" * n)) for i, n in enumerate(sizes)], MESSAGES)

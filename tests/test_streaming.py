@@ -191,6 +191,23 @@ def test_stream_logs_equals_batch_and_follows_the_interest_list(spark, tmp_path)
     assert len(lines(spark, str(tmp_path / "out"))) == before + 2
 
 
+def test_a_stream_survives_a_bad_configuration_file(spark, tmp_path):
+    config = tmp_path / "intercept.yaml"
+
+    def run(text, n):
+        config.write_text(text)
+        os.utime(config, (1000 + n, 1000 + n))
+        write_parts(spark, [(n, n, bytearray(frame(dport=443, payload=b"{}")))], FRAMES, tmp_path / "in", 1)
+        run_to_end(stream_logs(
+            read_table_stream(spark, str(tmp_path / "in"), FRAMES), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+            interest_table=str(tmp_path / "loads"), interest_config=str(config), availableNow=True))
+        return len(lines(spark, str(tmp_path / "out")))
+
+    assert run("intercept:\n  - port: 443\n    protocol: tcp\n", 0) == 1
+    for i, bad in enumerate(["intercept: 2001-13-45\n", "intercept: " + "[" * 5_000, "intercept: !!int ''\n"], 1):
+        assert run(bad, i) == 1 + i
+
+
 def _without_source(found):
     out = []
     for channel, value in found:
