@@ -12,7 +12,8 @@ chunks which are scanned in parallel:
 3. the entry windows join the rows as one leading row per chunk, without a time, in the main shuffle.
 
 A chunk lasts at least ``CHUNK_WINDOWS`` windows, and a summary has at most as many steps as one window has rows, so
-step 2 reads at most ``1 / CHUNK_WINDOWS`` of the rows even if no two steps meet.
+step 2 reads at most ``1 / CHUNK_WINDOWS`` of the rows even if no two steps meet. A key that has a chunk of over
+``BURST_ROWS`` rows, because they crowd into few windows, is cut finer than windows are long: see ``bursts``.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
+from .bursts import burst_entries
 from .skew import CHUNK_ROWS, HOT_ROWS, hot_chunks, hot_keys, same_key
 
 CHUNK_WINDOWS = 64
+BURST_ROWS = 4_000_000
 _FOREVER = 2**63 - 1
 _FIRST_CHUNK = -(2**63)
 
@@ -35,27 +38,44 @@ _FIRST_CHUNK = -(2**63)
 def rate_check(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], *, window_ns: int = RATE_WINDOW_NS,
     threshold: int | Column = RATE_THRESHOLD, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
-    chunk_windows: int = CHUNK_WINDOWS, opened: DataFrame | None = None,
+    chunk_windows: int = CHUNK_WINDOWS, burst_rows: int = BURST_ROWS, opened: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``window_start``, ``n`` (place in the window) and ``limited`` to every row.
 
-    ``ts`` is a non-NULL BIGINT; ``order`` breaks ties. ``threshold`` may be a column. With hot keys handled, ``df`` is
-    read twice (first only its keys and times; twice more for its hot keys alone), so give it as a table rather than a
-    long derivation. ``hot_rows=None`` skips that and keeps every key in one task.
+    ``ts`` is a non-NULL BIGINT; ``order`` breaks ties. ``threshold`` may be a column. One job first counts the rows of
+    each key. If none has more than ``hot_rows``, that is all besides the scan itself; else a second job looks for
+    chunks of more than ``burst_rows`` rows, and the hot keys' rows are read twice more. So give ``df`` as a table rather
+    than a long derivation. ``hot_rows=None`` skips all that and keeps every key in one task.
 
     ``opened`` continues from earlier rows: one row per key with ``window_start`` and ``n`` of its last window, as
     ``open_windows`` gives. A row from before that window counts in it.
     """
     keys, order = list(keys), list(order)
-    parts = []
-    if hot_rows is None:
+    parts, hot = [], None
+    min_chunk_ns = window_ns * chunk_windows
+    if hot_rows is not None:
+        listed = hot_keys(df, keys, ts, min_chunk_ns=min_chunk_ns, hot_rows=hot_rows, chunk_rows=chunk_rows)
+        if found := listed.collect():
+            hot = df.sparkSession.createDataFrame(found, listed.schema)
+    if hot is None:
         rows = df.withColumn("_chunk", F.lit(None).cast("bigint"))
         if opened is not None:
             parts.append(opened.select(*keys, F.lit(None).cast("bigint").alias("_chunk"), *_as_entry()))
     else:
-        min_chunk_ns = window_ns * chunk_windows
-        hot = hot_keys(df, keys, ts, min_chunk_ns=min_chunk_ns, hot_rows=hot_rows, chunk_rows=chunk_rows)
         rows = hot_chunks(df, hot, keys, ts, min_chunk_ns=min_chunk_ns, chunk_rows=chunk_rows)
+        crowded = rows.where("_chunk IS NOT NULL").groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+        sizes = crowded.groupBy(*keys).agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_most"))
+        bursting = sizes.where(F.col("_most") > burst_rows).drop("_most")
+        if found := bursting.collect():
+            bursting = df.sparkSession.createDataFrame(found, bursting.schema)
+            listed = F.broadcast(bursting.select(*[F.col(k).alias(f"_crowd_{k}") for k in keys]))
+            crowd = df.join(listed, same_key(keys, "_crowd_"), "left_semi")
+            crowd, entries = burst_entries(
+                crowd, bursting, keys, ts, window_ns=window_ns, chunk_rows=chunk_rows, opened=opened)
+            parts += [crowd.withColumns(_no_entry()), entries]
+            rows = rows.join(listed, same_key(keys, "_crowd_"), "left_anti")
+            if opened is not None:
+                opened = opened.join(listed, same_key(keys, "_crowd_"), "left_anti")
         later = rows.where(F.col("_chunk").isNotNull())
         if opened is not None:
             # a hot key's rows up to the end of its open window are one chunk; what follows is independent of it

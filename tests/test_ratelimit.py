@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import netlog as nl
+from netlog.operators.bursts import burst_entries
 from netlog.operators.ratelimit import _ChunkSummary
 
 SCHEMA = "k BIGINT, ts BIGINT, seq BIGINT"
@@ -84,8 +85,43 @@ def test_several_batches_per_chunk(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+BURST = {"hot_rows": 100, "chunk_rows": 30, "chunk_windows": 64, "burst_rows": 60}
+
+
+@pytest.mark.parametrize("seed,gaps", [
+    (1, [0, 1, 3, 10, 11]), (3, [0, 0, 0, 25]), (4, [10]), (5, [11]), (6, [2, 500]), (7, [0] * 30 + [1]), (8, [1] * 60 + [900])
+])
+def test_bursts_match_the_loop(spark, seed, gaps):
+    rows = make_rows(random.Random(seed), 3, 250, gaps)
+    assert run(spark, rows, 10, **BURST) == expected(rows, 10)
+
+
+def test_a_burst_within_one_window_is_spread(spark):
+    """All but a few rows of one key lie within one window: the scan deals them out all the same."""
+    rng = random.Random(3)
+    rows = [(0, rng.randint(0, 900_000), i) for i in range(6_000)] + [(0, 3_000_000 + i, 6_000 + i) for i in range(300)]
+    rows += [(1, i, 7_000 + i) for i in range(50)]
+    options = {"hot_rows": 500, "chunk_rows": 400, "burst_rows": 1_000}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert run(spark, rows, 1_000_000, **options) == expected(rows, 1_000_000)
+    bursting = spark.createDataFrame([(0, 6_300)], "k BIGINT, _rows BIGINT")
+    pieces, entries = burst_entries(df.where("k = 0"), bursting, ["k"], "ts", window_ns=1_000_000, chunk_rows=400)
+    sizes = [r["count"] for r in pieces.groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 1_200 and sum(sizes) == 6_300
+    assert entries.count() == len(sizes) - 1
+
+
+def test_bursting_keys_that_are_null_or_text(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b"]), rng.randint(0, 90), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k STRING, ts BIGINT, seq BIGINT")
+    got = {r.seq: (r.window_start, r.n) for r in nl.rate_check(df, ["k"], "ts", ["seq"], window_ns=20, **BURST).collect()}
+    assert got == expected(rows, 20)
+
+
 @pytest.mark.parametrize("options", [
-    {"hot_rows": None}, {}, {"hot_rows": 40, "chunk_rows": 15, "chunk_windows": 1}, {"hot_rows": 40, "chunk_rows": 60}
+    {"hot_rows": None}, {}, {"hot_rows": 40, "chunk_rows": 15, "chunk_windows": 1}, {"hot_rows": 40, "chunk_rows": 60},
+    {"hot_rows": 40, "chunk_rows": 15, "burst_rows": 20},
 ])
 def test_going_on_from_open_windows(spark, options):
     rng, rows = random.Random(21), []
