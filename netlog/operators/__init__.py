@@ -1,4 +1,4 @@
-from .calls import pair_calls
+from .calls import open_calls, pair_calls
 from .decode import FLOW_COLUMNS, decode_frames
 from .endpoints import first_seen, registered_messages
 from .logs import candidates, field, flatten, parse_logs, to_line, with_fields
@@ -17,7 +17,7 @@ __all__ = [
     "FLOW_COLUMNS", "allowlist_join", "candidates", "capture_inline", "capture_verdict", "clamp_messages", "delegated_large",
     "decode_frames", "decode_records", "drop_total", "edge_verdict", "field", "first_seen", "flag_allowlist",
     "flag_interest", "flatten", "interest_join", "interest_set", "merge_sources", "message_events",
-    "message_payloads", "observe_rejects", "open_windows", "pair_calls", "parse_logs", "rate_check", "reason_counts",
+    "message_payloads", "observe_rejects", "open_calls", "open_windows", "pair_calls", "parse_logs", "rate_check", "reason_counts",
     "record_reject", "registered_messages", "resolve_payloads", "retain_latest", "sample", "size_route",
     "stage_counts", "to_line", "tuning_in_force", "with_fields", "with_payload",
 ]

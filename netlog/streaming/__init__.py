@@ -1,5 +1,8 @@
-from .calls import pair_calls_stream
-from .pipeline import stream_event_logs, stream_logs
+from .calls import pair_calls_batches, pair_calls_stream
+from .pipeline import flush_event_logs, stream_event_logs, stream_logs
 from .rate import rate_batches, rate_stream
 
-__all__ = ["pair_calls_stream", "rate_batches", "rate_stream", "stream_event_logs", "stream_logs"]
+__all__ = [
+    "flush_event_logs", "pair_calls_batches", "pair_calls_stream", "rate_batches", "rate_stream", "stream_event_logs",
+    "stream_logs",
+]

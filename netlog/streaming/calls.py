@@ -6,8 +6,36 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.calls import open_calls, pair_calls
+from .carry import read_carry, write_carry
+
+
+def pair_calls_batches(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("pid", "tid"), ts: str = "ts_ns", seq: str = "seq",
+    *, trigger: dict | None = None, **pair_options,
+) -> StreamingQuery:
+    """Run ``pair_calls`` on each micro-batch, going on from the buffers that the one before left stored.
+
+    For streams with hot threads: a micro-batch is shuffled, sorted and cut into chunks like a batch, so no thread's rows
+    are held in memory. Pairs go to ``path/pairs/batch_id=N``; a repeated micro-batch replaces them. Threads with a stored
+    buffer, one row each, are kept in ``path/open``. Rows of one micro-batch are taken in order of time, after all
+    rows of those before.
+    """
+    keys = list(keys)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        held = T.StructType([*[batch.schema[k] for k in keys], batch.schema["buf"], T.StructField("enter_ns", batch.schema[ts].dataType)])
+        opened = read_carry(batch.sparkSession, f"{path}/open", batch_id, held)
+        pairs = pair_calls(batch, keys, ts, seq, opened=opened, **pair_options)
+        pairs.write.mode("overwrite").parquet(f"{path}/pairs/batch_id={batch_id}")
+        write_carry(open_calls(batch, keys, ts, seq, opened=opened), f"{path}/open", batch_id)
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
 
 def pair_calls_stream(
     events: DataFrame, keys: Sequence[str] = ("pid", "tid"), ts: str = "ts_ns", seq: str = "seq", *,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.barrier import compute_once
 from ..operators import capture_inline, decode_frames, observe_rejects, parse_logs, resolve_payloads
 from ..schemas import INTEREST, PAYLOADS
 from ..session import configure
 from ..sources import accepted_loads, append_interest, effective_interest, read_loads, write_logs
+from .carry import read_carry, write_carry
 
 
 def stream_logs(
@@ -37,19 +39,84 @@ def stream_logs(
 
 
 def stream_event_logs(
-    events: DataFrame, path: str, checkpoint: str, *, payload_table: str | None = None, **trigger
+    events: DataFrame, path: str, checkpoint: str, *, payload_table: str | None = None, payloads: DataFrame | None = None,
+    wait_ns: int | None = None, **trigger,
 ) -> StreamingQuery:
-    """Resolve, parse and write a stream of capture events; pointer events read the payload table as it then stands."""
+    """Resolve, parse and write a stream of capture events to ``path/batch_id=N``.
+
+    Pointer events read the payload table as it then stands, and what came on ``payloads``, a stream (PAYLOADS) whose rows
+    are kept in ``path/_payloads``. With ``wait_ns``, a pointer event whose payload is not there yet, or is shorter than
+    it claims, waits in ``path/_waiting`` and is looked up again with each micro-batch, so events and payloads may come
+    in any order. It is rejected once the clock is ``wait_ns`` past its time. The clock is the latest 99th percentile of
+    a micro-batch's event and payload times, so one wrong reading rejects nothing. :func:`flush_event_logs` ends the wait
+    for a stream that has stopped. Without ``wait_ns``, such an event is rejected at once.
+
+    A micro-batch's own folders are replaced if it is repeated; what waits is a carry table (see ``carry``), written anew
+    each time with what still waits.
+    """
+    stream = events.select(F.struct(*events.columns).alias("_event"))
+    if payloads is not None:
+        stored = F.struct(*[f.name for f in T.StructType.fromDDL(PAYLOADS)])
+        stream = stream.unionByName(payloads.select(stored.alias("_payload")), allowMissingColumns=True)
+    columns = T.StructType([*events.schema.fields])
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = configure(batch.sparkSession)
-        payloads = (
-            spark.createDataFrame([], PAYLOADS) if payload_table is None
-            else spark.read.schema(PAYLOADS).parquet(payload_table)
-        )
-        logs = parse_logs(resolve_payloads(batch, payloads))
+        new = batch.where("_event IS NOT NULL").select("_event.*")
+        if payloads is not None:
+            came = batch.where("_payload IS NOT NULL").select("_payload.*")
+            came.write.mode("overwrite").parquet(f"{path}/_payloads/batch_id={batch_id}")
+        stored = _stored_payloads(spark, path, payload_table, payloads is not None)
+        if wait_ns is None:
+            logs = parse_logs(resolve_payloads(new, stored))
+            write_logs(observe_rejects(logs, f"netlog_{batch_id}"), f"{path}/batch_id={batch_id}")
+            return
+        waiting = read_carry(spark, f"{path}/_waiting", batch_id, _with_clock(columns))
+        before = waiting.agg(F.max("_clock")).scalar()
+        times = new.select("ts_ns") if payloads is None else new.select("ts_ns").union(came.select("ts_ns"))
+        now = F.greatest(before, times.agg(F.percentile_approx("ts_ns", 0.99)).scalar())
+        held = waiting.where("_waits").select(*events.columns).unionByName(new)
+        found = resolve_payloads(held.withColumn("_as_it_was", F.struct(*events.columns)), stored)
+        told = ("_as_it_was.is_ref AND _as_it_was.payload_ref IS NOT NULL AND reject_reason IN ('bad_ref', 'short_payload')"
+                " AND _as_it_was.ts_ns IS NOT NULL")
+        # judged once, so that what is written and what is kept agree
+        judged = found.withColumn("_clock", now).withColumn(
+            "_waits", F.expr(f"coalesce({told} AND (_clock IS NULL OR _as_it_was.ts_ns + {wait_ns} >= _clock), false)"))
+        judged = compute_once(judged, {"_waits": F.col("_waits")})
+        logs = parse_logs(judged.where("NOT _waits").drop("_as_it_was", "_waits", "_clock"))
         write_logs(observe_rejects(logs, f"netlog_{batch_id}"), f"{path}/batch_id={batch_id}")
+        still = judged.where("_waits").select("_as_it_was.*", "_waits", "_clock")
+        # the clock is kept even when nothing waits
+        clock = spark.range(1).select(F.lit(False).alias("_waits"), now.alias("_clock"))
+        write_carry(still.unionByName(clock, allowMissingColumns=True), f"{path}/_waiting", batch_id)
+
+    return _start(stream, write_batch, checkpoint, trigger)
+
+
+def flush_event_logs(
+    spark: SparkSession, path: str, last_batch: int, schema: str, *, payload_table: str | None = None, payloads: bool = False,
+) -> None:
+    """End the wait of what :func:`stream_event_logs` left after micro-batch ``last_batch``: resolved, or rejected for good.
+
+    Written to ``path/batch_id=flush-N``; running it again replaces that. The stream must have stopped. ``schema`` is
+    that of its events; ``payloads`` says whether it had a stream of them.
+    """
+    columns = T.StructType.fromDDL(schema)
+    waiting = read_carry(configure(spark), f"{path}/_waiting", last_batch + 1, _with_clock(columns))
+    held = waiting.where("_waits").select(*columns.fieldNames())
+    logs = parse_logs(resolve_payloads(held, _stored_payloads(spark, path, payload_table, payloads)))
+    write_logs(logs, f"{path}/batch_id=flush-{last_batch}")
+
+
+def _with_clock(columns: T.StructType) -> T.StructType:
+    return T.StructType([*columns.fields]).add("_waits", T.BooleanType()).add("_clock", T.LongType())
+
 
-    return _start(events, write_batch, checkpoint, trigger)
+def _stored_payloads(spark: SparkSession, path: str, payload_table: str | None, streamed: bool) -> DataFrame:
+    stored = (
+        spark.createDataFrame([], PAYLOADS) if payload_table is None else spark.read.schema(PAYLOADS).parquet(payload_table)
+    )
+    return stored.unionByName(spark.read.schema(PAYLOADS).parquet(f"{path}/_payloads/*")) if streamed else stored
 
 
 def _start(stream: DataFrame, write_batch, checkpoint: str, trigger: dict) -> StreamingQuery:

@@ -42,6 +42,25 @@ def test_chunked_threads_match_the_loop(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_going_on_from_open_calls(spark):
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        kind = rng.choice(["enter", "exit", "other"])
+        thread = 0 if rng.random() < 0.6 else rng.randint(1, 9)
+        rows.append((i, i // 2, 1, thread, kind, i * 10 if kind == "enter" else None,
+                     rng.choice([-1, 0, 4]) if kind == "exit" else None, DATA if kind == "exit" else None))
+    whole = nl.pair_calls(spark.createDataFrame(rows, PROBE_EVENTS))
+    want = {(r.tid, r.seq, r.buf, r.enter_ns) for r in whole.collect()}
+    for options in ({}, {"hot_rows": None}, {"hot_rows": 20, "chunk_rows": 7}):
+        got, opened = [], None
+        for start in range(0, 600, 200):
+            part = spark.createDataFrame(rows[start:start + 200], PROBE_EVENTS)
+            got += [(r.tid, r.seq, r.buf, r.enter_ns) for r in nl.pair_calls(part, opened=opened, **options).collect()]
+            left = nl.open_calls(part, opened=opened)
+            opened = spark.createDataFrame(left.collect(), left.schema)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_first_seen(spark):
     rows = [
         (0, 5, "active_established", 8080, "b"), (1, 4, "passive_established", 8080, "a"), (2, 1, "close", 8080, "x"),

@@ -8,8 +8,11 @@ from packets import frame
 import netlog as nl
 from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
-from netlog.sources import read_table_stream
-from netlog.streaming import pair_calls_stream, rate_batches, rate_stream, stream_event_logs, stream_logs
+from netlog.sources import log_lines, read_table_stream
+from netlog.streaming import (
+    flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, stream_event_logs, stream_logs,
+)
+from netlog.streaming.carry import read_carry, write_carry
 
 RATE = "k BIGINT, ts_ns BIGINT, seq BIGINT, note BIGINT"
 
@@ -132,6 +135,102 @@ def test_pair_calls_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 30, "chunk_rows": 9}])
+def test_pair_calls_batches_equals_batch_on_a_hot_thread(spark, tmp_path, options):
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        kind = rng.choice(["enter", "exit"])
+        rows.append((i, i // 2, 1, 0 if i % 5 else rng.randint(1, 4), kind, i if kind == "enter" else None,
+                     rng.choice([-1, 3, 2000]) if kind == "exit" else None, bytearray(b"y" * 2500) if kind == "exit" else None))
+    write_parts(spark, rows, PROBE_EVENTS, tmp_path / "in", 4)
+    stream = read_table_stream(spark, str(tmp_path / "in"), PROBE_EVENTS, max_files=1)
+    run_to_end(pair_calls_batches(
+        stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), trigger={"availableNow": True}, max_bytes=100, **options))
+    want = nl.pair_calls(spark.createDataFrame(rows, PROBE_EVENTS), max_bytes=100)
+    got = spark.read.parquet(str(tmp_path / "out/pairs")).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # open calls of the last two micro-batches, and no more
+    assert len(list((tmp_path / "out/open").iterdir())) == 2
+
+
+def test_carry_is_that_of_the_micro_batch_before(spark, tmp_path):
+    for batch in range(3):
+        write_carry(spark.createDataFrame([(batch,)], "v BIGINT"), str(tmp_path), batch)
+    schema = spark.createDataFrame([], "v BIGINT").schema
+    assert [r.v for r in read_carry(spark, str(tmp_path), 3, schema).collect()] == [2]
+    assert [r.v for r in read_carry(spark, str(tmp_path), 2, schema).collect()] == [1]  # repeated
+    assert read_carry(spark, str(tmp_path), 0, schema).count() == 0
+    with pytest.raises(ValueError):
+        read_carry(spark, str(tmp_path), 1, schema)
+
+
+def arrivals(n=60):
+    """Pointer events and their payloads; some share a payload, some claim a byte too many, some have none."""
+    events, stored = [], []
+    for i in range(n):
+        body = b'{"n":%d}' % (i // 2)
+        if i % 2 == 0 and i % 10:
+            stored.append((i // 2, i, 0, bytearray(body)))
+        events.append((i, "sk_msg", None, None, None, i, True, i // 2, len(body) + (i % 7 == 0), None))
+    events.append((n, "sk_msg", None, None, None, n, True, None, 5, None))
+    events.append((n + 1, "tc", None, None, None, n, False, None, 2, bytearray(b"{}")))
+    return events, stored
+
+
+@pytest.mark.parametrize("first", ["events", "payloads", "mixed"])
+def test_any_order_of_arrival_gives_the_batch_result(spark, tmp_path, first):
+    events, stored = arrivals()
+    rng = random.Random(first)
+    rng.shuffle(events)
+    rng.shuffle(stored)
+    paths = {"events": str(tmp_path / "events"), "payloads": str(tmp_path / "payloads")}
+    for kind, schema in (("events", CAPTURE_EVENTS), ("payloads", PAYLOADS)):
+        spark.createDataFrame([], schema).write.parquet(paths[kind])
+
+    def run():
+        query = stream_event_logs(
+            read_table_stream(spark, paths["events"], CAPTURE_EVENTS, max_files=1), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+            payloads=read_table_stream(spark, paths["payloads"], PAYLOADS, max_files=1), wait_ns=10**9, availableNow=True)
+        run_to_end(query)
+        return max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("batch_id=*"))
+
+    steps = [("events", events[:30]), ("events", events[30:]), ("payloads", stored[:10]), ("payloads", stored[10:])]
+    steps = {"events": steps, "payloads": steps[::-1], "mixed": [steps[i] for i in (2, 0, 3, 1)]}[first]
+    for kind, rows in steps:
+        write_parts(spark, rows, CAPTURE_EVENTS if kind == "events" else PAYLOADS, paths[kind], 2)
+        last = run()
+    flush_event_logs(spark, str(tmp_path / "out"), last, CAPTURE_EVENTS, payloads=True)
+    batch = nl.parse_logs(nl.resolve_payloads(spark.createDataFrame(events, CAPTURE_EVENTS), spark.createDataFrame(stored, PAYLOADS)))
+    want = sorted((r.channel, r.value) for r in log_lines(batch).collect())
+    assert lines(spark, str(tmp_path / "out")) == want
+
+
+def test_waiting_ends_with_the_clock(spark, tmp_path):
+    paths = str(tmp_path / "events"), str(tmp_path / "payloads")
+    spark.createDataFrame([], PAYLOADS).write.parquet(paths[1])
+
+    def step(rows, stored=()):
+        write_parts(spark, rows, CAPTURE_EVENTS, paths[0], 1)
+        if stored:
+            write_parts(spark, list(stored), PAYLOADS, paths[1], 1)
+        run_to_end(stream_event_logs(
+            read_table_stream(spark, paths[0], CAPTURE_EVENTS), str(tmp_path / "out"), str(tmp_path / "ckpt"),
+            payload_table=paths[1], wait_ns=100, availableNow=True))
+        return lines(spark, str(tmp_path / "out"))
+
+    def pointer(seq, ts):
+        return (seq, "sk_msg", None, None, None, ts, True, seq, 2, None)
+
+    assert step([pointer(0, 0), pointer(1, 50)]) == []
+    assert step([pointer(2, 90)], [(1, 0, 0, bytearray(b"{}"))]) == [("logs", "{}")]
+    # 150 is past 0 + 100, not past 90 + 100
+    found = step([pointer(3, 150)])
+    assert [json.loads(v)["seq"] for c, v in found if c == "rejects"] == [0]
+    # the payload of a rejected event is too late; that of a waiting one is not
+    found = step([pointer(4, 160)], [(0, 0, 0, bytearray(b"{}")), (2, 0, 0, bytearray(b"{}"))])
+    assert [json.loads(v)["seq"] for c, v in found if c == "rejects"] == [0] and len(found) == 3
+
+
 def test_first_seen_stream_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, rng.randint(0, 1000), rng.choice(["active_established", "close"]), rng.randint(0, 9), f"c{i}") for i in range(200)]
@@ -160,6 +259,8 @@ def packets(n):
 
 def lines(spark, path):
     got = spark.read.text(path)
+    if "channel" not in got.columns:  # nothing was written yet
+        return []
     return sorted((r.channel, r.value) for r in got.select("channel", "value").collect())
 
 
