@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +32,12 @@ PIECE_STEPS, ENCODED_BYTES = 1 << 16, 1 << 20
 # Pairs whose counts are broadcast, the most frequent ones; at some 50 bytes each.
 BROADCAST_PAIRS = 1 << 20
 SPACE = "▁"
+# A space between characters that are no white space for either side.
+CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+# A segment that has such a place on both sides of it, within a text.
+JOINS = re.compile(r" [!-~\w](.*[!-~\w])?", re.DOTALL)
+# Segments that a process keeps the ids of, twice at most, and their length at most.
+CACHE_SEGMENTS, KEPT_CHARACTERS = 100_000, 40
 
 
 def read_bytes(path: str) -> bytes:
@@ -70,7 +77,11 @@ def piece_entries(model: sentencepiece.SentencePieceProcessor) -> dict[int, byte
 
 
 class Pair:
-    """Both tokenizers. A encodes space + text, B the text, before which it puts the space by itself."""
+    """Both tokenizers. A encodes space + text, B the text, before which it puts the space by itself.
+
+    Neither side's tokens cross a place of CUT: A's pre-tokens begin with the space, and no piece of B has a space after
+    another character. So texts are cut there, and a segment that occurs again is encoded once.
+    """
 
     def __init__(self, byte_level: bytes, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -78,22 +89,64 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         self.of_a, self.of_b = Tokens(byte_level_entries(byte_level)), Tokens(piece_entries(self.b))
+        self.cuts = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.of_b.size))
         # an id's decimal digits after each separator, by separator and id
         ids = range(max(self.of_a.size, self.of_b.size))
         self.written = [sep + b"%d" % i for sep in (b"", b",", b"|", b";") for i in ids]
         self.width = np.array([len(w) for w in self.written], np.int64)
         self.ids = len(ids)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def encode(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text; none for one that is empty or whose ids don't spell space + text on both sides."""
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)]
-        b = self.b.encode(plain, num_threads=1)
-        for i, text in enumerate(texts):
-            if not text or self.of_a.spell(a[i]) != (whole := b" " + text) or self.of_b.spell(b[i]) != whole:
-                a[i], b[i] = [], []
+        plain = [" " + t.decode("utf-8", "replace") for t in texts]
+        cut = [CUT.split(t) if self.cuts else [t] for t in plain]
+        if len(self.known) > CACHE_SEGMENTS:
+            self.known, self.older = {}, self.known
+        distinct = set(chain.from_iterable(cut)).difference(self.known)
+        found = {s: self.older[s] for s in distinct if s in self.older}
+        found |= self.encode_segments([s for s in distinct if s not in found])
+        self.known |= {s: ids for s, ids in found.items() if len(s) <= KEPT_CHARACTERS}
+        found |= self.known
+        a, b = [], []
+        for text, segments in zip(texts, cut):
+            ids = list(map(found.__getitem__, segments))
+            left, right = zip(*ids) if text and None not in ids else ((), ())
+            a.append(np.frombuffer(b"".join(left), "<u4"))
+            b.append(np.frombuffer(b"".join(right), "<u4"))
         return a, b
 
+    def encode_segments(self, segments: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Packed ids of each segment on both sides; None if either doesn't spell it. Segments begin with a space.
+
+        Those that can follow each other are encoded in one go, as a text, and told apart by their lengths.
+        """
+        text = [s for s in segments if JOINS.fullmatch(s)]
+        whole = "".join(text)
+        a, b = self.ids_of(whole)
+        if not self.spells(whole, a, b):
+            text, whole = [], ""
+        ends = np.cumsum([len(s.encode()) for s in text])
+        packed = []
+        for ids, side in ((a, self.of_a), (b, self.of_b)):
+            ids = np.array(ids, "<u4")
+            at = np.append(0, np.searchsorted(np.cumsum(side.lengths[ids]), ends) + 1) * 4 if text else np.zeros(1, int)
+            data = ids.tobytes()
+            packed.append([data[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+        found: dict[str, tuple[bytes, bytes] | None] = dict(zip(text, zip(*packed)))
+        for segment in segments:
+            if segment not in found:
+                a, b = self.ids_of(segment)
+                found[segment] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if self.spells(segment, a, b) else None
+        return found
+
+    def ids_of(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+
+    def spells(self, text: str, a: list[int], b: list[int]) -> bool:
+        return self.of_a.spell(a) == (whole := text.encode()) and self.of_b.spell(b) == whole
+
 
 @lru_cache(maxsize=1)
 def pair_of(byte_level: bytes, pieces: bytes) -> Pair:
@@ -160,7 +213,7 @@ def align_block(pair: Pair, texts: list[bytes]) -> list[pa.Array]:
     """Of each text: n_a, n_b, n_groups, n_links, groups, pairs and times. All texts' tokens are merged as one sequence."""
     ids_a, ids_b = pair.encode(texts)
     n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(texts)) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+    a, b = (np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64) for ids in (ids_a, ids_b))
     end_a, end_b = np.cumsum(pair.of_a.lengths[a]), np.cumsum(pair.of_b.lengths[b])
     met = overlaps(end_a, end_b)
     doc_a, doc_b = np.repeat(np.arange(len(texts)), n_a), np.repeat(np.arange(len(texts)), n_b)

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from hypothesis import given, strategies as st
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -112,6 +112,7 @@ def test_counts_beyond_the_broadcast(spark, models, monkeypatch):
 ENDS = st.sets(st.integers(1, 60), max_size=40)
 
 
+@settings(deadline=None)
 @given(ENDS, ENDS, st.integers(1, 9))
 def test_pieces_of_any_size_give_the_same(ends_a, ends_b, steps):
     a, b = (np.array(sorted(e | {61}), np.int64) for e in (ends_a, ends_b))
@@ -121,3 +122,15 @@ def test_pieces_of_any_size_give_the_same(ends_a, ends_b, steps):
     owner = [np.searchsorted(e, np.arange(1, 62)).tolist() for e in (a, b)]
     assert list(zip(met.a.tolist(), met.b.tolist())) == sorted(set(zip(*owner)))
     assert met.common.tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+@settings(deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab .,'\n\t  ▁é0日")), max_size=60))
+def test_segments_encode_as_the_whole_text_does(models, text):
+    pair = alignment.pair_of(*(open(path, "rb").read() for path in PATHS))
+    assert pair.cuts
+    (a,), (b,) = pair.encode([text.encode()])
+    if len(a):
+        assert a.tolist() == models[0].encode(" " + text, add_special_tokens=False).ids and b.tolist() == models[1].encode(text)
+    else:
+        assert walk(models, text) == ([], [])
