@@ -1,3 +1,4 @@
+from .asof import as_of
 from .calls import open_calls, pair_calls
 from .decode import FLOW_COLUMNS, decode_frames
 from .endpoints import first_seen, registered_messages
@@ -14,7 +15,7 @@ from .ratelimit import open_windows, rate_check
 from .tuning import sample, tuning_in_force
 
 __all__ = [
-    "FLOW_COLUMNS", "allowlist_join", "candidates", "capture_inline", "capture_verdict", "clamp_messages", "delegated_large",
+    "FLOW_COLUMNS", "allowlist_join", "as_of", "candidates", "capture_inline", "capture_verdict", "clamp_messages", "delegated_large",
     "decode_frames", "decode_records", "drop_total", "edge_verdict", "field", "first_seen", "flag_allowlist",
     "flag_interest", "flatten", "interest_join", "interest_set", "merge_sources", "message_events",
     "message_payloads", "observe_rejects", "open_calls", "open_windows", "pair_calls", "parse_logs", "rate_check", "reason_counts",

@@ -280,4 +280,11 @@ FROM unusual""",
     "pair_calls_cut": "WITH paired AS (WITH " + PAIRS.format(pid="user_id + 1000", tid="user_id") + """)
 SELECT pid, tid, ts_ns, seq, buf, enter_ns, least(data_len, 5) AS data_len, left(data, 5) AS data,
   data_len AS original_size, data_len > 5 AS truncated FROM paired""",
+    "tuning_long_log": f"""WITH {TRAFFIC}, changes AS (
+  SELECT epoch_us(ts) * 1000 AS since, max(event_id) AS version, arg_max(user_id, event_id) AS max_rate_pps
+  FROM events WHERE event_type = 'error' GROUP BY 1
+)
+SELECT seq, ts_ns, coalesce(version, 1) AS version, coalesce(max_rate_pps, 1000) AS max_rate_pps,
+  CAST(1 AS BIGINT) AS sampling_num, coalesce(version % 9 + 1, 1) AS sampling_den
+FROM traffic ASOF LEFT JOIN changes ON ts_ns >= since""",
 }

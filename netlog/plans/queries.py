@@ -517,6 +517,15 @@ def pair_calls_cut(spark, sf_dir):
     return _pairs(pairs).join(pairs.select("seq", "original_size", "truncated"), "seq")
 
 
+def tuning_long_log(spark, sf_dir):
+    """A tuning record with each event of one kind: a log that is merged with the packets by time."""
+    changes = table(spark, sf_dir, "events").where("event_type = 'error'").select(
+        (_micros() * 1000).alias("effective_ns"), F.col("event_id").alias("version"), F.col("user_id").alias("max_rate_pps"),
+        F.lit(1).cast("bigint").alias("sampling_num"), (F.pmod("event_id", F.lit(9)) + 1).alias("sampling_den"))
+    packets = traffic(spark, sf_dir).select("seq", "ts_ns")
+    return op.tuning_in_force(packets, changes, max_records=10, chunk_rows=500)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -527,6 +536,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         registered_messages, interest_normalize, interest_effective, tuning_in_force, sampled, rate_check_tuned,
         record_decode, tuning_records, event_times, address_text, clamp_documents, rejects_roundtrip,
         resolve_repeated_refs, tuning_short_records, records_without_payloads, edge_reasons, capture_reasons_unusual,
-        pair_calls_cut,
+        pair_calls_cut, tuning_long_log,
     )
 }

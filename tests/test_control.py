@@ -1,5 +1,6 @@
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def test_tuning_in_force(spark):
     for bucket_ns in (1, 7, 100, 10**15):
         for max_broadcast in (1_000_000, 0):
             tuned = nl.tuning_in_force(
-                df, spark.createDataFrame(records, TUNING), bucket_ns=bucket_ns, max_broadcast=max_broadcast
+                df, spark.createDataFrame(records, TUNING), bucket_ns=bucket_ns, max_broadcast=max_broadcast,
+                max_records=0 if bucket_ns == 7 else 10, chunk_rows=2,
             )
             assert {r.ts_ns: r.max_rate_pps for r in tuned.collect()} == want
             plan = tuned._jdf.queryExecution().executedPlan().toString()
@@ -102,6 +104,28 @@ def test_sample(spark):
     assert nl.sample(df, num=1, den=0).count() == 0
 
 
+@pytest.mark.parametrize("seed, chunk_rows", [(1, 10_000), (2, 7), (3, 40), (4, 1)])
+def test_as_of_matches_the_loop(spark, seed, chunk_rows):
+    rng = random.Random(seed)
+    # bursts of both, ties of both, rows before all records, and rows and records without a time
+    rows = [(i, None if i % 50 == 0 else rng.choice([rng.randint(-5, 900), rng.randint(400, 420), 10**12])) for i in range(400)]
+    records = [(None if i == 3 else rng.choice([rng.randint(0, 800), rng.randint(405, 410)]), i, f"r{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "_row BIGINT, ts BIGINT").repartition(3)
+    log = spark.createDataFrame(records, "at BIGINT, n BIGINT, text STRING").repartition(2)
+    got = {r["_row"]: r.record and r.record.text for r in nl.as_of(df, log, "ts", "at", order=["n"], chunk_rows=chunk_rows).collect()}
+    known = [r for r in records if r[0] is not None]
+    want = {i: max((r for r in known if t is not None and r[0] <= t), default=(None,) * 3)[2] for i, t in rows}
+    assert got == want
+    assert {r.record for r in nl.as_of(df, log.limit(0), "ts", "at", order=["n"]).collect()} == {None}
+    assert nl.as_of(df.limit(0), log, "ts", "at").count() == 0
+
+
+def test_as_of_has_no_window_over_all_rows(spark):
+    df, log = spark.range(10).withColumn("ts", F.col("id")), spark.range(5).withColumn("at", F.col("id"))
+    plan = nl.as_of(df, log, "ts", "at")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_tuning_sources(spark):
     raw = spark.createDataFrame(
         [(1, 1, bytearray.fromhex("02000000F401000000000000010000000A000000")), (2, 2, bytearray(b"short")),
