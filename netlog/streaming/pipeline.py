@@ -58,7 +58,6 @@ def stream_event_logs(
     if payloads is not None:
         stored = F.struct(*[f.name for f in T.StructType.fromDDL(PAYLOADS)])
         stream = stream.unionByName(payloads.select(stored.alias("_payload")), allowMissingColumns=True)
-    columns = T.StructType([*events.schema.fields])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = configure(batch.sparkSession)
@@ -68,31 +67,40 @@ def stream_event_logs(
             came.write.mode("overwrite").parquet(f"{path}/_payloads/batch_id={batch_id}")
         stored = _stored_payloads(spark, path, payload_table, payloads is not None)
         if wait_ns is None:
-            logs = parse_logs(resolve_payloads(new, stored))
-            write_logs(observe_rejects(logs, f"netlog_{batch_id}"), f"{path}/batch_id={batch_id}")
-            return
-        waiting = read_carry(spark, f"{path}/_waiting", batch_id, _with_clock(columns))
-        before = waiting.agg(F.max("_clock")).scalar()
-        times = new.select("ts_ns") if payloads is None else new.select("ts_ns").union(came.select("ts_ns"))
-        now = F.greatest(before, times.agg(F.percentile_approx("ts_ns", 0.99)).scalar())
-        held = waiting.where("_waits").select(*events.columns).unionByName(new)
-        found = resolve_payloads(held.withColumn("_as_it_was", F.struct(*events.columns)), stored)
-        told = ("_as_it_was.is_ref AND _as_it_was.payload_ref IS NOT NULL AND reject_reason IN ('bad_ref', 'short_payload')"
-                " AND _as_it_was.ts_ns IS NOT NULL")
-        # judged once, so that what is written and what is kept agree
-        judged = found.withColumn("_clock", now).withColumn(
-            "_waits", F.expr(f"coalesce({told} AND (_clock IS NULL OR _as_it_was.ts_ns + {wait_ns} >= _clock), false)"))
-        judged = compute_once(judged, {"_waits": F.col("_waits")})
-        logs = parse_logs(judged.where("NOT _waits").drop("_as_it_was", "_waits", "_clock"))
-        write_logs(observe_rejects(logs, f"netlog_{batch_id}"), f"{path}/batch_id={batch_id}")
-        still = judged.where("_waits").select("_as_it_was.*", "_waits", "_clock")
-        # the clock is kept even when nothing waits
-        clock = spark.range(1).select(F.lit(False).alias("_waits"), now.alias("_clock"))
-        write_carry(still.unionByName(clock, allowMissingColumns=True), f"{path}/_waiting", batch_id)
+            found = resolve_payloads(new, stored)
+        else:
+            times = new.select("ts_ns") if payloads is None else new.select("ts_ns").union(came.select("ts_ns"))
+            found = resolve_or_wait(new, stored, times, f"{path}/_waiting", batch_id, wait_ns=wait_ns)
+        write_logs(observe_rejects(parse_logs(found), f"netlog_{batch_id}"), f"{path}/batch_id={batch_id}")
 
     return _start(stream, write_batch, checkpoint, trigger)
 
 
+def resolve_or_wait(
+    events: DataFrame, stored: DataFrame, times: DataFrame, path: str, batch_id: int, *, wait_ns: int,
+) -> DataFrame:
+    """``resolve_payloads`` for a micro-batch of ``events`` and those that waited: what is resolved or rejected now.
+
+    What waits on is written to ``path``. ``times`` are the micro-batch's times (``ts_ns``), by which the clock goes on.
+    """
+    spark, columns = events.sparkSession, events.columns
+    waiting = read_carry(spark, path, batch_id, _with_clock(events.schema))
+    before = waiting.agg(F.max("_clock")).scalar()
+    now = F.greatest(before, times.agg(F.percentile_approx("ts_ns", 0.99)).scalar())
+    held = waiting.where("_waits").select(*columns).unionByName(events)
+    found = resolve_payloads(held.withColumn("_as_it_was", F.struct(*columns)), stored)
+    told = ("_as_it_was.is_ref AND _as_it_was.payload_ref IS NOT NULL AND reject_reason IN ('bad_ref', 'short_payload')"
+            " AND _as_it_was.ts_ns IS NOT NULL")
+    judged = found.withColumn("_clock", now).withColumn(
+        "_waits", F.expr(f"coalesce({told} AND (_clock IS NULL OR _as_it_was.ts_ns + {wait_ns} >= _clock), false)"))
+    judged = compute_once(judged, {"_waits": F.col("_waits")})
+    still = judged.where("_waits").select("_as_it_was.*", "_waits", "_clock")
+    # the clock is kept even when nothing waits
+    clock = spark.range(1).select(F.lit(False).alias("_waits"), now.alias("_clock"))
+    write_carry(still.unionByName(clock, allowMissingColumns=True), path, batch_id)
+    return judged.where("NOT _waits").drop("_as_it_was", "_waits", "_clock")
+
+
 def flush_event_logs(
     spark: SparkSession, path: str, last_batch: int, schema: str, *, payload_table: str | None = None, payloads: bool = False,
 ) -> None:

@@ -4,13 +4,16 @@ import random
 
 import pytest
 from packets import frame
+from pyspark.sql import functions as F
+from test_payloads import record
 
 import netlog as nl
 from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
 from netlog.sources import log_lines, read_table_stream
 from netlog.streaming import (
-    flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, stream_event_logs, stream_logs,
+    flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, run_stream, stream_counts,
+    stream_event_logs, stream_logs,
 )
 from netlog.streaming.carry import read_carry, write_carry
 
@@ -372,3 +375,62 @@ def test_run_batch_with_all_producers(spark, tmp_path):
     assert sum(r["source"] == "sk_msg" for r in rejected) == 1
     assert out["flows"].count() == out["verdicts"].count() == 40
     assert sum(r.rows for r in out["edge_counts"].collect()) == 40
+
+
+@pytest.mark.parametrize("wait_ns", [None, 10**12])
+def test_run_stream_equals_run_batch_also_after_a_restart(spark, tmp_path, wait_ns):
+    rng = random.Random(6)
+    big = b'{"m":"' + b"x" * 3000 + b'"}'
+    rows = {
+        "frames": (packets(90), FRAMES),
+        "conn_events": ([(i, i, "passive_established", 80 + i, f"c{i}") for i in range(3)], CONN_EVENTS),
+        "messages": ([(i, 10 + i, 80 + i % 5, 6, "c", bytearray(big + b" " * i)) for i in range(30)], MESSAGES),
+        "probe_events": ([(i, i, 1, rng.randint(0, 2), kind, i if kind == "enter" else None, 7 if kind == "exit" else None,
+                           bytearray(b'{"t":1}garbage') if kind == "exit" else None)
+                          for i, kind in enumerate(rng.choice(["enter", "exit"]) for _ in range(80))], PROBE_EVENTS),
+        "records": ([(i, bytearray(record(8, b'{"r": 1}', is_ref=i % 2, offset=i // 2, ts=i))) for i in range(40)], "seq BIGINT, record BINARY"),
+    }
+    config = tmp_path / "intercept.yaml"
+    config.write_text("intercept:\n  - {port: 443, protocol: tcp}\n  - {port: 8080, protocol: tcp}\n")
+    allow = spark.createDataFrame([(31, 0x0A000000), (32, 0x0A000002)], ALLOWLIST)
+    out = str(tmp_path / "out")
+
+    def feed(share):
+        for name, (made, schema) in rows.items():
+            # connections come first, so that every message finds its endpoint
+            half = len(made) if name == "conn_events" else len(made) // 2
+            part = made[:half] if share == 0 else made[half:]
+            if part:
+                write_parts(spark, part, schema, tmp_path / name, 1)
+
+    def run():
+        run_to_end(run_stream(
+            out, str(tmp_path / "ckpt"), interest_table=str(tmp_path / "loads"), interest_config=str(config), allowlist=allow,
+            window_ns=20_000, threshold=1, wait_ns=wait_ns, availableNow=True,
+            **{name: read_table_stream(spark, str(tmp_path / name), schema, max_files=1) for name, (_, schema) in rows.items()}))
+
+    feed(0)
+    run()
+    feed(1)
+    run()
+    batch = run_batch(
+        spark, str(tmp_path / "batch"), interest=spark.createDataFrame([(443, 6, None), (8080, 6, None)], INTEREST), allowlist=allow,
+        window_ns=20_000, threshold=1, **{name: spark.createDataFrame(made, schema) for name, (made, schema) in rows.items()})
+
+    def stored(name, columns):
+        return sorted(map(tuple, spark.read.parquet(f"{out}/{name}").select(columns).collect()), key=repr)
+
+    for name in ("flows", "verdicts"):
+        assert stored(name, batch[name].columns) == sorted(map(tuple, batch[name].collect()), key=repr)
+    want = lines(spark, str(tmp_path / "batch/logs"))
+    if wait_ns is None:  # pointers of records that come before their message are rejected then
+        want = [line for line in want if '"source":"records"' not in line[1] and line[1] != '{"m"' and line[0] == "logs"]
+        assert {line for line in want} <= set(lines(spark, f"{out}/logs"))
+    else:
+        waiting = spark.read.parquet(f"{out}/state/waiting").where("_waits").groupBy("_batch_id").count().orderBy(F.desc("_batch_id")).first()
+        got = lines(spark, f"{out}/logs")
+        assert set(got) <= set(want) and len(want) - len(got) == waiting["count"]
+        assert all('"bad_ref"' in line[1] for line in set(want) - set(got))
+    counts = {(r.kind, r.reason): r.rows for r in stream_counts(spark, out).collect()}
+    assert {k[1]: n for k, n in counts.items() if k[0] == "edge"} == {r.edge_reason: r.rows for r in batch["edge_counts"].collect()}
+    assert {k[1]: n for k, n in counts.items() if k[0] == "capture"} == {r.capture_reason: r.rows for r in batch["capture_counts"].collect()}
