@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.bits import monotonic_to_timestamp
 from ..operators.ratelimit import open_windows, rate_check
 from ..schemas import RATE_THRESHOLD, RATE_WINDOW_NS
+from ..session import remove_folder
+
+
+# Micro-batches from one that writes all keys' windows to the next.
+SNAPSHOT_EVERY = 20
 
 
 def rate_batches(
@@ -22,32 +27,47 @@ def rate_batches(
     """Run ``rate_check`` on each micro-batch, going on from the windows the one before left open.
 
     For streams with hot keys: a micro-batch is shuffled, sorted and cut into chunks like a batch, so no key's rows are
-    held in memory. Rows go to ``path/rows/batch_id=N``, open windows to ``path/open/batch_id=N``; a repeated
-    micro-batch replaces both. All keys keep their last window, so one wrong clock reading changes no other key. With
-    ``lateness_ns``, windows that ended so long before the 99th percentile of a micro-batch's times are forgotten; state
-    then stays bounded, and rows later than that open a new window.
+    held in memory. Rows go to ``path/rows/batch_id=N``, the windows of the keys that came to ``path/open/batch_id=N``; a
+    repeated micro-batch replaces both. Every ``SNAPSHOT_EVERY``-th writes the windows of all keys, and folders from
+    before the last such snapshot are removed with the next. All keys keep their last window, so one wrong clock reading
+    changes no other key. With ``lateness_ns``, a snapshot leaves out windows that ended so long before the 99th
+    percentile of its micro-batch's times; state then stays bounded, and rows later than that may open a new window.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        opened = None
-        if batch_id > 0:
-            opened = spark.read.parquet(f"{path}/open/batch_id={batch_id - 1}")
+        opened = _open_before(spark, path, batch_id, keys)
         checked = rate_check(
             batch, keys, ts, order, window_ns=window_ns, threshold=threshold, opened=opened, **check_options
         ).withColumn("late", F.col(ts) < F.col("window_start"))
         rows = f"{path}/rows/batch_id={batch_id}"
         checked.write.mode("overwrite").parquet(rows)
         written = spark.read.schema(checked.schema).parquet(rows)
-        left = open_windows(written, keys, opened=opened)
-        if lateness_ns is not None:
+        whole = batch_id % SNAPSHOT_EVERY == 0
+        left = open_windows(written, keys, opened=opened if whole else None)
+        if whole and lateness_ns is not None:
             now = written.agg(F.percentile_approx(ts, 0.99)).scalar()
             left = left.where(now.isNull() | (F.col("window_start") + window_ns + lateness_ns >= now))
         left.write.mode("overwrite").parquet(f"{path}/open/batch_id={batch_id}")
+        if whole:
+            last = batch_id - SNAPSHOT_EVERY
+            for old in range(max(0, last - SNAPSHOT_EVERY), last):
+                remove_folder(spark, f"{path}/open/batch_id={old}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def _open_before(spark: SparkSession, path: str, batch_id: int, keys: Sequence[str]) -> DataFrame | None:
+    """Each key's last window before a micro-batch: of the last snapshot and what came since. None for the first."""
+    if batch_id == 0:
+        return None
+    since = (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    folders = [f"{path}/open/batch_id={n}" for n in range(since, batch_id)]
+    windows = spark.read.option("basePath", f"{path}/open").parquet(*folders)
+    last = windows.groupBy(*keys).agg(F.max_by(F.struct("window_start", "n"), "batch_id").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def rate_stream(
     df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], *, window_ns: int = RATE_WINDOW_NS,
     threshold: int | Column = RATE_THRESHOLD, lateness: str | None = None, boot_ns: int = 0,

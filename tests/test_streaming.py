@@ -15,6 +15,7 @@ from netlog.streaming import (
     flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, run_stream, stream_counts,
     stream_event_logs, stream_logs,
 )
+from netlog.streaming import rate
 from netlog.streaming.carry import read_carry, write_carry
 
 RATE = "k BIGINT, ts_ns BIGINT, seq BIGINT, note BIGINT"
@@ -83,6 +84,24 @@ def test_rate_batches_equals_batch(spark, tmp_path, options):
     assert {r["count"] for r in kept.groupBy("batch_id").count().collect()} <= {1, 2, 3, 4}
 
 
+def test_rate_batches_write_only_keys_that_came_and_drop_what_is_old(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rate, "SNAPSHOT_EVERY", 3)
+    rows = [(k, 10 * b + j, 100 * b + 10 * j + k, None) for b in range(8) for j in range(3) for k in ({0, b} if b else range(6))]
+    for b in range(8):
+        part = spark.createDataFrame([r for r in rows if r[2] // 100 == b], RATE).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = read_table_stream(spark, str(tmp_path / "in"), RATE, max_files=1)
+    rates = {"window_ns": 25, "threshold": 2}
+    run_to_end(rate_batches(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), ["k"], "ts_ns", ["seq"],
+                            trigger={"availableNow": True}, **rates))
+    got = {r.seq: (r.window_start, r.n) for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
+    want = nl.rate_check(spark.createDataFrame(rows, RATE), ["k"], "ts_ns", ["seq"], **rates)
+    assert got == {r.seq: (r.window_start, r.n) for r in want.collect()}
+    kept = {r.batch_id: r["count"] for r in spark.read.parquet(str(tmp_path / "out/open")).groupBy("batch_id").count().collect()}
+    # of each: key 0 and one more, or all keys; what came before the snapshot before the last is gone
+    assert kept == {3: 6, 4: 2, 5: 2, 6: 7, 7: 2}
+
+
 def test_one_wrong_clock_reading_closes_no_window(spark, tmp_path):
     batches = [[(0, 0, 1), (1, 1, 1), (2, 10**15, 2)], [(3, 2, 1), (4, 3, 1)]]
     schema = "seq BIGINT, ts_ns BIGINT, k BIGINT"
