@@ -26,6 +26,17 @@ def has_lone_surrogate(text: Column) -> Column:
     return (text.contains("\\ud") | text.contains("\\uD")) & single.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")
 
 
+def has_infinite_number(text: Column) -> Column:
+    """Whether a number of a JSON text is beyond the range of a double. Most texts end at the first test.
+
+    Escapes go first, so that what remains of strings holds no quotes, then strings; the numbers left are read as doubles.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', '""')
+    numbers = F.regexp_extract_all(bare, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"))
+    infinite = F.exists(numbers, lambda x: F.abs(x.try_cast("double")) == float("inf"))
+    return text.rlike(r"[eE]\+?[0-9]{3}|[0-9]{309}") & infinite
+
+
 def strict_json(text: Column) -> tuple[Column, Callable]:
     """One-parse strict check.
 

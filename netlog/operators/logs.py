@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.barrier import compute_once
-from ..functions.documents import has_lone_surrogate, is_json_object_text, strict_json
+from ..functions.documents import has_infinite_number, has_lone_surrogate, is_json_object_text, strict_json
 from ..schemas import MAX_JSON_BYTES
 
 
@@ -25,7 +25,7 @@ def parse_logs(df: DataFrame, col: str = "data", *, max_bytes: int = MAX_JSON_BY
         .when(F.col(col).isNull() | (size == 0), "empty")
         .when(size > max_bytes, "too_large")
         .when(~F.is_valid_utf8(text), "bad_json")
-        .when(~is_json_object_text(text) | has_lone_surrogate(text), "bad_json")
+        .when(~is_json_object_text(text) | has_lone_surrogate(text) | has_infinite_number(text), "bad_json")
     )
     wrapped, read = strict_json(text)
     guarded = df.withColumn("_guard", guard)

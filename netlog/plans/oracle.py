@@ -287,4 +287,7 @@ SELECT pid, tid, ts_ns, seq, buf, enter_ns, least(data_len, 5) AS data_len, left
 SELECT seq, ts_ns, coalesce(version, 1) AS version, coalesce(max_rate_pps, 1000) AS max_rate_pps,
   CAST(1 AS BIGINT) AS sampling_num, coalesce(version % 9 + 1, 1) AS sampling_den
 FROM traffic ASOF LEFT JOIN changes ON ts_ns >= since""",
+    "json_numbers": r"""SELECT event_id, CASE WHEN fits THEN user_id END AS k, CASE WHEN fits THEN '1e999 \"' END AS s,
+  CASE WHEN NOT fits THEN 'bad_json' END AS reject_reason
+FROM (SELECT event_id, user_id, event_id % 620 <= 308 AS fits FROM events)""",
 }

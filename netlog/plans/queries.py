@@ -517,6 +517,14 @@ def pair_calls_cut(spark, sf_dir):
     return _pairs(pairs).join(pairs.select("seq", "original_size", "truncated"), "seq")
 
 
+def json_numbers(spark, sf_dir):
+    """Numbers up to and beyond the range of a double, and the same as text."""
+    power = F.pmod("event_id", F.lit(620))
+    made = F.concat(F.lit('{"s":"1e999 \\\\\\"","k":['), F.col("user_id"), F.lit("e0,-1E+"), power, F.lit("]}"))
+    logs = op.parse_logs(table(spark, sf_dir, "events").select("event_id", made.alias("data")))
+    return logs.select("event_id", F.try_variant_get("doc", "$.k[0]", "bigint").alias("k"), op.field("s").alias("s"), "reject_reason")
+
+
 def tuning_long_log(spark, sf_dir):
     """A tuning record with each event of one kind: a log that is merged with the packets by time."""
     changes = table(spark, sf_dir, "events").where("event_type = 'error'").select(
@@ -536,6 +544,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         registered_messages, interest_normalize, interest_effective, tuning_in_force, sampled, rate_check_tuned,
         record_decode, tuning_records, event_times, address_text, clamp_documents, rejects_roundtrip,
         resolve_repeated_refs, tuning_short_records, records_without_payloads, edge_reasons, capture_reasons_unusual,
-        pair_calls_cut, tuning_long_log,
+        pair_calls_cut, tuning_long_log, json_numbers,
     )
 }

@@ -98,3 +98,12 @@ def test_counts(spark):
     assert {r.reject_reason: r.rows for r in nl.reason_counts(logs, "reject_reason").collect()} == {
         None: 2, "bad_json": 1, "empty": 1
     }
+
+
+def test_numbers_beyond_a_double_are_bad(spark):
+    good = ['{"a":1e308}', '{"a":-1E+308}', '{"a":1e-400}', '{"a":"1e400"}', '{"1e400":"\\\\\\"1e400"}', '{"a":0e999}',
+            '{"a":%s}' % ("9" * 308), '{"a":"%s"}' % ("9" * 400), '{"a":"x\\\\","b":"1e999"}', '{"a":"%s 1e999"}' % ('\\"' * 20_000)]
+    bad = ['{"a":1e309}', '{"a":-1E+400}', '{"a":[{"b":2.5e308}]}', '{"a":%s}' % ("9" * 310), '{"s":"\\"","a":1e999}', '{"a":"\\\\","b":1e999}']
+    rows = [(i, text) for i, text in enumerate(good + bad)]
+    got = {r.i: r.reject_reason for r in nl.parse_logs(spark.createDataFrame(rows, "i INT, data STRING")).collect()}
+    assert [got[i] for i in range(len(rows))] == [None] * len(good) + ["bad_json"] * len(bad)
