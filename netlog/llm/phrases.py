@@ -18,16 +18,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import as_table
-from .hot import join_groups
-from .text import BLOCK_BYTES, as_bytes, hash_words, in_blocks, release, rolling
+from .hot import bit_filter, join_groups
+from .text import as_bytes, hash_words, in_blocks, mix, release, rolling
 
 # Mean words from one window to the next.
-EVERY = 16
+EVERY = 32
 MAX_WORDS, LEAST, TOP, INSIDE = 3, 10, 2_000, 50
 # Ends of pieces, which no phrase crosses, become line feeds; tabs become spaces.
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 CUTS = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 NO_LANG = "und"
+# Bits of the filter of frequent phrases (16 MB), and bytes of its rows. A full filter lets more through, no fewer.
+FREQUENT_BITS, BUCKET_BYTES = 27, 4_096
+# Bytes of chunks whose phrases are summed together before they are shuffled.
+COUNTED_BYTES = 8 << 20
 # Parts in which a language's phrases are ranked before their best are ranked together.
 PARTS = 64
 
@@ -36,33 +40,32 @@ PARTS = 64
 class Words:
     """The words of a block of bytes that are cut at spaces and line feeds."""
 
+    data: bytes  # without two spaces one after the other
+    start: np.ndarray  # byte where each word starts, and byte after it
+    end: np.ndarray
     ids: np.ndarray  # number of each word's entry in ``known``
-    known: list[bytes]
+    known: pa.Array
     piece: np.ndarray  # line feeds before each word
-    start: np.ndarray  # byte where each word starts
-    joined: bytes  # all words with one space between
-    at: np.ndarray  # where in ``joined`` each word starts; one more entry for the end
 
     def phrases(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
-        """Words ``first`` to ``last`` (one beyond) of each, joined by one space."""
-        return [self.joined[a:b] for a, b in zip(self.at[first].tolist(), (self.at[last] - 1).tolist())]
+        """Words ``first`` to ``last`` (one beyond) of each, which are in one piece."""
+        return [self.data[a:b] for a, b in zip(self.start[first].tolist(), self.end[last - 1].tolist())]
 
 
 def cut_words(data: bytes) -> Words:
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
     chars = np.frombuffer(data, np.uint8)
     inside = (chars != 32) & (chars != 10)
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     start, end = edges[::2], edges[1::2]
-    lengths, count = end - start, len(start)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    letters = chars[inside]
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     coded = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    joined = np.full(len(letters) + count, 32, np.uint8)
-    joined[np.arange(len(letters)) + np.repeat(np.arange(count), lengths)] = letters
-    piece = np.searchsorted(np.flatnonzero(chars == 10), start)
-    return Words(coded.indices.to_numpy(), coded.dictionary.to_pylist(), piece, start, joined.tobytes(),
-                 offsets + np.arange(count + 1))
+        pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(chars[inside])]).dictionary_encode()
+    lines = np.zeros(len(start), np.int64)
+    after = np.searchsorted(start, np.flatnonzero(chars == 10))
+    np.add.at(lines, after[after < len(start)], 1)
+    return Words(data, start, end, coded.indices.to_numpy(), coded.dictionary, np.cumsum(lines))
 
 
 def chunks_of(texts: list[bytes], window: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -72,7 +75,7 @@ def chunks_of(texts: list[bytes], window: int) -> tuple[np.ndarray, list[bytes],
     count = len(words.ids)
     if not count:
         return np.empty(0, np.int64), [], np.empty(0, np.int64)
-    hashes = hash_words(words.known)[words.ids]
+    hashes = hash_words(as_bytes(words.known))[words.ids]
     begin = np.ones(count, bool)
     begin[1:] = words.piece[1:] != words.piece[:-1]
     whole = np.flatnonzero(words.piece[:count - window + 1] == words.piece[window - 1:]) if count >= window else []
@@ -81,10 +84,16 @@ def chunks_of(texts: list[bytes], window: int) -> tuple[np.ndarray, list[bytes],
     after = np.append(first[1:], count)
     closed = np.zeros(len(first), bool)
     closed[:-1] = words.piece[first[1:]] == words.piece[first[:-1]]
-    of = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), words.start[first], "right")
+    pieces = np.cumsum([d.count(b"\n") + 1 for d in data])
+    of = np.searchsorted(pieces, words.piece[first], "right")
     return of, words.phrases(first, after + np.where(closed, window, 0)), after - first
 
 
+def summed(counts: DataFrame, *keys: str) -> DataFrame:
+    """The sums of ``n``. Blocks are summed already, one row per key, so they are dealt out before they are summed again."""
+    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def parse(docs: DataFrame, window: int) -> DataFrame:
     """(lang, chunk, starts, n) of (lang, text): the dictionary of distinct chunks, and how often each occurs."""
     schema = StructType([StructField("lang", StringType()), StructField("chunk", StringType()),
@@ -105,68 +114,106 @@ def parse(docs: DataFrame, window: int) -> DataFrame:
                         [found["lang"], found["chunk"].cast(pa.string()), found["starts"], found["count_all"]], schema.names)
         release()
 
-    counted = docs.mapInArrow(run, schema).groupBy("lang", "chunk", "starts").agg(F.sum("n").alias("n"))
-    return as_table(counted, "phrase-chunks")
+    return as_table(summed(docs.mapInArrow(run, schema), "lang", "chunk", "starts"), "phrase-chunks")
 
 
-def count_block(langs: list[str], chunks: list[bytes], starts: np.ndarray, times: np.ndarray, max_words: int) -> pa.RecordBatch:
-    """(lang, words, phrase, n) of all phrases that start in the chunks, before their closing windows. Exact integers."""
-    words = cut_words(b"\n".join(chunks))
-    count = len(words.ids)
-    lang_names, lang = np.unique(np.array(langs, object), return_inverse=True)
-    known, place = np.int64(len(words.known)), np.arange(count)
-    first = np.searchsorted(words.piece, words.piece)  # the chunk's first word
-    live = place[place - first < starts[words.piece]]
-    code = lang[words.piece].astype(np.int64)  # of the phrase so far, at each place where one starts
-    out: list[list] = [[], [], [], []]
-    for size in range(1, max_words + 1):
-        last = live + size - 1
-        live = live[last < count]
-        live = live[words.piece[live + size - 1] == words.piece[live]]
-        if not len(live):
-            break
-        key = code[live] * known + words.ids[live + size - 1]
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        code[live[order]] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        one = live[order[at]]
-        out[0].append(lang[words.piece[one]])
-        out[1].append(np.full(len(at), size, np.int32))
-        out[2] += words.phrases(one, one + size)
-        out[3].append(np.add.reduceat(times[words.piece[live[order]]], at))
-    numbers = np.concatenate(out[0]) if out[0] else np.empty(0, np.int64)
+def phrase_hashes(words: Words, lang_of: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the language and the ``size`` words at each place, as far as so many follow."""
+    rolled = rolling(hash_words(as_bytes(words.known))[words.ids], size)
+    return mix(rolled ^ lang_of[words.piece[:len(rolled)]])
+
+
+def coded_langs(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A column's languages, each row's number among them, and each row's language as a hash."""
+    coded = column.combine_chunks().dictionary_encode()
+    number = coded.indices.to_numpy()
+    return coded.dictionary, number.astype(np.int64), hash_words(as_bytes(coded.dictionary))[number]
+
+
+def joined_lines(column: pa.ChunkedArray) -> bytes:
+    """All values, one a line."""
+    values = column.combine_chunks().cast(pa.binary())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), b"\n")[0].as_py()
+
+
+def count_block(rows: pa.Table, size: int, frequent: np.ndarray | None) -> pa.RecordBatch:
+    """(lang, phrase, n) of the phrases of ``size`` words that start in the chunks of ``rows``, before their closing windows.
+
+    With ``frequent``, a filter's bits, only those whose first and last ``size - 1`` words are both in it.
+    """
+    langs, lang, lang_hash = coded_langs(rows["lang"])
+    words = cut_words(joined_lines(rows["chunk"]))
+    starts, times = rows["starts"].to_numpy(), rows["n"].to_numpy()
+    place = np.arange(len(words.ids))
+    until = np.searchsorted(words.piece, np.arange(len(starts))) + starts
+    live = place[place < until[words.piece]]
+    live = live[live + size <= len(place)]
+    live = live[words.piece[live + size - 1] == words.piece[live]]
+    if frequent is not None and len(live):
+        at = phrase_hashes(words, lang_hash, size - 1) % np.uint64(len(frequent) * 8)
+        told = frequent[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+        live = live[told[live] & told[live + 1]]
+    code, most = lang[words.piece[live]], len(langs)
+    for i in range(size):  # one number for the language and the words so far
+        if most * len(words.known) >= 1 << 62:
+            known, code = np.unique(code, return_inverse=True)
+            most = len(known)
+        code, most = code * len(words.known) + words.ids[live + i], most * len(words.known)
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    one = live[order[first]]
+    counts = np.add.reduceat(times[words.piece[live[order]]], first) if len(first) else np.empty(0, np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(lang_names[numbers], pa.string()), pa.array(np.concatenate(out[1]) if out[1] else [], pa.int32()),
-         pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(np.concatenate(out[3]) if out[3] else [], pa.int64())],
-        ["lang", "words", "phrase", "n"])
+        [langs.take(pa.array(lang[words.piece[one]])), pa.array(words.phrases(one, one + size), pa.binary()).cast(pa.string()),
+         pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+
 
+def bounded_tables(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The batches, put together to some COUNTED_BYTES of ``column`` each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch[column])).as_py() or 0
+        if size >= COUNTED_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-def count_phrases(chunks: DataFrame, max_words: int) -> DataFrame:
-    """(lang, words, phrase, n): how often each phrase of up to ``max_words`` words occurs. Summed per block of chunks first."""
-    schema = StructType([StructField("lang", StringType()), StructField("words", IntegerType()),
-                         StructField("phrase", StringType()), StructField("n", LongType())])
 
+def frequent_bits(counts: DataFrame, size: int) -> np.ndarray:
+    """The bits of a filter that holds the phrases of ``counts`` (lang, phrase), each of ``size`` words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        for rows in bounded_tables(batches, "phrase"):
+            _, _, lang_hash = coded_langs(rows["lang"])
+            words = cut_words(joined_lines(rows["phrase"]))
+            made = phrase_hashes(words, lang_hash, size)[::size]
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], ["h"])
+        release()
 
-        def counted() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            return count_block(rows["lang"].to_pylist(), as_bytes(rows["chunk"]), rows["starts"].to_numpy(),
-                               rows["n"].to_numpy(), max_words)
+    rows = bit_filter(counts.select("lang", "phrase").mapInArrow(run, "h long"), "h", FREQUENT_BITS).collect()
+    bits = np.zeros((1 << FREQUENT_BITS) // 8, np.uint8)
+    for bucket, held in rows:
+        start = (bucket - 1) * BUCKET_BYTES
+        bits[start:start + BUCKET_BYTES] = np.frombuffer(held, np.uint8)
+    return bits
 
-        for batch in batches:
-            held.append(batch)
-            size += pc.sum(pc.binary_length(batch["chunk"])).as_py() or 0
-            if size >= BLOCK_BYTES:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
 
-    return chunks.select("lang", "chunk", "starts", "n").mapInArrow(run, schema).groupBy("lang", "words", "phrase").agg(
-        F.sum("n").alias("n"))
+def count_phrases(chunks: DataFrame, size: int, least: int, shorter: DataFrame | None) -> DataFrame:
+    """(lang, phrase, n) of the phrases of ``size`` words that occur ``least`` times. Summed per block of chunks first.
+
+    A phrase is no more frequent than its parts: those that ``shorter``, the result for one word less, leaves out are not
+    even sent, as far as a filter of fixed size tells.
+    """
+    bits = chunks.sparkSession.sparkContext.broadcast(None if shorter is None else frequent_bits(shorter, size - 1))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bounded_tables(batches, "chunk"):
+            yield count_block(rows, size, bits.value)
+        release()
+
+    counted = summed(chunks.select("lang", "chunk", "starts", "n").mapInArrow(run, "lang string, phrase string, n long"), "lang", "phrase")
+    return as_table(counted.where(F.col("n") >= least), f"phrase-counts-{size}")
 
 
 def collocations(
@@ -182,7 +229,8 @@ def collocations(
     the language's words. Order: score and ``a`` descending, phrase ascending by bytes.
 
     Counts are integers throughout; scores are formed with 38 digits, and Spark raises an error beyond them (a > 10^15).
-    Texts go through one scan; what is shuffled is distinct chunks, then distinct phrases, each summed within tasks.
+    Texts go through one scan; what is shuffled is distinct chunks, then distinct phrases, each summed within tasks. The
+    dictionary is read once for each number of words; a phrase is sent if both its parts of a word less are frequent.
     Joins with the parts' counts broadcast fewer than 1,000 frequent parts and shuffle the rest.
 
     Null and empty texts have no words, a null language is NO_LANG. Repeated rows count as often as they are there. A
@@ -192,8 +240,11 @@ def collocations(
                          F.col(f"`{text}`").cast("binary").alias("text"))
     chunks = parse(source, max_words - 1)
     sizes = chunks.groupBy("lang").agg(F.sum(F.col("starts") * F.col("n")).alias("n_words"))
-    # a part occurs at least as often as the phrase
-    counts = as_table(count_phrases(chunks, max_words).where(F.col("n") >= least), "phrase-counts")
+    counts, by_size = None, None
+    for size in range(1, max_words + 1):
+        by_size = count_phrases(chunks, size, least, by_size)
+        sized = by_size.withColumn("words", F.lit(size))
+        counts = sized if counts is None else counts.unionByName(sized)
     total = sizes.agg(F.sum("n_words")).first()[0] or 0
 
     def part(first: int | str, length: int | str) -> str:

@@ -85,12 +85,16 @@ def test_chunks_meet_at_windows_and_overlaps_count_once(spark):
     chunks = phrases.parse(df, 2)
     starts = sum(r.starts * r.n for r in chunks.collect())
     assert starts == sum(len(w) for _, t, _ in rows for w in pieces(t))
-    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in phrases.count_phrases(chunks, 3).collect()}
-    assert got == counted(rows, 3)
+    for least in (1, 4):
+        got, shorter = {}, None
+        for size in (1, 2, 3):
+            shorter = phrases.count_phrases(chunks, size, least, shorter)
+            got |= {(r.lang, tuple(r.phrase.split(" "))): r.n for r in shorter.collect()}
+        assert got == {p: n for p, n in counted(rows, 3).items() if n >= least}
 
 
 def test_equal_passages_give_equal_chunks():
-    passage = " ".join(f"p{i}" for i in range(400))
+    passage = " ".join(f"p{i}" for i in range(800))
     a, b = (phrases.chunks_of([start + passage.encode() + b" end"], 2)[1] for start in (b"", b"other words before "))
     assert len(set(a) & set(b)) > 0.8 * len(a) > 10
 
