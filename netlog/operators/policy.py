@@ -10,9 +10,14 @@ from ..functions.barrier import compute_once
 from ..schemas import (
     INLINE_MAX, LOOPBACK_IP, PROTO_TCP, PROTO_UDP, RATE_THRESHOLD, RATE_WINDOW_NS, SSH_PORT,
 )
+from .asof import as_of
 from .ratelimit import rate_check
 from .sizes import BROADCAST_ROWS
 
+# Keys that prefixes are expanded to, at most.
+MAX_KEYS = 4_000_000
+LAST_ADDRESS = 0xFFFFFFFF
+
 
 def interest_set(interest: DataFrame) -> DataFrame:
     """Distinct valid ``(dst_port, proto)``. At most 65,536 ports x 2 protocols, so it is always safe to broadcast."""
@@ -38,27 +43,70 @@ def flag_interest(flows: DataFrame, interest: DataFrame, *, flag: str = "of_inte
     return joined.withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_port", "_proto", "_hit")
 
 
+def _prefixes(allowlist: DataFrame) -> DataFrame:
+    return allowlist.where(f"plen BETWEEN 0 AND 32 AND net BETWEEN 0 AND {LAST_ADDRESS}")
+
+
+def allowlist_rejects(allowlist: DataFrame) -> DataFrame:
+    """The rows of ``allowlist`` that are no IPv4 prefix, with ``reject_reason``: ``bad_plen`` or ``bad_net``."""
+    reason = (
+        F.when(F.col("plen").isNull() | ~F.col("plen").between(0, 32), "bad_plen")
+        .when(F.col("net").isNull() | ~F.col("net").between(0, LAST_ADDRESS), "bad_net")
+    )
+    return allowlist.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+
+
+def prefix_intervals(allowlist: DataFrame) -> DataFrame:
+    """(first, plen): disjoint intervals of addresses, from each ``first`` up to the next, with their longest prefix.
+
+    Two prefixes are apart or one holds the other. So where a prefix begins, the longest that begins there counts; where
+    one ends and none begins, the longest that holds the address does, which is looked up by equality for each
+    length in use. NULL where no prefix holds. At most two rows per prefix; nothing is expanded or ordered in one task.
+    """
+    size = F.expr("shiftleft(1L, 32 - plen)")
+    known = _prefixes(allowlist).select(
+        F.col("plen").cast("int").alias("plen"), (F.col("net") - F.pmod("net", size)).cast("bigint").alias("first")).distinct()
+    begins = known.groupBy("first").agg(F.max("plen").alias("plen"))
+    ends = known.select((F.col("first") + size).alias("first")).where(F.col("first") <= LAST_ADDRESS).distinct()
+    ends = ends.join(begins, "first", "left_anti")
+    lengths = [r.plen for r in known.select("plen").distinct().collect()]
+    asked = ends.select("first", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")).alias("plen"))
+    asked = asked.withColumn("_held", F.col("first") - F.pmod("first", size))
+    held = asked.join(known.withColumnRenamed("first", "_held"), ["plen", "_held"])
+    longest = held.groupBy("first").agg(F.max("plen").alias("plen"))
+    return begins.union(ends.join(longest, "first", "left").select("first", "plen"))
+
+
 def flag_allowlist(
     flows: DataFrame, allowlist: DataFrame, *, ip: str = "src_ip", match: str = "allow_plen",
-    max_broadcast: int = BROADCAST_ROWS,
+    max_broadcast: int = BROADCAST_ROWS, max_keys: int = MAX_KEYS,
 ) -> DataFrame:
     """Longest matching prefix length of ``allowlist(plen, net)``, NULL where none matches. One row in, one row out.
 
     Prefixes are expanded to the next length of 8, 16, 24 or 32 (at most 256 keys each), keeping the longest per key.
     Each length in use is then one equality join with unique keys, so nothing is exploded on the flow side. One small
     job first counts the keys of each length: up to ``max_broadcast`` they are broadcast, beyond that joined by
-    shuffle, where adaptive skew handling splits a hot address.
+    shuffle, where adaptive skew handling splits a hot address. Beyond ``max_keys`` in all, nothing is expanded: the
+    prefixes become disjoint intervals (``prefix_intervals``), each distinct address is looked up in them once by a merge
+    of both in order, and one join brings the result to the flows. Rows of ``allowlist`` that are no prefix match nothing;
+    ``allowlist_rejects`` tells them.
     """
     stride = F.expr("case when plen = 0 then 8 else cast(ceil(plen / 8) * 8 as int) end")
     # the range of keys starts on the prefix's own boundary even if the address has host bits set
     prefixes = (
-        allowlist.where("plen between 0 and 32")
+        _prefixes(allowlist)
         .select(F.col("plen").cast("int").alias("plen"), F.col("net").cast("bigint").alias("net"))
         .withColumn("stride", stride)
         .withColumn("n_keys", F.expr("shiftleft(1L, stride - plen)"))
         .withColumn("first", F.expr("shiftright(net, 32 - stride) - pmod(shiftright(net, 32 - stride), n_keys)"))
     )
     in_use = {r.stride: r.total for r in prefixes.groupBy("stride").agg(F.sum("n_keys").alias("total")).collect()}
+    if sum(in_use.values()) > max_keys:
+        asked = flows.where(F.col(ip).isNotNull()).select(F.col(ip).alias("_address")).distinct()
+        known = as_of(asked, prefix_intervals(allowlist), "_address", "first", out="_interval")
+        known = known.select("_address", F.col("_interval.plen").alias("_found")).where("_found IS NOT NULL")
+        met = flows.join(known, F.col(ip) == F.col("_address"), "left")
+        return met.select(*[flows[c] for c in flows.columns], F.col("_found").alias(match))
     joined, found = flows, []
     for bits, total in sorted(in_use.items(), reverse=True):
         keys = (

@@ -290,4 +290,9 @@ FROM traffic ASOF LEFT JOIN changes ON ts_ns >= since""",
     "json_numbers": r"""SELECT event_id, CASE WHEN fits THEN user_id END AS k, CASE WHEN fits THEN '1e999 \"' END AS s,
   CASE WHEN NOT fits THEN 'bad_json' END AS reject_reason
 FROM (SELECT event_id, user_id, event_id % 620 <= 308 AS fits FROM events)""",
+    "allowlist_intervals": f"""WITH {TRAFFIC}, prefixes AS (
+  SELECT DISTINCT s_suppkey % 20 + 14 AS plen, (167772160 + s_suppkey * 37 % 5000) >> (32 - (s_suppkey % 20 + 14)) AS head
+  FROM supplier WHERE s_suppkey % 20 + 14 <= 32
+)
+SELECT seq, src_ip, CAST((SELECT max(plen) FROM prefixes WHERE src_ip >> (32 - plen) = head) AS INT) AS allow_plen FROM traffic""",
 }

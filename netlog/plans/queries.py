@@ -525,6 +525,15 @@ def json_numbers(spark, sf_dir):
     return logs.select("event_id", F.try_variant_get("doc", "$.k[0]", "bigint").alias("k"), op.field("s").alias("s"), "reject_reason")
 
 
+def allowlist_intervals(spark, sf_dir):
+    """A prefix per supplier, of any length and some invalid, as disjoint intervals in which addresses are looked up."""
+    prefixes = table(spark, sf_dir, "supplier").select(
+        (F.pmod("s_suppkey", F.lit(20)) + 14).cast("int").alias("plen"),
+        (F.lit(167_772_160) + F.pmod(F.col("s_suppkey") * 37, F.lit(5_000))).alias("net"))
+    flows = traffic(spark, sf_dir).select("seq", "src_ip")
+    return op.flag_allowlist(flows, prefixes, max_keys=0)
+
+
 def tuning_long_log(spark, sf_dir):
     """A tuning record with each event of one kind: a log that is merged with the packets by time."""
     changes = table(spark, sf_dir, "events").where("event_type = 'error'").select(
@@ -544,6 +553,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         registered_messages, interest_normalize, interest_effective, tuning_in_force, sampled, rate_check_tuned,
         record_decode, tuning_records, event_times, address_text, clamp_documents, rejects_roundtrip,
         resolve_repeated_refs, tuning_short_records, records_without_payloads, edge_reasons, capture_reasons_unusual,
-        pair_calls_cut, tuning_long_log, json_numbers,
+        pair_calls_cut, tuning_long_log, json_numbers, allowlist_intervals,
     )
 }

@@ -64,11 +64,25 @@ def test_longest_prefix_against_brute_force(spark):
            for _ in range(500)]
     for chosen in (prefixes, prefixes - {(0, 0)}):
         df = spark.createDataFrame(list(enumerate(ips)), "seq BIGINT, src_ip BIGINT")
-        got = {r.seq: r.allow_plen for r in nl.flag_allowlist(df, allow(spark, sorted(chosen))).collect()}
-        for i, ip in enumerate(ips):
-            hits = [p for p, n in chosen if ip >> (32 - p) == n >> (32 - p)]
-            assert got[i] == (max(hits) if hits else None)
-        assert len(got) == len(ips)
+        for options in ({}, {"max_keys": 0}):
+            got = {r.seq: r.allow_plen for r in nl.flag_allowlist(df, allow(spark, sorted(chosen)), **options).collect()}
+            for i, ip in enumerate(ips):
+                hits = [p for p, n in chosen if ip >> (32 - p) == n >> (32 - p)]
+                assert got[i] == (max(hits) if hits else None)
+            assert len(got) == len(ips)
+
+
+def test_intervals_of_nested_and_adjacent_prefixes(spark):
+    base = 0x0A000000
+    listed = allow(spark, [(8, base), (24, base), (24, base + 256), (26, base + 64), (26, base + 64), (32, base + 127), (32, 0xFFFFFFFF), (33, 0), (None, 0), (8, -1), (8, None), (8, 1 << 32)])
+    got = sorted(tuple(r) for r in nl.prefix_intervals(listed).collect())
+    assert got == [(base, 24), (base + 64, 26), (base + 127, 32), (base + 128, 24), (base + 256, 24), (base + 512, 8),
+                   (base + (1 << 24), None), (0xFFFFFFFF, 32)]
+    rejects = sorted((r.reject_reason, r.plen, r.net) for r in nl.allowlist_rejects(listed).na.fill(-7).collect())
+    assert rejects == [("bad_net", 8, -7), ("bad_net", 8, -1), ("bad_net", 8, 1 << 32), ("bad_plen", -7, 0), ("bad_plen", 33, 0)]
+    flows = spark.createDataFrame([(0, None), (1, base + 70)], "seq BIGINT, src_ip BIGINT")
+    for options in ({}, {"max_keys": 0}):
+        assert {r.seq: r.allow_plen for r in nl.flag_allowlist(flows, listed, **options).collect()} == {0: None, 1: 26}
 
 
 def test_a_large_allowlist_is_joined_by_shuffle(spark):
