@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import RECORD_BYTES
 
@@ -23,13 +23,13 @@ class RecordRange(InputPartition):
     n_bytes: int
 
 
-class RecordReader(DataSourceReader):
-    """The last record of a file may be cut short; it is returned as it is, for the decoder to reject."""
+class RecordFiles:
+    """The files under a path, cut into byte ranges of whole records."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[RecordRange]:
+    def sizes(self) -> dict[str, int]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(self.path)
@@ -39,10 +39,12 @@ class RecordReader(DataSourceReader):
             listed = [f for f in listed if f.is_file and not f.base_name.startswith(("_", "."))]
         else:
             listed = [found]
+        return {f.path: f.size for f in sorted(listed, key=lambda f: f.path)}
+
+    def ranges(self, start: dict[str, int], end: dict[str, int]) -> list[RecordRange]:
         step = RANGE_RECORDS * RECORD_BYTES
         return [
-            RecordRange(f.path, at, min(step, f.size - at))
-            for f in sorted(listed, key=lambda f: f.path) for at in range(0, f.size, step)
+            RecordRange(path, at, min(step, upto - at)) for path, upto in end.items() for at in range(start.get(path, 0), upto, step)
         ]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
@@ -65,6 +67,26 @@ class RecordReader(DataSourceReader):
                 at += len(data)
 
 
+class RecordReader(RecordFiles, DataSourceReader):
+    """The last record of a file may be cut short; it is returned as it is, for the decoder to reject."""
+
+    def partitions(self) -> list[RecordRange]:
+        return self.ranges({}, self.sizes())
+
+
+class RecordStreamReader(RecordFiles, DataSourceStreamReader):
+    """Offsets are the bytes read of each file: whole records only, so a record that is half written waits for its rest."""
+
+    def initialOffset(self) -> dict[str, int]:
+        return {}
+
+    def latestOffset(self) -> dict[str, int]:
+        return {path: size - size % RECORD_BYTES for path, size in self.sizes().items()}
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[RecordRange]:
+        return self.ranges(start, end)
+
+
 class CaptureRecords(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -76,6 +98,9 @@ class CaptureRecords(DataSource):
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options["path"])
 
+    def streamReader(self, schema) -> RecordStreamReader:
+        return RecordStreamReader(self.options["path"])
+
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a file or folder as ``path, record_no, record``; give them to ``decode_records``.
@@ -84,3 +109,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     spark.dataSource.register(CaptureRecords)
     return spark.read.format("capture_records").load(path)
+
+
+def read_records_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Records as they are appended to the files of a folder, each once; new files are taken up, too.
+
+    A micro-batch reads what came since the one before, in parallel by byte range. A record that is not whole yet waits.
+    A file that got shorter gives nothing until it is longer than it was. Columns and paths as in ``read_records``.
+    """
+    spark.dataSource.register(CaptureRecords)
+    return spark.readStream.format("capture_records").load(path)

@@ -10,7 +10,7 @@ from test_payloads import record
 import netlog as nl
 from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
-from netlog.sources import log_lines, read_table_stream
+from netlog.sources import log_lines, read_records_stream, read_table_stream, records
 from netlog.streaming import (
     flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, run_stream, stream_counts,
     stream_event_logs, stream_logs,
@@ -453,3 +453,30 @@ def test_run_stream_equals_run_batch_also_after_a_restart(spark, tmp_path, wait_
     counts = {(r.kind, r.reason): r.rows for r in stream_counts(spark, out).collect()}
     assert {k[1]: n for k, n in counts.items() if k[0] == "edge"} == {r.edge_reason: r.rows for r in batch["edge_counts"].collect()}
     assert {k[1]: n for k, n in counts.items() if k[0] == "capture"} == {r.capture_reason: r.rows for r in batch["capture_counts"].collect()}
+
+
+def test_appended_records_are_read_once_and_half_ones_wait(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "RANGE_RECORDS", 2)
+    folder = tmp_path / "capture"
+    folder.mkdir()
+    items = [record(7, b'{"a":%d}' % i, conn=i) for i in range(9)]
+
+    def append(name, data):
+        with open(folder / name, "ab") as file:
+            file.write(data)
+
+    def run():
+        stream = nl.decode_records(read_records_stream(spark, str(folder)))
+        query = stream.select("path", "record_no", "conn_id", "reject_reason").writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "ckpt")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        run_to_end(query)
+        return sorted((r.path.split("/")[-1], r.record_no, r.conn_id, r.reject_reason) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    append("one", b"".join(items[:5]) + items[5][:100])
+    append("_ignored", items[8])
+    assert run() == [("one", i, i, None) for i in range(5)]
+    append("one", items[5][100:] + items[6])
+    append("two", items[7])
+    want = [("one", i, i, None) for i in range(7)] + [("two", 0, 7, None)]
+    assert run() == want
+    assert run() == want
