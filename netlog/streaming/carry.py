@@ -28,5 +28,11 @@ def read_carry(spark: SparkSession, path: str, batch_id: int, schema: StructType
     return found.drop(_BATCH)
 
 
+def last_carry(spark: SparkSession, path: str) -> DataFrame:
+    """What the latest micro-batch left, for readers outside the stream."""
+    found = spark.read.parquet(path).drop("turn")
+    return found.where(F.col(_BATCH) == found.agg(F.max(_BATCH)).scalar()).drop(_BATCH)
+
+
 def _folder(path: str, batch_id: int) -> str:
     return f"{path}/turn={batch_id % 2}"

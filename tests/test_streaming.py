@@ -12,8 +12,8 @@ from netlog.plans.pipeline import run_batch
 from netlog.schemas import ALLOWLIST, CAPTURE_EVENTS, CONN_EVENTS, FRAMES, INTEREST, MESSAGES, PAYLOADS, PROBE_EVENTS
 from netlog.sources import log_lines, read_records_stream, read_table_stream, records
 from netlog.streaming import (
-    flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, run_stream, stream_counts,
-    stream_event_logs, stream_logs,
+    flush_event_logs, pair_calls_batches, pair_calls_stream, rate_batches, rate_stream, retain_batches, retained,
+    run_stream, stream_counts, stream_event_logs, stream_logs,
 )
 from netlog.streaming import rate
 from netlog.streaming.carry import read_carry, write_carry
@@ -480,3 +480,15 @@ def test_appended_records_are_read_once_and_half_ones_wait(spark, tmp_path, monk
     want = [("one", i, i, None) for i in range(7)] + [("two", 0, 7, None)]
     assert run() == want
     assert run() == want
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_retain_batches_equals_batch(spark, tmp_path, by):
+    rng = random.Random(15)
+    rows = [(rng.randint(0, 4), rng.randint(0, 50), i, i) for i in range(200)]
+    write_parts(spark, rows, RATE, tmp_path / "in", 4)
+    stream = read_table_stream(spark, str(tmp_path / "in"), RATE, max_files=1)
+    run_to_end(retain_batches(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), 7, by=by, trigger={"availableNow": True}))
+    want = nl.retain_latest(spark.createDataFrame(rows, RATE), 7, by=by)
+    got = retained(spark, str(tmp_path / "out"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
