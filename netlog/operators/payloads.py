@@ -169,6 +169,8 @@ def resolve_payloads(
     ``part_rows`` events, its payload row being repeated in each. The list of such references has at most one row for
     each ``hot_rows`` events, which bounds its broadcast.
     """
+    if "payload_ref" not in events.columns:  # events without any reference
+        events = events.withColumn("payload_ref", F.lit(None).cast("bigint"))
     prior = F.col("reject_reason") if "reject_reason" in events.columns else F.lit(None).cast("string")
     reason = F.coalesce(prior, record_reject(inline_max=inline_max, max_bytes=max_bytes, max_ref=max_ref))
     raw = F.col("raw") if "raw" in events.columns else F.lit(None).cast("binary")

@@ -295,4 +295,15 @@ FROM (SELECT event_id, user_id, event_id % 620 <= 308 AS fits FROM events)""",
   FROM supplier WHERE s_suppkey % 20 + 14 <= 32
 )
 SELECT seq, src_ip, CAST((SELECT max(plen) FROM prefixes WHERE src_ip >> (32 - plen) = head) AS INT) AS allow_plen FROM traffic""",
+    "stream_waiting_pointers": """SELECT CASE WHEN doc_id % 9 = 0 THEN 'rejects' ELSE 'logs' END AS channel,
+  CASE WHEN doc_id % 9 <> 0 THEN md5(text) END AS digest, CASE WHEN doc_id % 9 = 0 THEN doc_id END AS seq,
+  CASE WHEN doc_id % 9 = 0 THEN 'bad_ref' END AS reject_reason
+FROM documents""",
+}
+
+# The same rows, whether they come at once or as a stream.
+SQL |= {
+    "stream_rate_check": SQL["rate_check"], "stream_pair_calls": SQL["pair_calls"],
+    "stream_retain_latest": SQL["retain_latest_by_source"], "stream_edge_verdict": SQL["edge_verdict"],
+    "stream_edge_counts": SQL["reason_counts"],
 }

@@ -102,14 +102,14 @@ def resolve_or_wait(
 
 
 def flush_event_logs(
-    spark: SparkSession, path: str, last_batch: int, schema: str, *, payload_table: str | None = None, payloads: bool = False,
+    spark: SparkSession, path: str, last_batch: int, schema: str | T.StructType, *, payload_table: str | None = None, payloads: bool = False,
 ) -> None:
     """End the wait of what :func:`stream_event_logs` left after micro-batch ``last_batch``: resolved, or rejected for good.
 
     Written to ``path/batch_id=flush-N``; running it again replaces that. The stream must have stopped. ``schema`` is
     that of its events; ``payloads`` says whether it had a stream of them.
     """
-    columns = T.StructType.fromDDL(schema)
+    columns = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     waiting = read_carry(configure(spark), f"{path}/_waiting", last_batch + 1, _with_clock(columns))
     held = waiting.where("_waits").select(*columns.fieldNames())
     logs = parse_logs(resolve_payloads(held, _stored_payloads(spark, path, payload_table, payloads)))

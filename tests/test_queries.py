@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from netlog.plans.queries import QUERIES
+from netlog.plans.queries import QUERIES as BATCH_QUERIES
+from netlog.plans.streams import STREAM_QUERIES
 
+QUERIES = {**BATCH_QUERIES, **STREAM_QUERIES}
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
