@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     at least LINK times their union, confirmed on the full sets. Candidates are found by banding of MINIMA minima.
 
     Texts of equal words are one node, so a group of copies costs one row each. In a band's bucket all nodes are first
-    compared with one of them, another in each bucket and round, and the components of these links are formed. After
+    compared with one of them, the next rounds with others, and the components of these links are formed. After
     LEADER_ROUNDS, the members of a bucket that are still in different components are all compared, in blocks of
     BLOCK_MEMBERS inside tasks: signatures first, full sets where they agree. No link is lost: a pair that shares a
     bucket is compared or connected already. No step has a row per pair of a group; only links come out.
@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         if turn == LEADER_ROUNDS:
             links = as_table(links.union(block_links(placed, reps, source)), "minhash-links")
             break
-        order = F.xxhash64(F.lit(turn), "band", "a")
+        # first the same one for all buckets that it is in, so that a great group of near copies has few pairs
+        order = F.xxhash64(F.lit(turn), *(["band"] if turn else []), "a")
         left = left.groupBy("band").agg(F.min_by(F.struct("a", "of_a", "n_a"), order).alias("_l")).select("band", "_l.*")
         pairs = left.join(right, "band").where(meet).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
