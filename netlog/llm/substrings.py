@@ -21,6 +21,7 @@ from pyspark.sql.types import (
     ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType,
 )
 
+from ..operators.sizes import broadcast_if_small
 from ..session import as_table
 from .text import as_bytes, hash_words, in_blocks, map_blocks, mix, rolling
 
@@ -233,7 +234,7 @@ def column_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iter
 
 def by_shard_size(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments whose key has SHARD_BYTES of text at most, and the others; of the latter's keys there are few."""
-    large = F.broadcast(distinct.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes")).where(
+    large = broadcast_if_small(distinct.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes")).where(
         F.col("bytes") > SHARD_BYTES).select("key"))
     return distinct.join(large, "key", "left_anti"), distinct.join(large, "key", "left_semi")
 
