@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netlog.llm import minhash, toxicity
@@ -36,3 +37,36 @@ def test_stages(spark, tmp_path):
     assert times.where("count > 3").isEmpty()
     tokens = kept["byte_bpe"]
     assert tokens.count() == kept["mixing"].count() and tokens.where("NOT round_trip").isEmpty()
+
+
+EDGES = [
+    (1, "a line that is here\nand one that follows it", "en", "a", 45), (2, "a line that is here\nand one that follows it", "en", "a", 45),
+    (2, "a line that is here\nand one that follows it", "en", "a", 45), (3, None, None, None, None), (4, "", "en", "b", 0),
+    (5, " \t\n", None, "b", 3), (None, "no id here\nat all", "en", None, 17), (None, None, None, None, None),
+    (6, "word " * 50_000, "en", "c", 250_000), (7, "tie", "en", "c", 3), (8, "tie", "en", "c", 3), (9, "nul \0 é🙂", "en", "a", 8),
+]
+CLASH = ["_runs", "runs", "component_id", "kept", "copies", "size", "ids", "_row", "_id", "score", "n_tokens", "round_trip"]
+
+
+def test_edges_of_every_stage(spark):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("other") for c in CLASH}).repartition(3)
+    known = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF_DIR).count() == 0
+        out = stage(spark, docs, SF_DIR)
+        rows = out.collect()
+        if name == "byte_bpe":
+            assert len(rows) == len(EDGES) and all(r.round_trip for r in rows)
+            assert {r.n_tokens for r in rows if r.doc_id in (3, 4)} == {0}
+            continue
+        assert out.columns == docs.columns and {r[c] for r in rows for c in CLASH} <= {"other"}
+        if name == "line_dedup":  # the second and third row are copies of the first, and go
+            assert sorted((r.doc_id, r.text) for r in rows if r.doc_id and r.doc_id < 5) == [
+                (1, EDGES[0][1]), (3, None), (4, "")] and len(rows) == len(EDGES) - 2
+        elif name == "near_dedup":
+            assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 3, 4, 5, 6, 7, 9] and len(rows) == len(EDGES) - 3
+        elif name == "mixing":
+            assert {(r.doc_id, r.text) for r in rows} <= known
+        else:
+            assert len(rows) == len(EDGES)
