@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.bitfilter import bit_filter, with_filter
 from ..session import as_table
-from .hot import bit_filter, join_groups, with_filter
+from .hot import join_groups
 
 # Characters that don't count.
 BLANKS = " \t\n\v\f\r"
@@ -48,11 +49,11 @@ def exact_duplicates(
 
     starts = as_table(described.select("length", "by_length", "by_start"), "exact-starts")
     lengths = starts.groupBy("length", "by_length").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    longs = with_filter(starts, "by_length", bit_filter(lengths, "by_length", LENGTH_BITS), LENGTH_BITS, "again").where("again")
+    longs = with_filter(starts, "by_length", bit_filter(lengths, "by_length", LENGTH_BITS), "again", LENGTH_BITS).where("again")
     begun = longs.groupBy("length", "by_start").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     begun = as_table(bit_filter(begun, "by_start", PREFIX_BITS), "exact-filter")
 
-    read = with_filter(described.drop("by_length"), "by_start", begun, PREFIX_BITS, "again")
+    read = with_filter(described.drop("by_length"), "by_start", begun, "again", PREFIX_BITS)
     whole = F.sha2("bare", 256)
     digest = whole if every_digest else F.when(F.col("again"), whole)
     rows = as_table(read.select("doc_id", "n_chars", "length", "again", digest.alias("digest"),

@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..operators.bitfilter import bit_filter
 from ..session import as_table
-from .hot import bit_filter, join_groups
+from .hot import join_groups
 from .text import as_bytes, hash_words, in_blocks, mix, release, rolling
 
 # Mean words from one window to the next.
@@ -231,7 +232,7 @@ def collocations(
     Counts are integers throughout; scores are formed with 38 digits, and Spark raises an error beyond them (a > 10^15).
     Texts go through one scan; what is shuffled is distinct chunks, then distinct phrases, each summed within tasks. The
     dictionary is read once for each number of words; a phrase is sent if both its parts of a word less are frequent.
-    Joins with the parts' counts broadcast fewer than 1,000 frequent parts and shuffle the rest.
+    Joins with the parts' counts broadcast fewer than 1,000 frequent parts of each length and shuffle the rest.
 
     Null and empty texts have no words, a null language is NO_LANG. Repeated rows count as often as they are there. A
     language without candidates has no rows; an empty table has none. Other columns are not read.

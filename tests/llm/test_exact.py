@@ -7,7 +7,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from netlog.llm import exact, hot
+from netlog.llm import exact
+from netlog.operators.bitfilter import bit_filter, with_filter
 
 SCHEMA = "doc_id long, text string"
 
@@ -73,7 +74,7 @@ def test_any_rows(spark, rows):
 @pytest.mark.parametrize("bits", [15, 20])
 def test_bit_filter_misses_nothing(spark, bits):
     keys = spark.range(5_000).select(F.xxhash64("id").alias("h"), (F.col("id") % 2 == 0).alias("even"))
-    told = hot.with_filter(keys, "h", hot.bit_filter(keys.where("even"), "h", bits), bits, "told")
+    told = with_filter(keys, "h", bit_filter(keys.where("even"), "h", bits), "told", bits)
     assert told.where("even AND NOT told").isEmpty()
     # others are told apart unless they share a bit
     assert told.where("NOT even AND told").count() < 2_500 * 2_500 / (1 << bits) * 1.5 + 10
