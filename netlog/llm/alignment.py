@@ -37,7 +37,7 @@ CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
 # A segment that has such a place on both sides of it, within a text.
 JOINS = re.compile(r" [!-~\w](.*[!-~\w])?", re.DOTALL)
 # Segments that a process keeps the ids of, twice at most, and their length at most.
-CACHE_SEGMENTS, KEPT_CHARACTERS = 100_000, 40
+CACHE_SEGMENTS, KEPT_CHARACTERS = 250_000, 40
 
 
 def read_bytes(path: str) -> bytes:
