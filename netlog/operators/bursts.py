@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..session import as_table, ensure_checkpoint_dir
 from .skew import same_key
 
+# In place of a piece's number: no time follows the window, or the one that does is known without looking into the piece.
+AT_END, KNOWN = -1, -2
 _LONGS = ("_t", "_rows", "_leave", "_leave_before")
 
 
@@ -108,7 +110,7 @@ def _leave_pieces(window_ns: int):
             place = np.arange(hi - lo)
             after = np.searchsorted(own, own + window_ns, "right")
             last = np.where(after < len(own), after, place)
-            while (further := last[last]).tobytes() != last.tobytes():
+            while not np.array_equal(further := last[last], last):
                 last = further
             before = np.cumsum(counts) - counts
             piece = np.full(hi - lo, TaskContext.get().partitionId(), np.int64)
@@ -123,7 +125,7 @@ def _onward(left: DataFrame, times: DataFrame, cuts, window_ns: int) -> DataFram
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, leave = (c.to_numpy() for c in batch.columns)
-            piece, to = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+            piece, to = np.full(len(key), AT_END, np.int64), np.zeros(len(key), np.int64)
             for k in np.unique(key).tolist():
                 firsts, lasts, numbers = cuts.value[k]
                 own = np.flatnonzero(key == k)
@@ -131,14 +133,12 @@ def _onward(left: DataFrame, times: DataFrame, cuts, window_ns: int) -> DataFram
                 at = np.searchsorted(lasts, ends, "right")
                 there = at < len(lasts)
                 own, ends, at = own[there], ends[there], at[there]
-                piece[own] = numbers[at]
+                # where the window ends before the piece, the piece's first time is the answer
+                piece[own] = np.where(ends < firsts[at], KNOWN, numbers[at])
                 to[own] = firsts[at]
-                to[own[ends >= firsts[at]]] = 0
-                piece[own[ends < firsts[at]]] = -2
-            # -1: the end of the key; -2: known to be the piece's first time; others are looked for in the piece
-            kept = piece != -1
+            kept = piece != AT_END
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[kept]), pa.array(leave[kept]), pa.array(piece[kept]), pa.array(to[kept], mask=piece[kept] != -2)],
+                [pa.array(key[kept]), pa.array(leave[kept]), pa.array(piece[kept]), pa.array(to[kept], mask=piece[kept] != KNOWN)],
                 ["_key", "_leave", "_piece", "_to"])
 
     placed = as_table(left.mapInArrow(place, "_key BIGINT, _leave BIGINT, _piece BIGINT, _to BIGINT"), "rate-left")

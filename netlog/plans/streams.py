@@ -77,9 +77,8 @@ def stream_waiting_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("payload").cast("bigint").alias("data_len")), allowMissingColumns=True)
     came = written_in_order(events, f"{out}/events")
     payloads = written_in_order(stored.where("payload_ref % 9 <> 0").select("payload_ref", "ts_ns", "seq", "payload"), f"{out}/payloads")
-    query = stream_event_logs(came, f"{out}/out", f"{out}/ckpt", payloads=payloads, wait_ns=2 * 10**12, **NOW)
-    finished(query)
-    flush_event_logs(spark, f"{out}/out", query.lastProgress["batchId"], events.schema, payloads=True)
+    finished(stream_event_logs(came, f"{out}/out", f"{out}/ckpt", payloads=payloads, wait_ns=2 * 10**12, **NOW))
+    flush_event_logs(spark, f"{out}/out", events.schema, payloads=True)
     lines = spark.read.text(f"{out}/out")
     rejected = F.from_json("value", "seq BIGINT, reject_reason STRING")
     logs = F.from_json("value", "text STRING")

@@ -28,9 +28,10 @@ def read_carry(spark: SparkSession, path: str, batch_id: int, schema: StructType
     return found.drop(_BATCH)
 
 
-def last_carry(spark: SparkSession, path: str) -> DataFrame:
+def last_carry(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """What the latest micro-batch left, for readers outside the stream."""
-    found = spark.read.parquet(path).drop("turn")
+    reader = spark.read if schema is None else spark.read.schema(StructType([*schema.fields]).add(_BATCH, LongType()))
+    found = reader.parquet(path).drop("turn")
     return found.where(F.col(_BATCH) == found.agg(F.max(_BATCH)).scalar()).drop(_BATCH)
 
 

@@ -10,7 +10,7 @@ from ..operators import capture_inline, decode_frames, observe_rejects, parse_lo
 from ..schemas import INTEREST, PAYLOADS
 from ..session import configure
 from ..sources import accepted_loads, append_interest, effective_interest, read_loads, write_logs
-from .carry import read_carry, write_carry
+from .carry import last_carry, read_carry, write_carry
 
 
 def stream_logs(
@@ -102,18 +102,18 @@ def resolve_or_wait(
 
 
 def flush_event_logs(
-    spark: SparkSession, path: str, last_batch: int, schema: str | T.StructType, *, payload_table: str | None = None, payloads: bool = False,
+    spark: SparkSession, path: str, schema: str | T.StructType, *, payload_table: str | None = None, payloads: bool = False,
 ) -> None:
-    """End the wait of what :func:`stream_event_logs` left after micro-batch ``last_batch``: resolved, or rejected for good.
+    """End the wait of what :func:`stream_event_logs` left after its last micro-batch: resolved, or rejected for good.
 
-    Written to ``path/batch_id=flush-N``; running it again replaces that. The stream must have stopped. ``schema`` is
-    that of its events; ``payloads`` says whether it had a stream of them.
+    Written to ``path/batch_id=flush``; running it again replaces that. For a stream that is over: what waits is not taken
+    from it. ``schema`` is that of its events; ``payloads`` says whether it had a stream of them.
     """
     columns = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    waiting = read_carry(configure(spark), f"{path}/_waiting", last_batch + 1, _with_clock(columns))
+    waiting = last_carry(configure(spark), f"{path}/_waiting", _with_clock(columns))
     held = waiting.where("_waits").select(*columns.fieldNames())
     logs = parse_logs(resolve_payloads(held, _stored_payloads(spark, path, payload_table, payloads)))
-    write_logs(logs, f"{path}/batch_id=flush-{last_batch}")
+    write_logs(logs, f"{path}/batch_id=flush")
 
 
 def _with_clock(columns: T.StructType) -> T.StructType:
