@@ -23,7 +23,7 @@ HEADLINE = (
     "captured_fields", "decode_flows", "capture_inline", "allowlist_lpm", "edge_verdict", "rate_check",
     "rate_check_hot", "json_parse", "json_fields", "json_documents", "json_candidates", "route_by_size",
     "resolve_payloads", "resolve_hot", "retain_latest", "retain_latest_by_source", "pair_calls", "pair_calls_hot",
-    "first_seen", "tuning_in_force", "record_decode",
+    "first_seen", "tuning_in_force", "record_decode", "tuning_long_log", "allowlist_intervals",
 )
 
 
@@ -45,6 +45,14 @@ def flood_rate(spark, sf_dir):
                          chunk_windows=1)
 
 
+def burst_rate(spark, sf_dir):
+    """All rows on one key, nearly all within one window: pieces shorter than it, and pointer doubling."""
+    time_ns = F.when(F.pmod("seq", F.lit(100)) == 0, F.pmod("ts_ns", F.lit(10_000_000))).otherwise(F.pmod("ts_ns", F.lit(90_000)))
+    packets = q.traffic(spark, sf_dir).select("seq", time_ns.alias("ts_ns"), F.lit(1).alias("k"))
+    return nl.rate_check(packets, ["k"], "ts_ns", ["seq"], window_ns=100_000, threshold=2, hot_rows=5_000, chunk_rows=10_000,
+                         burst_rows=20_000)
+
+
 def resolve_share(every: int):
     """Documents as events of which one in ``every`` is a pointer."""
     def run(spark, sf_dir):
@@ -63,15 +71,16 @@ def resolve_share(every: int):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    folder = tempfile.mkdtemp(prefix="netlog-bench-")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("netlog-bench")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.checkpoint.dir", f"{folder}/checkpoints")
     )
     spark = nl.configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     # frames and records are made and stored before the clock starts, in as many parts as there are cores
-    folder = tempfile.mkdtemp(prefix="netlog-bench-")
     q.frames(spark, sf_dir).repartition(int(cpus)).write.parquet(f"{folder}/frames")
     q.records(spark, sf_dir).repartition(int(cpus)).write.parquet(f"{folder}/records")
 
@@ -82,7 +91,8 @@ def main() -> None:
         return nl.decode_records(spark.read.parquet(f"{folder}/records"))
 
     runs = {name: q.QUERIES[name] for name in HEADLINE}
-    runs |= {"decode_stored": decode_stored, "records_stored": records_stored, "flood_rate": flood_rate}
+    runs |= {"decode_stored": decode_stored, "records_stored": records_stored, "flood_rate": flood_rate,
+             "burst_rate": burst_rate}
     runs |= {"hot_rate": hot_rate, "resolve_1pct": resolve_share(100), "resolve_50pct": resolve_share(2)}
     n_events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
