@@ -234,8 +234,8 @@ def column_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iter
 
 def by_shard_size(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments whose key has SHARD_BYTES of text at most, and the others; of the latter's keys there are few."""
-    large = broadcast_if_small(distinct.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes")).where(
-        F.col("bytes") > SHARD_BYTES).select("key"))
+    sizes = distinct.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes"))
+    large = broadcast_if_small(as_table(sizes.where(F.col("bytes") > SHARD_BYTES).select("key"), "substrings-large"))
     return distinct.join(large, "key", "left_anti"), distinct.join(large, "key", "left_semi")
 
 
