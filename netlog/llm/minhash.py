@@ -287,8 +287,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Texts of equal words are one node, so a group of copies costs one row each. In a band's bucket all nodes are first
     compared with one of them, the next rounds with others, and the components of these links are formed. After
     LEADER_ROUNDS, the members of a bucket that are still in different components are all compared, in blocks of
-    BLOCK_MEMBERS inside tasks: signatures first, full sets where they agree. No link is lost: a pair that shares a
-    bucket is compared or connected already. No step has a row per pair of a group; only links come out.
+    BLOCK_MEMBERS inside tasks: signatures first, full sets where they agree. A pair that shares a bucket is compared or
+    connected already; its sets are compared if ALIKE minima agree, which 1 of 10^9 pairs at the limit fails. No step has a row per pair of a group; only links come out.
 
     Documents without words have no shingles and are their own component. Rows of one doc_id are one document and stay
     or go together. Rows with a null doc_id are linked with nothing: component_id null, kept. An empty table gives none.
