@@ -181,6 +181,63 @@ def test_field_adds_what_no_pattern_finds():
     assert secrets.scan(field, plain[:5]) == [[]] * 5
 
 
+def test_field_finds_secrets_without_digits_and_short_ones():
+    rng = random.Random(7)
+
+    def key(n):
+        return "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+
+    words = "order room went came with the long river people Monday Berlin and or yesterday international".split()
+    known = [f"set the value\npassword = \"{key(24)}\" here and on" for _ in range(60)]
+    plain = [" ".join(rng.choices(words, k=30)) for _ in range(60)]
+    field = secrets.train(known + plain)
+    hidden = key(24)
+    text = f"{' '.join(rng.choices(words, k=30))}\nthe value is \"{hidden}\" here and on"
+    assert secrets.scan(field, [text]) == [[(text.index(hidden), 3, text.index(hidden) + 24)]]
+    # a token of a few letters where only a secret can stand
+    short = [f"pin >{key(2)}< password = {key(9)}" for _ in range(5)]
+    named = secrets.train([f"password = {key(9)} ok" for _ in range(60)] + plain)
+    assert all(any(k == 0 for _, k, _ in spans) for spans in secrets.scan(named, short))
+    assert secrets.scan(field, plain[:5]) == [[]] * 5
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_every_token_gets_its_state_from_the_whole_line(seed):
+    rng = np.random.default_rng(seed)
+    lines = [["token%d" % rng.integers(0, 200) if rng.random() < 0.6 else "ab" for _ in range(rng.integers(1, 40))] for _ in range(20)]
+    texts = ["\n".join(" ".join(line) for line in lines[:10]), "", "\n\n".join(" ".join(line) for line in lines[10:])]
+    move = rng.normal(size=(3, 3))
+    move[secrets.OUTSIDE, secrets.INSIDE] = -20.0
+    emit = rng.normal(size=(secrets.WEIGHTS, 3))
+    field = secrets.Field(emit, move)
+
+    def parts(words, i):
+        kind = secrets.word_class(words[i])
+        beside = [(words[i + d] if 0 <= i + d < len(words) else "") for d in secrets.SIDES]
+        beside = [secrets.word_features(w)[secrets.SHAPE + 3 * k + kind] for k, w in enumerate(beside)]
+        whole = secrets.file_features(text)
+        return [*secrets.word_features(words[i])[:secrets.SHAPE], *beside, *whole[3 * kind:3 * kind + 3]]
+
+    wanted = []
+    for text in texts:
+        spans, start = [], 0
+        for line in text.split("\n"):
+            words = line.split()
+            if words:
+                feats = np.array([parts(words, i) for i in range(len(words))])
+                (states,) = secrets.viterbi(move, emit[feats].sum(axis=1)[None])
+                at = start
+                for i, (word, state) in enumerate(zip(words, states.tolist())):
+                    if state == secrets.BEGIN:
+                        spans.append((at, 3, at + len(word)))
+                    elif state == secrets.INSIDE:
+                        spans[-1] = (spans[-1][0], 3, at + len(word))
+                    at += len(word) + 1
+            start += len(line) + 1
+        wanted.append(spans)
+    assert secrets.scan(field, texts) == wanted and any(wanted)
+
+
 def test_targets_fill_up_to_their_caps(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 20), ("d", 500), (None, 3), ("e", 0)]
     got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, size long")).collect()}
