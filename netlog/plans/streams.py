@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import CAPTURE_EVENTS
 from ..session import configure, ensure_checkpoint_dir
@@ -19,6 +20,8 @@ from .queries import (
 
 PARTS = 3
 NOW = {"availableNow": True}
+# One micro-batch takes all files of a part, however many tasks wrote it.
+ALL_FILES = 2**31 - 1
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -27,15 +30,32 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written_in_order(df: DataFrame, path: str, ts: str = "ts_ns") -> DataFrame:
-    """``df`` as a stream of Parquet files that were written one after the other, each of later times than the one before."""
+def in_order(df: DataFrame, ts: str = "ts_ns") -> list[DataFrame]:
+    """``df`` in PARTS parts, each of later times than the one before."""
     cuts = df.approxQuantile(ts, [i / PARTS for i in range(1, PARTS)], 0.01) if PARTS > 1 else []
-    bounds = [None, *cuts, None]
+    if not cuts:  # one part, or no time at all
+        return [df, *[df.where(F.lit(False))] * (PARTS - 1)]
+    bounds, parts = [None, *cuts, None], []
     for low, high in zip(bounds, bounds[1:]):
         later = F.lit(True) if low is None else F.col(ts) > low
         sooner = F.lit(True) if high is None else F.col(ts) <= high
-        df.where(later & sooner).coalesce(1).write.mode("append").parquet(path)
-    return read_table_stream(df.sparkSession, path, df.schema, max_files=1)
+        parts.append(df.where(later & sooner))
+    return parts
+
+
+def run_in_order(start: Callable[..., StreamingQuery], path: str, **sources: DataFrame) -> None:
+    """Run the query that ``start`` makes of the ``sources`` as streams, one micro-batch for each part of ascending time.
+
+    A part is written by as many tasks as read the source. Then the query is started: it goes on from its checkpoint,
+    takes all files that came, as one micro-batch, and stops.
+    """
+    parts = {name: in_order(df) for name, df in sources.items()}
+    for i in range(PARTS):
+        streams = {}
+        for name, df in sources.items():
+            parts[name][i].write.mode("append").parquet(f"{path}/{name}")
+            streams[name] = read_table_stream(df.sparkSession, f"{path}/{name}", df.schema, max_files=ALL_FILES)
+        finished(start(**streams))
 
 
 def finished(query) -> None:
@@ -46,22 +66,24 @@ def finished(query) -> None:
 
 def stream_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "stream-rate")
-    stream = written_in_order(traffic(spark, sf_dir).select("seq", "ts_ns", "src_ip", "dst_port"), f"{out}/in")
-    finished(rate_batches(stream, f"{out}/out", f"{out}/ckpt", ["src_ip", "dst_port"], "ts_ns", ["seq"],
-                          window_ns=RATE_WINDOW, threshold=RATE_LIMIT, trigger=NOW))
+    rows = traffic(spark, sf_dir).select("seq", "ts_ns", "src_ip", "dst_port")
+    run_in_order(lambda packets: rate_batches(
+        packets, f"{out}/out", f"{out}/ckpt", ["src_ip", "dst_port"], "ts_ns", ["seq"],
+        window_ns=RATE_WINDOW, threshold=RATE_LIMIT, trigger=NOW), f"{out}/in", packets=rows)
     return spark.read.parquet(f"{out}/out/rows").drop("batch_id", "late")
 
 
 def stream_pair_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "stream-calls")
-    finished(pair_calls_batches(written_in_order(probe_events(spark, sf_dir), f"{out}/in"), f"{out}/out", f"{out}/ckpt", trigger=NOW))
+    run_in_order(lambda calls: pair_calls_batches(calls, f"{out}/out", f"{out}/ckpt", trigger=NOW),
+                 f"{out}/in", calls=probe_events(spark, sf_dir))
     return _pairs(spark.read.parquet(f"{out}/out/pairs"))
 
 
 def stream_retain_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "stream-latest")
-    stream = written_in_order(traffic(spark, sf_dir).select("seq", "ts_ns", "src_ip"), f"{out}/in")
-    finished(retain_batches(stream, f"{out}/out", f"{out}/ckpt", 3, by=["src_ip"], trigger=NOW))
+    run_in_order(lambda packets: retain_batches(packets, f"{out}/out", f"{out}/ckpt", 3, by=["src_ip"], trigger=NOW),
+                 f"{out}/in", packets=traffic(spark, sf_dir).select("seq", "ts_ns", "src_ip"))
     return retained(spark, f"{out}/out").select("src_ip", "seq", "ts_ns")
 
 
@@ -75,9 +97,10 @@ def stream_waiting_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = empty.unionByName(stored.select(
         "seq", F.lit("sk_msg").alias("source"), (F.col("ts_ns") - 10**12).alias("ts_ns"), F.lit(True).alias("is_ref"), "payload_ref",
         F.octet_length("payload").cast("bigint").alias("data_len")), allowMissingColumns=True)
-    came = written_in_order(events, f"{out}/events")
-    payloads = written_in_order(stored.where("payload_ref % 9 <> 0").select("payload_ref", "ts_ns", "seq", "payload"), f"{out}/payloads")
-    finished(stream_event_logs(came, f"{out}/out", f"{out}/ckpt", payloads=payloads, wait_ns=2 * 10**12, **NOW))
+    payloads = stored.where("payload_ref % 9 <> 0").select("payload_ref", "ts_ns", "seq", "payload")
+    run_in_order(lambda events, payloads: stream_event_logs(
+        events, f"{out}/out", f"{out}/ckpt", payloads=payloads, wait_ns=2 * 10**12, **NOW),
+        f"{out}/in", events=events, payloads=payloads)
     flush_event_logs(spark, f"{out}/out", events.schema, payloads=True)
     lines = spark.read.text(f"{out}/out")
     rejected = F.from_json("value", "seq BIGINT, reject_reason STRING")
@@ -103,10 +126,9 @@ def _dataflow(spark: SparkSession, sf_dir: str) -> str:
         [("load", port, names[proto]) for port, proto, _ in INTEREST_ROWS], "load_id STRING, port BIGINT, protocol STRING")
     loads = normalize_interest(listed.withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")))
     loads.select("load_id", "loaded_at", "port", "protocol", "proto", "reject_reason").write.parquet(f"{out}/loads")
-    finished(run_stream(
-        f"{out}/out", f"{out}/ckpt", interest_table=f"{out}/loads", frames=written_in_order(frames(spark, sf_dir), f"{out}/frames"),
-        probe_events=written_in_order(probe_events(spark, sf_dir), f"{out}/calls"), allowlist=allowlist(spark),
-        window_ns=RATE_WINDOW, threshold=RATE_LIMIT, **NOW))
+    run_in_order(lambda frames, calls: run_stream(
+        f"{out}/out", f"{out}/ckpt", interest_table=f"{out}/loads", frames=frames, probe_events=calls, allowlist=allowlist(spark),
+        window_ns=RATE_WINDOW, threshold=RATE_LIMIT, **NOW), f"{out}/in", frames=frames(spark, sf_dir), calls=probe_events(spark, sf_dir))
     return f"{out}/out"
 
 

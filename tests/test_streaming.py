@@ -491,3 +491,28 @@ def test_retain_batches_equals_batch(spark, tmp_path, by):
     want = nl.retain_latest(spark.createDataFrame(rows, RATE), 7, by=by)
     got = retained(spark, str(tmp_path / "out"))
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_parts_in_order_are_written_by_all_tasks_and_taken_as_one_batch(spark, tmp_path):
+    from netlog.plans.streams import run_in_order
+
+    rows = spark.range(900, numPartitions=4).select(F.col("id").alias("seq"), (F.col("id") * 7 % 900).alias("ts_ns"))
+    few = spark.createDataFrame([(1, None), (2, None)], "seq BIGINT, ts_ns BIGINT")
+    seen = []
+
+    def start(rows, few):
+        both = rows.withColumn("name", F.lit("rows")).unionByName(few.withColumn("name", F.lit("few")))
+
+        def write_batch(batch, batch_id):
+            got = batch.where("name = 'rows'").agg(F.count("*"), F.min("ts_ns"), F.max("ts_ns")).first()
+            seen.append((batch_id, *got, batch.where("name = 'few'").count()))
+
+        return both.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+
+    run_in_order(start, f"{tmp_path}/in", rows=rows, few=few)
+    assert [s[0] for s in seen] == [0, 1, 2] and [s[4] for s in seen] == [2, 0, 0]
+    assert sum(s[1] for s in seen) == 900 and all(250 < s[1] < 350 for s in seen)
+    assert all(a[3] < b[2] for a, b in zip(seen, seen[1:]))
+    # no task has a whole part
+    files = [spark.read.parquet(str(f)).count() for f in (tmp_path / "in" / "rows").glob("*.parquet")]
+    assert len(files) == 12 and max(files) < 150
