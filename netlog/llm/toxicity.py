@@ -31,6 +31,7 @@ REJECT = 0.3
 PUNCTUATION = b".,;:!?\"'()[]{}<>*_-"
 # A term is a word or one of its first letters of these lengths, so that inflected forms meet.
 STEMS = (8, 7, 6, 5, 4)
+HEAD = min(STEMS)
 
 
 def terms_of(word: bytes) -> tuple[str, ...]:
@@ -44,11 +45,16 @@ class TermRows(dict):
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         self.vocabulary, self.rows, self.known = vocabulary, [()], {(): 0}
+        # each term of a word begins as the word does, so most words are known to have none by their first bytes
+        self.heads = {term.encode()[:HEAD] for term in vocabulary}
         self.answers: dict[tuple, tuple] = {}  # by term counts, since many texts have the same few
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
+        if word.isascii() and word.strip(PUNCTUATION)[:HEAD] not in self.heads:
+            self[word] = 0
+            return 0
         terms = tuple(i for t in terms_of(word) if (i := self.vocabulary.get(t)) is not None)
         row = self.known.get(terms)
         if row is None:

@@ -331,3 +331,21 @@ def test_small_tables_are_pruned_by_trial():
     index = ann.train_index([Row(vec_id=i, v=v.tolist()) for i, v in enumerate(x)], len(x), 20)
     assert index.probes < len(index.centres)
     assert (np.bincount(index.own, minlength=len(index.centres)) > 0).all()
+
+
+def test_words_that_their_first_bytes_rule_out_have_no_terms():
+    rng = random.Random(3)
+    letters = ["a", "b", "é", "-", "'", "ab", "abc", "."]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))).encode() for _ in range(3000)] + [b"\xff\xfeabab", b"", b"abab\xff"]
+    terms = sorted({t for w in words for t in toxicity.terms_of(w)})
+    vocabulary = {t: i for i, t in enumerate(rng.sample(terms, 60))}
+    rows = toxicity.TermRows(vocabulary)
+    for word in words:
+        wanted = sorted(vocabulary[t] for t in toxicity.terms_of(word) if t in vocabulary)
+        assert sorted(rows.rows[rows[word]]) == wanted
+    assert any(rows.values())
+    # a plain word costs no look-up of its terms
+    rows = toxicity.TermRows({"insult": 0, "insu-": 1})
+    assert [rows[w] for w in (b"river", b"(insurance)", b"insult!")] == [0, 1, 2] and len(rows.rows) == 3
+    rows.vocabulary = None
+    assert rows[b"mountain"] == 0
